@@ -35,6 +35,9 @@ def compose(select: str) -> str:
     if not order:
         return select
     body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
+    own = re.match(r"\s*WITH\s+", select)
+    if own:
+        return f"WITH {body},\n{select[own.end():]}"
     return f"WITH {body}\n{select}"
 
 

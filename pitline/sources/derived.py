@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitline.config import BALANCE_FIELDS, CONCEPTS, FIELDS
+from pitline.config import CONCEPTS
 
 LAG_MONTHS = 9
 PRINT_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
@@ -107,43 +107,44 @@ _FLOWS = (
 )
 
 
-def _statement(amended: bool = False) -> list[Column]:
-    """Financial fields in currency units from summed cents."""
+def _statement(prefix: str, amended: bool) -> list[Column]:
+    """Financial fields in currency units from summed cents; the prefix picks year-to-date flows."""
 
     def money(c: Column) -> Column:
         return c / F.lit(100.0)
 
-    def col(n: str) -> Column:
-        return F.col(n)
+    def flow(n: str) -> Column:
+        return F.col(f"{prefix}{n}")
 
-    revenue = col("revenue") + col("ct") if amended else col("revenue")
-    oi = col("operating_income") - col("cd") if amended else col("operating_income")
-    disclosed = F.lit(False) if amended else col("bs_ok")
+    revenue = flow("revenue") + flow("ct") if amended else flow("revenue")
+    oi = flow("operating_income") - flow("cd") if amended else flow("operating_income")
+    disclosed = F.lit(False) if amended else F.col("n") > 16
 
     def bs(c: Column) -> Column:
         return F.when(disclosed, money(c))
 
+    rev, cd = F.col("revenue"), F.col("cd")
     return [
         money(revenue).alias("revenue"),
-        money(col("cost_of_revenue")).alias("cost_of_revenue"),
-        money(col("gross_profit")).alias("gross_profit"),
+        money(flow("cost_of_revenue")).alias("cost_of_revenue"),
+        money(flow("gross_profit")).alias("gross_profit"),
         money(oi).alias("operating_income"),
-        money(col("net_income")).alias("net_income"),
-        money(col("ct")).alias("research_and_development"),
-        money(col("cd")).alias("selling_general_administrative"),
-        (money(col("net_income")) / col("units")).alias("eps"),
-        bs(col("cash")).alias("cash_and_cash_equivalents"),
-        bs(col("bs_rev") * 3).alias("total_assets"),
-        bs(col("bs_rev") + col("bs_cd")).alias("total_liabilities"),
-        bs(col("bs_rev") * 2 - col("bs_cd")).alias("stockholders_equity"),
-        bs(col("cur_assets")).alias("current_assets"),
-        bs(col("cur_liab")).alias("current_liabilities"),
-        bs(col("debt")).alias("long_term_debt"),
-        money(col("operating_cash_flow")).alias("operating_cash_flow"),
-        money(col("capital_expenditures")).alias("capital_expenditures"),
-        money(-col("capital_expenditures")).alias("investing_cash_flow"),
-        money(col("operating_cash_flow") - col("revenue")).alias("financing_cash_flow"),
-        (money(col("operating_cash_flow")) - money(col("capital_expenditures"))).alias("free_cash_flow"),
+        money(flow("net_income")).alias("net_income"),
+        money(flow("ct")).alias("research_and_development"),
+        money(flow("cd")).alias("selling_general_administrative"),
+        (money(flow("net_income")) / flow("units")).alias("eps"),
+        bs(F.col("cash")).alias("cash_and_cash_equivalents"),
+        bs(rev * 3).alias("total_assets"),
+        bs(rev + cd).alias("total_liabilities"),
+        bs(rev * 2 - cd).alias("stockholders_equity"),
+        bs(F.col("cur_assets")).alias("current_assets"),
+        bs(F.col("cur_liab")).alias("current_liabilities"),
+        bs(F.col("debt")).alias("long_term_debt"),
+        money(flow("operating_cash_flow")).alias("operating_cash_flow"),
+        money(flow("capital_expenditures")).alias("capital_expenditures"),
+        money(-flow("capital_expenditures")).alias("investing_cash_flow"),
+        money(flow("operating_cash_flow") - flow("revenue")).alias("financing_cash_flow"),
+        (money(flow("operating_cash_flow")) - money(flow("capital_expenditures"))).alias("free_cash_flow"),
     ]
 
 
@@ -154,9 +155,6 @@ def derive_filings(lines: DataFrame) -> DataFrame:
         {
             "q_start": F.make_date("fy", F.col("fq") * 3 - 2, F.lit(1)),
             "q_end": F.last_day(F.make_date("fy", F.col("fq") * 3, F.lit(1))),
-            "bs_ok": F.col("n") > 16,
-            "bs_rev": F.col("revenue"),
-            "bs_cd": F.col("cd"),
         }
     )
     # at most four rows per (symbol, fy)
@@ -167,13 +165,12 @@ def derive_filings(lines: DataFrame) -> DataFrame:
     accession = F.concat_ws(
         "-", "symbol", F.col("fy").cast("string"), F.when(F.col("fq") == 4, "K").otherwise(F.concat(F.lit("Q"), "fq"))
     )
-    q = q.withColumns({"filed": filed, "acc": accession}).withColumn("year_start", F.make_date("fy", F.lit(1), F.lit(1)))
+    q = q.withColumns({"filed": filed, "acc": accession, "year_start": F.make_date("fy", F.lit(1), F.lit(1))})
     label = F.concat(F.lit("Q"), F.col("fq").cast("string"))
     base_form = F.when(F.col("fq") == 4, "10-K").otherwise("10-Q")
 
-    def rows(df: DataFrame, fp: Column, start: Column, filed: Column, form: Column, kind: str, acc: Column, amended=False):
-        return df.select(
-            "symbol",
+    def row(fp: Column, start: Column, filed: Column, form: Column, kind: str, acc: Column, prefix: str = "", amended=False):
+        return F.struct(
             F.col("fy").alias("fiscal_year"),
             fp.alias("fiscal_period"),
             start.alias("period_start"),
@@ -182,31 +179,21 @@ def derive_filings(lines: DataFrame) -> DataFrame:
             form.alias("form"),
             F.lit(kind).alias("data_period_type"),
             acc.alias("accession"),
-            *_statement(amended),
+            *_statement(prefix, amended),
         )
 
-    quarterly = rows(q, label, F.col("q_start"), F.col("filed"), base_form, "quarterly", F.col("acc"))
-    amended = rows(
-        q.filter((F.col("fq") < 4) & (F.col("qmax") == 50)),
-        label,
-        F.when(F.col("n") >= 26, F.date_add("q_start", 1)).otherwise(F.col("q_start")),
-        F.date_add("filed", 180),
-        F.lit("10-Q/A"),
-        "quarterly",
-        F.concat("acc", F.lit("-A")),
-        amended=True,
+    start, done, acc = F.col("q_start"), F.col("filed"), F.col("acc")
+    shifted = F.when(F.col("n") >= 26, F.date_add("q_start", 1)).otherwise(start)
+    rows = F.array(
+        row(label, start, done, base_form, "quarterly", acc),
+        F.when(
+            (F.col("fq") < 4) & (F.col("qmax") == 50),
+            row(label, shifted, F.date_add("filed", 180), F.lit("10-Q/A"), "quarterly", F.concat("acc", F.lit("-A")), amended=True),
+        ),
+        F.when(F.col("fq").isin(2, 3), row(label, F.col("year_start"), done, F.lit("10-Q"), "ytd", acc, "y_")),
+        F.when(F.col("fq") == 4, row(F.lit("FY"), F.col("year_start"), done, F.lit("10-K"), "annual", acc, "y_")),
     )
-    cumulative = q.select(
-        *[c for c in q.columns if c not in (*_FLOWS, "units") and not c.startswith("y_")],
-        *[F.col(f"y_{c}").alias(c) for c in (*_FLOWS, "units")],
-    )
-    ytd = rows(
-        cumulative.filter(F.col("fq").isin(2, 3)), label, F.col("year_start"), F.col("filed"), F.lit("10-Q"), "ytd", F.col("acc")
-    )
-    annual = rows(
-        cumulative.filter(F.col("fq") == 4), F.lit("FY"), F.col("year_start"), F.col("filed"), F.lit("10-K"), "annual", F.col("acc")
-    )
-    return quarterly.unionByName(amended).unionByName(ytd).unionByName(annual)
+    return q.select("symbol", F.inline(F.array_compact(rows)))
 
 
 def derive_facts(filings: DataFrame) -> DataFrame:
@@ -215,53 +202,43 @@ def derive_facts(filings: DataFrame) -> DataFrame:
     Adds a lower-priority revenue concept, the prior-year comparative, an identical duplicate, a
     conflicting net income, an unsupported form and a fact filed before its period ended.
     """
-    base = filings.drop("free_cash_flow").select(
-        "*",
-        F.when((F.col("form") == "10-K"), "FY").otherwise(F.col("fiscal_period")).alias("fp"),
-    )
-    meta = ["symbol", "fiscal_year", "fp", "period_start", "period_end", "filing_date", "form", "accession"]
-    long = base.unpivot([*meta, "data_period_type"], list(CONCEPTS), "field", "val").filter(F.col("val").isNotNull())
-    primary = F.element_at(F.create_map(*[F.lit(x) for f, (cs, _, _) in CONCEPTS.items() for x in (f, cs[0])]), F.col("field"))
-    instant = F.col("field").isin(*BALANCE_FIELDS)
-    # an instant is disclosed once per filing although two durations share its end
-    own = long.filter(~instant | (F.col("data_period_type") != "annual") & (F.col("data_period_type") != "ytd"))
-
-    def fact(df, concept, start, end, val, filed=F.col("filing_date"), form=F.col("form")):
-        return df.select(
-            "symbol",
-            concept.alias("concept"),
-            F.when(F.col("field") == "eps", "USD/shares").otherwise("USD").alias("unit"),
-            start.alias("start"),
-            end.alias("end"),
-            val.alias("val"),
-            F.col("accession").alias("accn"),
-            F.col("fiscal_year").alias("fy"),
-            F.col("fp"),
-            form.alias("form"),
-            filed.alias("filed"),
+    quarter = (F.col("form") == "10-Q") & (F.col("data_period_type") == "quarterly")
+    # at most one original filing per fiscal year in each (symbol, period label)
+    w = W.partitionBy("symbol", "fiscal_period", "form", "data_period_type").orderBy("fiscal_year")
+    last_year = F.lag(F.struct("fiscal_year", "period_start", "period_end", F.col("revenue").alias("val"))).over(w)
+    base = filings.drop("free_cash_flow").withColumn("_b", F.when(quarter, last_year))
+    fp = F.when(F.col("form") == "10-K", "FY").otherwise(F.col("fiscal_period"))
+    instant_row = ~F.col("data_period_type").isin("annual", "ytd")
+
+    def fact(concept, unit, val, start=F.col("period_start"), end=F.col("period_end"), filed=F.col("filing_date"), form=F.col("form")):
+        return F.struct(
+            F.lit(concept).alias("concept"), F.lit(unit).alias("unit"), start.alias("start"), end.alias("end"),
+            val.alias("val"), F.col("accession").alias("accn"), F.col("fiscal_year").alias("fy"), fp.alias("fp"),
+            form.alias("form"), filed.alias("filed"),
         )
 
-    start = F.when(~instant, F.col("period_start"))
-    end, val = F.col("period_end"), F.col("val")
-    everything = fact(own, primary, start, end, val)
-    revenue = own.filter(F.col("field") == "revenue")
-    decoy = fact(revenue, F.lit("Revenues"), start, end, val + 1)
-    duplicate = fact(own.filter((F.col("field") == "gross_profit") & (F.col("val") > 400000)), primary, start, end, val)
-    conflict = fact(own.filter((F.col("field") == "net_income") & (F.col("val") < 0)), primary, start, end, val - 1)
-    other_form = fact(revenue.filter(F.col("form") == "10-Q/A"), primary, start, end, val, form=F.lit("8-K"))
-    early = fact(revenue.filter(F.col("form") == "10-K"), primary, start, end, val, filed=F.date_sub(end, 1))
-    prior = revenue.filter((F.col("form") == "10-Q") & (F.col("data_period_type") == "quarterly"))
-    now = prior.select("symbol", "fiscal_year", "fp", "filing_date", "form", "accession", "field")
-    before = prior.select(
-        "symbol", (F.col("fiscal_year") + 1).alias("fiscal_year"), "fp", "period_start", "period_end", "val"
-    )
-    compared = now.join(before, ["symbol", "fiscal_year", "fp"])
-    restated = F.when(val > 600000, val + 5).otherwise(val)
-    comparative = fact(compared, primary, F.col("period_start"), end, restated)
-    out = everything
-    for part in (decoy, duplicate, conflict, other_form, early, comparative):
-        out = out.unionByName(part)
-    return out
-
+    items: list[Column] = []
+    for field, (concepts, unit, basis) in CONCEPTS.items():
+        here = F.col(field).isNotNull()
+        if basis == "instant":  # disclosed once per filing although two durations share its end
+            items.append(F.when(here & instant_row, fact(concepts[0], unit, F.col(field), start=F.lit(None).cast("date"))))
+        else:
+            items.append(F.when(here, fact(concepts[0], unit, F.col(field))))
+    revenue, best = F.col("revenue"), CONCEPTS["revenue"][0][0]
+    before = F.col("_b.val")
+    items += [
+        F.when(revenue.isNotNull(), fact("Revenues", "USD", revenue + 1)),
+        F.when(F.col("gross_profit") > 400000, fact("GrossProfit", "USD", F.col("gross_profit"))),
+        F.when(F.col("net_income") < 0, fact("NetIncomeLoss", "USD", F.col("net_income") - 1)),
+        F.when(F.col("form") == "10-Q/A", fact(best, "USD", revenue, form=F.lit("8-K"))),
+        F.when(F.col("form") == "10-K", fact(best, "USD", revenue, filed=F.date_sub("period_end", 1))),
+        F.when(
+            F.col("_b.fiscal_year") == F.col("fiscal_year") - 1,
+            fact(
+                best, "USD", F.when(before > 600000, before + 5).otherwise(before),
+                start=F.col("_b.period_start"), end=F.col("_b.period_end"),
+            ),
+        ),
+    ]
+    return base.select("symbol", F.inline(F.array_compact(F.array(*items))))
 
-assert FIELDS[-1] == "free_cash_flow"

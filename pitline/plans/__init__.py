@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market", "filings")
+MODULES = ("market", "filings", "pit")
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market", "filings", "pit")
+MODULES = ("market", "filings", "pit", "splits")
 
 
 def load_all() -> None:

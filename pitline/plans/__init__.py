@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market", "filings", "pit", "splits")
+MODULES = ("market", "filings", "pit", "splits", "models")
 
 
 def load_all() -> None:

@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from pitline.plans.sql import compose
+from pitline.session import apply_job_settings
 from pitline.sources import derived
 
 
@@ -20,6 +21,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_job_settings(spark)
         return self.build(Tables(spark, sf_dir))
 
 

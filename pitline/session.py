@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from pitline.config import SESSION_CONF
+from pitline.config import JOB_CONF, SESSION_CONF
 
 
 def local_session(cores: int | str = "*", memory: str = "12g", partitions: int = 8) -> SparkSession:
@@ -19,3 +19,11 @@ def local_session(cores: int | str = "*", memory: str = "12g", partitions: int =
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def apply_job_settings(spark: SparkSession) -> None:
+    """Set the job settings on a running session; explicit choices of the caller win."""
+    explicit = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in JOB_CONF.items():
+        if key not in explicit:
+            spark.conf.set(key, value)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market", "filings", "pit", "splits", "models", "profile")
+MODULES = ("market", "filings", "pit", "splits", "models", "profile", "audits")
 
 
 def load_all() -> None:

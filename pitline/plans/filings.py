@@ -222,4 +222,3 @@ def _(t: Tables):
     return charts.corporate_actions(charts.build_charts(t.bars))
 
 
-assert BALANCE_FIELDS

@@ -14,6 +14,7 @@ from pitline.operators import metrics as met
 from pitline.operators import models as mod
 from pitline.operators import splits
 from pitline.operators import stability as stab
+from pitline.operators.labels import append_labels
 from pitline.operators.rolling import with_relative
 from pitline.plans.market import rounded
 from pitline.plans.registry import Tables, query
@@ -64,11 +65,11 @@ class Study:
 
 
 def walk1(t: Tables) -> Study:
-    return Study(splits.walk_forward_members(with_relative(t.market_labelled)), SINGLE, ARMS1)
+    return Study(splits.walk_forward_members(with_relative(t.market_labelled_shared)), SINGLE, ARMS1)
 
 
 def cv1(t: Tables) -> Study:
-    return Study(splits.cv_members(with_relative(t.market_labelled)), SINGLE, ARMS1)
+    return Study(splits.cv_members(with_relative(t.market_labelled_shared)), SINGLE, ARMS1)
 
 
 # ---- SQL views -------------------------------------------------------------------------------------
@@ -188,25 +189,25 @@ def _(t: Tables):
 
 @query("walk_forward_wide_models", "M3 M7 M8")
 def _(t: Tables):
-    s = Study(splits.walk_forward_members(with_relative(t.labelled)), WIDE, ARMS_WIDE)
+    s = Study(splits.walk_forward_members(with_relative(append_labels(t.daily_shared))), WIDE, ARMS_WIDE)
     return met.fold_mae(s.oof)
 
 
 @query("representation_models", "M8 A23")
 def _(t: Tables):
-    s = Study(splits.walk_forward_members(with_relative(t.market_labelled)), MARKET_WIDE, ARMS_MARKET)
+    s = Study(splits.walk_forward_members(with_relative(t.market_labelled_shared)), MARKET_WIDE, ARMS_MARKET)
     return met.prediction_summary(s.oof, ["symbol", "model"])
 
 
 @query("design_conditioning", "M9")
 def _(t: Tables):
-    s = Study(splits.cv_members(with_relative(t.market_labelled)), MARKET_WIDE, ARMS_MARKET)
+    s = Study(splits.cv_members(with_relative(t.market_labelled_shared)), MARKET_WIDE, ARMS_MARKET)
     return mod.conditioning(s.fits)
 
 
 @query("training_influence", "M10")
 def _(t: Tables):
-    s = Study(splits.cv_members(with_relative(t.market_labelled)), MARKET_WIDE, ARMS_MARKET, whiten=True)
+    s = Study(splits.cv_members(with_relative(t.market_labelled_shared)), MARKET_WIDE, ARMS_MARKET, whiten=True)
     return mod.influence(s.members, s.params, s.fits, "treatment", ARMS_MARKET, MARKET_WIDE)
 
 
@@ -224,7 +225,7 @@ h AS (SELECT *, residual / sqrt(residual_mse * (1 - leverage)) AS studentised_re
 SELECT symbol, fold, date, {rsql(_ic)}, 2::INTEGER AS design_rank, (n - 2)::BIGINT AS residual_df, 'defined' AS undefined_reason FROM h""",
 )
 def _(t: Tables):
-    s = Study(splits.cv_members(with_relative(t.market_labelled)), SINGLE, ARMS1, whiten=True)
+    s = Study(splits.cv_members(with_relative(t.market_labelled_shared)), SINGLE, ARMS1, whiten=True)
     x = mod.influence(s.members, s.params, s.fits, "sma_20", ARMS1, SINGLE)
     return rounded(x, ["symbol", "fold", "date", "design_rank", "residual_df", "undefined_reason"], _ic)
 
@@ -466,7 +467,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     # the stored run comes from the same rows in a different order
-    stored = Study(splits.cv_members(with_relative(t.market_labelled.repartition(3, "date"))), SINGLE, ARMS1).oof
+    stored = Study(splits.cv_members(with_relative(t.market_labelled_shared.repartition(3, "date"))), SINGLE, ARMS1).oof
     r = met.control_reproduction(cv1(t).oof, stored)
     return rounded(r, [c for c in r.columns if c != "max_absolute_difference"], ("max_absolute_difference",))
 

@@ -154,7 +154,7 @@ _sv = " UNION ALL ".join(
 
 @query("running_max_state_check", "J3 V5 V6", f"SELECT * FROM ({_sv})")
 def _(t: Tables):
-    parts = [pit.state_violations(t.daily, t.filings, s) for s in ("q", "fy", "bs")]
+    parts = [pit.state_violations(t.daily_shared, t.filings, s) for s in ("q", "fy", "bs")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -184,7 +184,7 @@ _sel = ", ".join(
     f"SELECT *, selected_for_q OR selected_for_fy OR selected_for_bs AS selected_for_daily FROM (SELECT symbol, {META}, {_sel} FROM elig s)",
 )
 def _(t: Tables):
-    m = pit.mark_selected(snap.eligible(t.filings), t.daily)
+    m = pit.mark_selected(snap.eligible(t.filings), t.daily_shared)
     return m.select("symbol", *FILING_META, *[f"selected_for_{s}" for s in ("q", "fy", "bs", "daily")])
 
 

@@ -99,7 +99,7 @@ def _(t: Tables):
  {', '.join(f'{R(c, 4)} AS {c}' for c in _dist)} FROM dist_v LEFT JOIN outliers_v USING (symbol, view, feature_group, feature)""",
 )
 def _(t: Tables):
-    d = ops.distribution(ops.view_rows(t.daily, t.snapshots), _VK)
+    d = ops.distribution(ops.view_rows(t.daily_shared, t.snapshots), _VK)
     return rounded(d, [*_VK, "n", "non_finite_count", "outlier_status", "outlier_count"], _dist, 4)
 
 
@@ -109,7 +109,7 @@ def _(t: Tables):
     f"SELECT symbol, view, feature_group, feature, observations, distinct_values, {R('share')} AS dominant_value_ratio, {_const} AS near_constant FROM dominance_v",
 )
 def _(t: Tables):
-    d = ops.near_constant(ops.view_rows(t.daily, t.snapshots), _VK)
+    d = ops.near_constant(ops.view_rows(t.daily_shared, t.snapshots), _VK)
     return d.withColumn("dominant_value_ratio", rnd("dominant_value_ratio"))
 
 
@@ -177,7 +177,7 @@ _su = " UNION ALL ".join(f"SELECT symbol, feature_group, {_sk}, first_observed_d
 @query("state_residency", "A11 A12", f"SELECT * FROM ({_su})")
 def _(t: Tables):
     cols = ["symbol", "feature_group", *STATE_KEY, "first_observed_date", "last_observed_date", "daily_repeat_count"]
-    a, b, c = (ops.state_frame(t.daily, g).select(*cols) for g in GROUP_STREAM)
+    a, b, c = (ops.state_frame(t.daily_shared, g).select(*cols) for g in GROUP_STREAM)
     return a.unionByName(b).unionByName(c)
 
 
@@ -241,7 +241,7 @@ _flag = {
 SELECT symbol, feature, feature_group, coverage_label, concat_ws('|', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _flag.items())}) AS quality_flags FROM b""",
 )
 def _(t: Tables):
-    return ops.quality_flags(t.daily)
+    return ops.quality_flags(t.daily_shared)
 
 
 _groups = {"market": MARKET_FEATURES, "quarterly": STREAM_FEATURES["q"], "annual": STREAM_FEATURES["fy"], "balance_sheet": STREAM_FEATURES["bs"]}
@@ -278,7 +278,6 @@ def _(t: Tables):
 def _(t: Tables):
     from pitline.operators.compare import profile_violations
 
-    return profile_violations(t.daily)
+    return profile_violations(t.daily_shared)
 
 
-assert F

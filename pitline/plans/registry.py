@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from pitline.plans.sql import compose
@@ -39,7 +40,7 @@ def query(name: str, covers: str, sql: str | None = None):
 
 
 class Tables:
-    """Lazy inputs of one run; nothing is cached or collected."""
+    """Lazy inputs of one run. Only the two shared frames are kept, and only by plans that scan them repeatedly."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -64,6 +65,15 @@ class Tables:
     def facts(self) -> DataFrame:
         return derived.derive_facts(self.filings)
 
+    @cached_property
+    def daily_shared(self) -> DataFrame:
+        """The daily matrix kept for plans that read it several times; lost blocks are recomputed from lineage."""
+        return self.daily.persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def market_labelled_shared(self) -> DataFrame:
+        return self.market_labelled.persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def features(self) -> DataFrame:
         from pitline.operators.rolling import build_features

@@ -209,4 +209,3 @@ def _(t: Tables):
     return ops.lock_audit(ops.walk_forward_members(t.labels), "2001-04-01")
 
 
-assert PRIMARY_TARGET

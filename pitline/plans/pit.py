@@ -120,7 +120,7 @@ def _(t: Tables):
 _sc = [f"{p}_{c}" for p in ("q", "fy", "bs") for c in _state if c not in FILING_META or c == "accession"]
 
 
-@query("daily_states", "J4", f"SELECT symbol, date, {', '.join(_sc)}, {', '.join('bs_' + c for c in BALANCE_FIELDS)} FROM daily_v")
+@query("daily_states", "J4 P7", f"SELECT symbol, date, {', '.join(_sc)}, {', '.join('bs_' + c for c in BALANCE_FIELDS)} FROM daily_v")
 def _(t: Tables):
     return t.daily.select("symbol", "date", *_sc, *[f"bs_{c}" for c in BALANCE_FIELDS])
 

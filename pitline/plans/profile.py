@@ -281,3 +281,22 @@ def _(t: Tables):
     return profile_violations(t.daily_shared)
 
 
+
+
+@query(
+    "model_matrix_check",
+    "V11 V18",
+    """SELECT symbol, count(*) AS rows, 0::BIGINT AS duplicate_rows, count_if(date NOT BETWEEN DATE '1996-01-01' AND DATE '2001-06-30')::BIGINT AS rows_outside_window,
+ 0::BIGINT AS infinite_cells FROM daily_v GROUP BY symbol""",
+)
+def _(t: Tables):
+    return ops.matrix_check(t.daily, ("1996-01-01", "2001-06-30"))
+
+
+@query(
+    "feature_group_cells",
+    "P10 P15",
+    f"SELECT symbol, {_grp} AS feature_group, count(DISTINCT feature) AS features, count(value) AS filled_cells, count(*) AS cells FROM long_v GROUP BY ALL",
+)
+def _(t: Tables):
+    return ops.group_cells(t.daily)

@@ -31,7 +31,8 @@ def fit_preprocessing(members: DataFrame, features: tuple[str, ...], target: str
     """Training statistics per (symbol, fold): one struct per feature, plus row count and label mean.
 
     Mean and deviation are those of the median-filled column, composed from the observed moments so
-    that one aggregate over the training rows suffices.
+    that one aggregate over the training rows suffices. The median comes from the sorted training values
+    of one symbol, at most one per session, which is far cheaper than a hash of value counts.
     """
     train = F.col("role") == "train"
     n = F.count_if(train).cast("double")
@@ -44,7 +45,7 @@ def fit_preprocessing(members: DataFrame, features: tuple[str, ...], target: str
                 F.lit(name).alias("feature"),
                 F.count(x).alias("n"),
                 F.try_divide(cnt, n).alias("coverage"),
-                F.median(x).alias("median"),
+                F.sort_array(F.collect_list(x)).alias("sorted"),
                 F.avg(x).alias("avg"),
                 F.var_pop(x).alias("var"),
                 F.min(x).alias("lo"),
@@ -56,6 +57,15 @@ def fit_preprocessing(members: DataFrame, features: tuple[str, ...], target: str
         *[f"_p{i}" for i in range(len(features))]
     )
 
+    def median(v: Column, n: Column) -> Column:
+        low, high = F.get(v, ((n - 1) / 2).cast("int")), F.get(v, (n / 2).cast("int"))
+        return F.when(n > 0, (low + high) / 2)
+
+    s = s.withColumn(
+        "p",
+        F.transform("p", lambda p: p.withField("median", median(p["sorted"], p["n"])).dropFields("sorted")),
+    )
+
     def finish(p: Column) -> Column:
         n, cnt = F.col("n_train").cast("double"), p["n"].cast("double")
         missing = n - cnt
@@ -92,13 +102,12 @@ def usage(params: DataFrame) -> DataFrame:
 
 def standardise(members: DataFrame, params: DataFrame, features: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
     """Frozen transform: median fill, centre and scale with the fold's training statistics; unused features are zero."""
-    x = F.array(*[F.col(c).cast("double") for c in features])
-    z = F.zip_with(
-        x,
-        F.col("p"),
-        lambda v, p: F.when(p["used"], (F.coalesce(v, p["median"]) - p["mean"]) / p["scale"]).otherwise(F.lit(0.0)),
-    )
-    return members.join(params, KEY).select(*KEY, *[c for c in keep if c not in KEY], "n_train", "y_mean", "p", z.alias("z"))
+    # spelled per feature rather than with a lambda so that the projection is compiled
+    cells = [
+        F.expr(f"CASE WHEN p[{i}].used THEN (coalesce(CAST(`{c}` AS DOUBLE), p[{i}].median) - p[{i}].mean) / p[{i}].scale ELSE 0D END")
+        for i, c in enumerate(features)
+    ]
+    return members.join(params, KEY).select(*KEY, *[c for c in keep if c not in KEY], "n_train", "y_mean", "p", F.array(*cells).alias("z"))
 
 
 def _triangle(a: np.ndarray) -> np.ndarray:
@@ -106,13 +115,18 @@ def _triangle(a: np.ndarray) -> np.ndarray:
 
 
 def _block_factor(table: pa.Table) -> pa.Table:
-    n = table.num_rows
-    z = table.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    a = np.column_stack([np.ones(n), z, table.column("y").to_numpy()])
-    first = table.slice(0, 1)
+    """Triangular factor of [1, z, y] for every fold present in one block of a symbol's rows."""
+    fold = table.column("fold").to_numpy()
+    z = table.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(fold), -1)
+    a = np.column_stack([np.ones(len(fold)), z, table.column("y").to_numpy()])
+    order = np.argsort(fold, kind="stable")
+    folds, start = np.unique(fold[order], return_index=True)
+    parts = np.split(a[order], start[1:])
+    symbol = table.column("symbol")[0].as_py()
     return pa.table(
-        {"symbol": first.column("symbol"), "fold": first.column("fold"), "n": pa.array([n], pa.int64()),
-         "r": pa.array([_triangle(a).ravel()], pa.list_(pa.float64()))}
+        {"symbol": pa.array([symbol] * len(folds), pa.string()), "fold": pa.array(folds, pa.int32()),
+         "n": pa.array([len(x) for x in parts], pa.int64()),
+         "r": pa.array([_triangle(x).ravel() for x in parts], pa.list_(pa.float64()))}
     )
 
 
@@ -169,19 +183,25 @@ def fit_linear(
     )
 
     def reduce(table: pa.Table) -> pa.Table:
-        flat = [np.asarray(v, dtype=float).reshape(-1, width) for v in table.column("r").to_pylist()]
-        n = sum(table.column("n").to_pylist())
-        r = _triangle(np.vstack([*flat, np.zeros((width, width))]))
-        ident = {"symbol": table.column("symbol")[0].as_py(), "fold": table.column("fold")[0].as_py()}
-        rows = [{**ident, "arm": arm, **row} for arm, cols in subsets.items() for row in _solve(r, n, cols, alpha, whiten)]
+        symbol = table.column("symbol")[0].as_py()
+        per_fold: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for fold, n, r in zip(*(table.column(c).to_pylist() for c in ("fold", "n", "r"))):
+            per_fold.setdefault(fold, []).append((n, np.asarray(r, dtype=float).reshape(-1, width)))
+        rows = []
+        for fold, blocks in sorted(per_fold.items()):
+            r = _triangle(np.vstack([*[b for _, b in blocks], np.zeros((width, width))]))
+            n = sum(k for k, _ in blocks)
+            for arm, cols in subsets.items():
+                rows += [{"symbol": symbol, "fold": fold, "arm": arm, **x} for x in _solve(r, n, cols, alpha, whiten)]
         return pa.Table.from_pylist(rows, schema=out_schema)
 
+    # one call per symbol and block serves all its folds; a symbol's block stays below QR_BLOCK_ROWS rows per fold
     factors = (
         z.select(*KEY, "block", "z", "y")
-        .groupBy(*KEY, "block")
+        .groupBy("symbol", "block")
         .applyInArrow(_block_factor, "symbol string, fold int, n bigint, r array<double>")
     )
-    return factors.groupBy(*KEY).applyInArrow(reduce, FIT_SCHEMA)
+    return factors.groupBy("symbol").applyInArrow(reduce, FIT_SCHEMA)
 
 
 def training_rows(members: DataFrame, params: DataFrame, features: tuple[str, ...], target: str = PRIMARY_TARGET) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from pitline.config import FUNDAMENTAL_FEATURES, MARKET_FEATURES, RELATIVE_FEATURES
@@ -37,7 +38,8 @@ class Study:
 
     @cached_property
     def params(self):
-        return mod.fit_preprocessing(self.members, self.features)
+        # a few numbers per symbol, fold and feature, read by both the fit and the scoring
+        return mod.fit_preprocessing(self.members, self.features).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def train_z(self):

@@ -610,8 +610,15 @@ cte(
  SELECT *, rank() OVER (PARTITION BY {_ak} ORDER BY z) + (count(*) OVER (PARTITION BY {_ak}, z) - 1) / 2.0 AS rz,
   rank() OVER (PARTITION BY {_ak} ORDER BY y) + (count(*) OVER (PARTITION BY {_ak}, y) - 1) / 2.0 AS ry FROM cv_z) GROUP BY ALL""",
 )
+
+
+def sgn(x: str) -> str:
+    """Sign with the registered zero band."""
+    return f"(CASE WHEN abs({x}) <= 1e-15 THEN 0 ELSE sign({x}) END)"
+
+
 _as = ", ".join(
-    f"{R('t.' + m)} AS train_{m}, {R('v.' + m)} AS validation_{m}, sign(t.{m}) = sign(v.{m}) AS {m}_sign_match, sign(t.{m}) * sign(v.{m}) = -1 AS {m}_sign_flip, {R(f'abs(t.{m} - v.{m})')} AS absolute_change_{m}"
+    f"{R('t.' + m)} AS train_{m}, {R('v.' + m)} AS validation_{m}, {sgn('t.' + m)} = {sgn('v.' + m)} AS {m}_sign_match, {sgn('t.' + m)} * {sgn('v.' + m)} = -1 AS {m}_sign_flip, {R(f'abs(t.{m} - v.{m})')} AS absolute_change_{m}"
     for m in ("pearson", "spearman")
 )
 cte(

@@ -192,6 +192,8 @@ class Encoder:
                 block.append(self.pattern.findall(text))
                 size += len(text)
                 continue
+            flush()
+            size = 0
             parts, matches = [], (m.group() for m in self.pattern.finditer(text))
             while pieces := list(islice(matches, BLOCK_CHARS // 4)):
                 self.learn(set(pieces))

@@ -31,7 +31,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: The sample: at most so many records and bytes of them; and the dictionary's largest size.
 SAMPLE_RECORDS = 2_000
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 8 << 20
 DICTIONARY_BYTES = 110 << 10
 LEVEL = 6
 #: An archive is closed when its compressed size passes this.
@@ -72,7 +72,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 
 
 def train(spark: SparkSession, records: DataFrame) -> bytes:
-    """A dictionary from the sample, made in one task; empty if there are too few records for one.
+    """A dictionary from the sample, made in one task; empty only if there are no records.
 
     records: (page_id, url, payload). The sample is the records with the smallest payload hashes, whole ones until SAMPLE_BYTES are full.
     """
@@ -86,12 +86,10 @@ def train(spark: SparkSession, records: DataFrame) -> bytes:
                 if size + len(raw) <= SAMPLE_BYTES:
                     samples.append(raw)
                     size += len(raw)
-        trained = b""
-        if len(samples) >= 8:
-            try:
-                trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 10)), samples, level=LEVEL).as_bytes()
-            except zstandard.ZstdError:  # the samples have too little in common
-                trained = b""
+        try:
+            trained = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 10)), samples, k=200, d=8).as_bytes()
+        except zstandard.ZstdError:  # too little to train on: the records themselves, as a dictionary of raw content
+            trained = b"".join(samples)[:DICTIONARY_BYTES]
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([trained], pa.binary())})
 
     return max((r["dictionary"] for r in sample.coalesce(1).mapInArrow(run, "dictionary binary").collect()), key=len, default=b"")

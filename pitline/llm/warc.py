@@ -102,7 +102,7 @@ class Archive:
         system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         system.create_dir(root, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.file = system.open_output_stream(f"{root}/{self.name}")
+        self.file = system.open_output_stream(f"{root}/{self.name}", compression=None)  # the name would have it compressed again
         self.size, self.records = 0, 0
         if dictionary:
             self.put(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
@@ -206,7 +206,7 @@ def read_back(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
                 rows, size = [], 0
-                with system.open_input_stream(place) as stream:
+                with system.open_input_stream(place, compression=None) as stream:
                     for raw in frames(stream):
                         rows.append(parsed(raw))
                         size += len(raw) if payloads else 500

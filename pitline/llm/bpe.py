@@ -29,9 +29,9 @@ from pitline.llm.common import by_batch, carried
 #: Largest vocabulary file that is sent to all workers.
 MAX_FILE_BYTES = 64 << 20
 #: Pre-tokens that a worker's cache holds before it starts anew; a memory bound without effect on results.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 #: Characters of text that are split and looked up together.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 
 
 class RankQueue:

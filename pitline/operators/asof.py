@@ -1,4 +1,4 @@
-"""As-of joins by union and running windows: one shuffle on the key, linear in rows.
+"""As-of joins by union and running windows: one shuffle on the key, a sort and one pass over the rows.
 
 The right side must hold one row per key and time; callers aggregate to that first, which also keeps
 a partition no larger than the key's own calendar.
@@ -34,7 +34,8 @@ def next_after(events: DataFrame, sessions: DataFrame, by: str, event_on: str, s
     """
     times = events.select(by, F.col(event_on).alias("_t")).distinct().withColumn("_k", F.lit(1))
     cal = sessions.select(by, F.col(session_on).alias("_t"), F.lit(0).alias("_k"))
-    w = W.partitionBy(by).orderBy("_t", "_k").rowsBetween(0, W.unboundedFollowing)
-    u = times.unionByName(cal).withColumn(out, F.first(F.when(F.col("_k") == 0, F.col("_t")), ignorenulls=True).over(w))
+    # backwards in time, so that the frame grows row by row and each row is taken once
+    w = W.partitionBy(by).orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
+    u = times.unionByName(cal).withColumn(out, F.last(F.when(F.col("_k") == 0, F.col("_t")), ignorenulls=True).over(w))
     found = u.filter(F.col("_k") == 1).select(by, F.col("_t").alias(event_on), out)
     return events.join(found, [by, event_on], "left")

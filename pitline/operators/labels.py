@@ -14,38 +14,30 @@ def label_columns() -> tuple[str, ...]:
     return ("target_entry_date", "target_entry_open", *per)
 
 
-def build_labels(bars: DataFrame) -> DataFrame:
+def _with_labels(df: DataFrame) -> DataFrame:
     """Positional labels per symbol; sessions without a future stay NULL. Overflowing returns raise."""
     w = by_session()
     cols = {"target_entry_date": F.lead("date").over(w), "target_entry_open": F.lead("open").over(w)}
     for h in HORIZONS:
         cols[f"target_exit_date_{h}d"] = F.lead("date", h).over(w)
         cols[f"target_exit_close_{h}d"] = F.lead("close", h).over(w)
-    df = bars.withColumns(cols)
+    returns = {}
     for h in HORIZONS:
         ret = F.col(f"target_exit_close_{h}d") / F.col("target_entry_open") - 1
-        guarded = F.when(F.abs(ret) == float("inf"), F.raise_error(F.lit(f"non-finite return at horizon {h}"))).otherwise(ret)
-        df = df.withColumn(f"forward_return_{h}d", guarded)
-    return df.select("symbol", "date", *label_columns())
+        returns[f"forward_return_{h}d"] = F.when(F.abs(ret) == float("inf"), F.raise_error(F.lit(f"non-finite return at horizon {h}"))).otherwise(ret)
+    return df.withColumns(cols).withColumns(returns)
+
+
+def build_labels(bars: DataFrame) -> DataFrame:
+    return _with_labels(bars).select("symbol", "date", *label_columns())
 
 
 def append_labels(features: DataFrame) -> DataFrame:
     """Labels beside the feature columns; both come from the same sorted partition, so no join is needed."""
-    labels = label_columns()
-    clash = set(labels) & set(features.columns)
+    clash = set(label_columns()) & set(features.columns)
     if clash:
         raise ValueError(f"columns already present: {sorted(clash)}")
-    w = by_session()
-    df = features.withColumns(
-        {
-            "target_entry_date": F.lead("date").over(w),
-            "target_entry_open": F.lead("open").over(w),
-            **{f"target_exit_date_{h}d": F.lead("date", h).over(w) for h in HORIZONS},
-            **{f"target_exit_close_{h}d": F.lead("close", h).over(w) for h in HORIZONS},
-        }
-    )
-    returns = {f"forward_return_{h}d": F.col(f"target_exit_close_{h}d") / F.col("target_entry_open") - 1 for h in HORIZONS}
-    return df.withColumns(returns).select(*features.columns, *labels)
+    return _with_labels(features).select(*features.columns, *label_columns())
 
 
 def price_contract(bars: DataFrame) -> DataFrame:

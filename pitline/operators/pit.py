@@ -70,11 +70,13 @@ def attach_states(market: DataFrame, observations: DataFrame, streams: tuple[str
     right = win.select("symbol", F.col("filing_date").alias("_t"), F.lit(1).alias("_k"), *streams)
     order = W.partitionBy("symbol").orderBy("_t", "_k")
     past = order.rowsBetween(W.unboundedPreceding, 0)
+    # the next session is the last one met going backwards in time; a frame open to the future would be read anew for every row
+    later = W.partitionBy("symbol").orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
     session = F.when(F.col("_k") == 0, F.col("_t"))
     u = left.unionByName(right, allowMissingColumns=True)
     u = u.withColumns(
         {
-            "_eff": F.first(session, ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)),
+            "_eff": F.last(session, ignorenulls=True).over(later),
             "_first": F.min(session).over(past),
         }
     )

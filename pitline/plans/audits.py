@@ -250,10 +250,7 @@ _px = " AND ".join(f"coalesce(q_{c} BETWEEN 0.5 AND 2, true)" for c in PRICE_COL
 @query(
     "corporate_action_audit",
     "C8 V12",
-    f"""WITH y AS (SELECT symbol, year(date) AS year, count(*) AS n FROM bars GROUP BY ALL),
-b AS (SELECT symbol, year FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, year DESC) AS rn FROM y) WHERE rn = 1),
-d AS (SELECT bars.* FROM bars JOIN b ON b.symbol = bars.symbol AND b.year = year(bars.date)),
-ev AS (SELECT symbol, date, 'dividends' AS event_type FROM d WHERE volume >= 90 UNION ALL SELECT symbol, date, 'splits' FROM d WHERE high >= low * 2),
+    f"""WITH ev AS (SELECT symbol, date, 'dividends' AS event_type FROM bars WHERE volume >= 90 UNION ALL SELECT symbol, date, 'splits' FROM bars WHERE high >= low * 2),
 p AS (SELECT *, {_cr}, close / lag(close) OVER w AS close_ratio, open / lag(close) OVER w AS otp, {', '.join(f'{c} / lag({c}) OVER w AS q_{c}' for c in PRICE_COLUMNS)} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 q AS (SELECT *, {_cx} FROM p)
 SELECT ev.symbol, ev.date, event_type, {R('close_ratio')} AS close_ratio, {R('otp')} AS open_to_prior_close, false AS absent_from_bars, {_px} AS ratios_within_bounds,
@@ -382,8 +379,8 @@ def _(t: Tables):
 
     cols = ["q_accession", "fy_accession", "bs_accession", "q_effective_date", "q_gross_margin", "current_ratio"]
     a = pit.attach_states(t.bars.select(*KEY), t.snapshots)
-    shuffled = t.filings.repartition(7, F.xxhash64("accession", "data_period_type"))
-    b = pit.attach_states(t.bars.select(*KEY).repartition(5, "date"), build_snapshots(shuffled))
+    shuffled = t.filings.repartition(F.xxhash64("accession", "data_period_type"))
+    b = pit.attach_states(t.bars.select(*KEY).repartition("date"), build_snapshots(shuffled))
     return cmp.exact_diff(a.select(*KEY, *cols), b.select(*KEY, *cols), KEY)
 
 

@@ -212,11 +212,8 @@ def _(t: Tables):
 @query(
     "corporate_actions",
     "S13",
-    """WITH y AS (SELECT symbol, year(date) AS year, count(*) AS n FROM bars GROUP BY ALL),
-b AS (SELECT symbol, year FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, year DESC) AS rn FROM y) WHERE rn = 1),
-d AS (SELECT bars.* FROM bars JOIN b ON b.symbol = bars.symbol AND b.year = year(bars.date))
-SELECT symbol, date, 'dividends' AS event_type, NULL::DOUBLE AS split_ratio, open AS dividend_amount FROM d WHERE volume >= 90
-UNION ALL SELECT symbol, date, 'splits', 2.0::DOUBLE, NULL::DOUBLE FROM d WHERE high >= low * 2""",
+    """SELECT symbol, date, 'dividends' AS event_type, NULL::DOUBLE AS split_ratio, open AS dividend_amount FROM bars WHERE volume >= 90
+UNION ALL SELECT symbol, date, 'splits', 2.0::DOUBLE, NULL::DOUBLE FROM bars WHERE high >= low * 2""",
 )
 def _(t: Tables):
     return charts.corporate_actions(charts.build_charts(t.bars))

@@ -469,7 +469,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     # the stored run comes from the same rows in a different order
-    stored = Study(splits.cv_members(with_relative(t.market_labelled_shared.repartition(3, "date"))), SINGLE, ARMS1).oof
+    stored = Study(splits.cv_members(with_relative(t.market_labelled_shared.repartition("date"))), SINGLE, ARMS1).oof
     r = met.control_reproduction(cv1(t).oof, stored)
     return rounded(r, [c for c in r.columns if c != "max_absolute_difference"], ("max_absolute_difference",))
 

@@ -22,8 +22,7 @@ def local_session(cores: int | str = "*", memory: str = "12g", partitions: int =
 
 
 def apply_job_settings(spark: SparkSession) -> None:
-    """Set the job settings on a running session; explicit choices of the caller win."""
-    explicit = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    """Set the job settings that are unset, whether at launch or since; choices of the caller win, and partition sizes are theirs."""
     for key, value in JOB_CONF.items():
-        if key not in explicit:
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)

@@ -34,7 +34,8 @@ CHART = T.StructType(
 
 
 def parse_charts(docs: DataFrame, body: str = "body") -> DataFrame:
-    return docs.select(F.from_json(body, CHART).alias("c")).select("c.*").withColumn("symbol", F.col("meta.symbol"))
+    window = [c for c in ("year",) if c in docs.columns]
+    return docs.select(*window, F.from_json(body, CHART).alias("c")).select(*window, "c.*").withColumn("symbol", F.col("meta.symbol"))
 
 
 def chart_rows(docs: DataFrame) -> DataFrame:
@@ -63,9 +64,9 @@ def chart_session_counts(rows: DataFrame) -> DataFrame:
 
 
 def corporate_actions(docs: DataFrame) -> DataFrame:
-    """Splits and dividends of each symbol's longest response."""
+    """Splits and dividends of each symbol, from the longest response for each of its windows (column `year`, if there is one)."""
     c = parse_charts(docs)
-    best = c.groupBy("symbol").agg(
+    best = c.groupBy("symbol", *[w for w in ("year",) if w in c.columns]).agg(
         F.max_by(F.struct("events"), F.struct(F.size("timestamp").alias("n"), F.col("timestamp")[0].alias("from"))).alias("r")
     )
     kinds = best.select("symbol", F.explode("r.events").alias("event_type", "items"))

@@ -77,9 +77,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.with_revisits(read(spark, sf_dir, "pages"))
-    manifest = warc.write(records, scratch_path(spark, "archives"))
-    return warc.read_back(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read(spark, sf_dir, "pages")
+    manifest = warc.write(warc.with_revisits(pages), scratch_path(spark, "archives"), warc.payloads(pages))
+    return warc.read_back(manifest, with_payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

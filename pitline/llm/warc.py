@@ -74,9 +74,12 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 def train(spark: SparkSession, records: DataFrame) -> bytes:
     """A dictionary from the sample, made in one task; empty only if there are no records.
 
-    records: (page_id, url, payload). The sample is the records with the smallest payload hashes, whole ones until SAMPLE_BYTES are full.
+    records: (page_id, url, payload). The sample is about SAMPLE_RECORDS records chosen by a hash of their payload, so each task sends
+    only those, whole ones until SAMPLE_BYTES are full.
     """
-    sample = records.select("page_id", "url", "payload").orderBy(F.xxhash64("payload"), "page_id").limit(SAMPLE_RECORDS)
+    one_in = max(1, records.count() // SAMPLE_RECORDS)
+    chosen = F.pmod(F.xxhash64("payload", "page_id"), F.lit(one_in)) == 0
+    sample = records.select("page_id", "url", "payload").where(chosen & (F.octet_length("payload") <= SAMPLE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples, size = [], 0
@@ -92,7 +95,7 @@ def train(spark: SparkSession, records: DataFrame) -> bytes:
             trained = b"".join(samples)[:DICTIONARY_BYTES]
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([trained], pa.binary())})
 
-    return max((r["dictionary"] for r in sample.coalesce(1).mapInArrow(run, "dictionary binary").collect()), key=len, default=b"")
+    return max((r["dictionary"] for r in sample.repartition(1).mapInArrow(run, "dictionary binary").collect()), key=len, default=b"")
 
 
 class Archive:
@@ -117,14 +120,15 @@ class Archive:
         self.records += 1
 
 
-def write(records: DataFrame, folder: str) -> DataFrame:
+def write(records: DataFrame, folder: str, examples: DataFrame | None = None) -> DataFrame:
     """Write records (page_id, url, payload, refers_to) into archives in `folder`; returns the manifest (path, records, bytes), itself a table.
 
+    examples: records that the dictionary is made from where reading them costs less than reading `records` once more; the same rows else.
     Null payloads are empty, null urls leave out their header, and null page_ids get a record id from digest and url.
     """
     spark = records.sparkSession
     records = records.select("page_id", "url", F.coalesce("payload", F.lit(b"")).alias("payload"), "refers_to")
-    dictionary = spark.sparkContext.broadcast(train(spark, records))
+    dictionary = spark.sparkContext.broadcast(train(spark, records if examples is None else examples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, done = None, []
@@ -197,9 +201,9 @@ def parsed(raw: bytes) -> dict:
 READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def read_back(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives in a manifest, digests verified; one archive is one unit of work. payloads: False leaves them out."""
-    schema = READ if payloads else READ.remove(6)
+def read_back(manifest: DataFrame, with_payloads: bool = True) -> DataFrame:
+    """The records of the archives in a manifest, digests verified; one archive is one unit of work. with_payloads: False leaves payloads out."""
+    schema = READ if with_payloads else READ.remove(6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,14 +213,19 @@ def read_back(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 with system.open_input_stream(place, compression=None) as stream:
                     for raw in frames(stream):
                         rows.append(parsed(raw))
-                        size += len(raw) if payloads else 500
+                        size += len(raw) if with_payloads else 500
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     columns = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, columns + (", payload binary" if payloads else ""))
+    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, columns + (", payload binary" if with_payloads else ""))
+
+
+def payloads(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, url, payload) of pages; null html is an empty payload."""
+    return pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
 
 
 def with_revisits(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -225,7 +234,7 @@ def with_revisits(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     Null html is an empty payload. Rows that repeat the smallest page_id with its payload are all responses. Null page_ids revisit the
     smallest one that is not null; without one they are responses. Payloads are compared by SHA-256.
     """
-    rows = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = payloads(pages, id, url, html)
     rows = rows.withColumn("same", F.sha2("payload", 256))
     firsts = rows.where(F.octet_length("payload") >= min_bytes).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))

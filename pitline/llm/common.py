@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of an Arrow batch where the session sets no number of its own: rows hold whole texts, and a worker holds a batch several times over.
+BATCH_ROWS = 1_000
 #: A side is broadcast explicitly only if a count shows that it has at most this many (narrow) rows.
 BROADCAST_ROWS = 20_000
 
@@ -52,6 +54,9 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], k
     """mapInArrow that keeps some columns as they are and appends those that fn computes for each batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, None) in (None, "10000"):  # unset reads as Spark's default
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
     schema = T.StructType([df.schema[c] for c in keep] + list(added))
     types = {f.name: f.type for f in to_arrow_schema(added)}
 

@@ -29,9 +29,9 @@ from pitline.llm.common import by_batch, carried
 #: Largest vocabulary file that is sent to all workers.
 MAX_FILE_BYTES = 64 << 20
 #: Pre-tokens that a worker's cache holds before it starts anew; a memory bound without effect on results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Characters of text that are split and looked up together.
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 250_000
 
 
 class RankQueue:
@@ -231,17 +231,26 @@ class Vocabulary:
         return _ENCODERS[key]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """docs as one struct `row`, with `ids` (binary, little-endian unsigned 32-bit) of the whole text and `n_tokens` (long).
+def as_lists(packed: list[bytes]) -> pa.ListArray:
+    """Packed ids as lists of 32-bit integers."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
+    flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
-    A null text counts as empty: no ids. Repeated rows, null ids and columns of any name pass through inside `row`.
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", packed: bool = True) -> DataFrame:
+    """docs as one struct `row`, with `ids` of the whole text and `n_tokens` (long).
+
+    ids: binary, little-endian unsigned 32-bit, or array<int> if packed is False. A null text counts as empty: no ids. Repeated rows,
+    null ids and columns of any name pass through inside `row`.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
         ids = vocabulary.encoder().encode([t or "" for t in batch.column("llm_text").to_pylist()])
-        return {"ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
+        return {"ids": ids if packed else as_lists(ids), "n_tokens": [len(x) // 4 for x in ids]}
 
-    added = T.StructType([T.StructField("ids", T.BinaryType(), False), T.StructField("n_tokens", T.LongType(), False)])
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
+    added = T.StructType([T.StructField("ids", kind, False), T.StructField("n_tokens", T.LongType(), False)])
     return by_batch(docs.select(carried(docs), F.col(text).cast("string").alias("llm_text")), run, ["row"], added)
 
 
@@ -254,17 +263,3 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: list[str], ids: str
 
     added = T.StructType([T.StructField("decoded", T.BinaryType(), False)])
     return by_batch(encoded.select(*keep, F.col(ids).alias("llm_ids")), run, keep, added)
-
-
-def unpacked(table: DataFrame, ids: str = "ids", name: str = "input_ids") -> DataFrame:
-    """All columns but the packed ids, and the ids as array<int>."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        packed = [x or b"" for x in batch.column("llm_ids").to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in packed)])
-        flat = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
-        return {name: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
-
-    keep = [c for c in table.columns if c != ids]
-    added = T.StructType([T.StructField(name, T.ArrayType(T.IntegerType()), False)])
-    return by_batch(table.select(*keep, F.col(ids).alias("llm_ids")), run, keep, added)

@@ -108,9 +108,9 @@ def test_odd_ranks_and_blocks(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
-def test_unpacked(edge, vocabulary):
-    for r in bpe.unpacked(bpe.encode(edge, vocabulary)).collect():
-        assert len(r["input_ids"]) == r["n_tokens"]
+def test_lists(edge, vocabulary, reference):
+    for r in bpe.encode(edge, vocabulary, packed=False).collect():
+        assert r["ids"] == reference.encode_ordinary(r["row"]["text"] or "") and r["n_tokens"] == len(r["ids"])
 
 
 # token counts

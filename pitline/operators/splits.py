@@ -268,19 +268,27 @@ def _fold_base(cfg: WalkForwardConfig) -> int:
 def walk_forward_candidates(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
     """Every (session, fold) pair a fold may see: its validation sessions and all earlier ones.
 
-    A symbol's fold starts are a fixed-length array next to its rows; exploding multiplies rows by at
-    most the number of folds and keeps the symbol partitioning. Sessions after the last fold and folds
-    without sessions produce nothing.
+    Folds are the quarters with sessions from the first one of the calendar to the symbol's last labelled session, a partial last
+    one included. They are a short array next to the symbol's rows; exploding multiplies rows by at most the number of quarters
+    and keeps the symbol partitioning. A declared fold without sessions raises.
     """
-    s = W.partitionBy("symbol")
-    n, h = cfg.n_folds, cfg.horizon
-    df = frame.withColumn("_q", quarter_index("date") - _fold_base(cfg))
-    starts = F.array(*[F.min(F.when(F.col("_q") == f, F.col("date"))).over(s) for f in range(n)])
-    df = df.withColumn("_starts", starts)
+    s, h = W.partitionBy("symbol"), cfg.horizon
     label = F.col(f"forward_return_{h}d").isNotNull()
-    first = F.greatest(F.col("_q"), F.lit(0))
-    x = df.filter(F.col("_q") < n).select("*", F.explode(F.sequence(first, F.lit(n - 1))).alias("fold"))
-    x = x.withColumn("fold_start", F.get(F.col("_starts"), F.col("fold"))).filter(F.col("fold_start").isNotNull())
+    if cfg.locked_from is not None:
+        lock = F.lit(cfg.locked_from).cast("date")
+        frame, label = frame.filter(F.col("date") < lock), label & (F.col(f"target_exit_date_{h}d") < lock)
+    df = frame.withColumn("_q", quarter_index("date") - _fold_base(cfg))
+    df = df.withColumns({"_from": F.min("date").over(W.partitionBy("symbol", "_q")), "_last": F.max(F.when(label, F.col("_q"))).over(s)})
+    inside = (F.col("_q") >= 0) & (F.col("_q") <= F.col("_last"))
+    if cfg.n_folds is not None:
+        inside = inside & (F.col("_q") < cfg.n_folds)
+    folds = F.collect_set(F.when(inside, F.struct(F.col("_q").alias("fold"), F.col("_from").alias("fold_start")))).over(s)
+    df = df.withColumn("_folds", folds)
+    if cfg.n_folds is not None:
+        missing = F.raise_error(F.concat(F.lit("a declared fold has no labelled session: "), F.col("symbol")))
+        df = df.withColumn("_folds", F.when(F.size("_folds") == cfg.n_folds, F.col("_folds")).otherwise(missing))
+    seen = F.filter("_folds", lambda f: f["fold"] >= F.col("_q"))
+    x = df.select(*[c for c in df.columns if c not in ("_from", "_last", "_folds")], F.inline(seen))
     exits = F.col(f"target_exit_date_{h}d")
     role = (
         F.when((F.col("_q") == F.col("fold")) & label, "validation")
@@ -289,7 +297,7 @@ def walk_forward_candidates(frame: DataFrame, cfg: WalkForwardConfig = WalkForwa
         .when(label, "purged")
         .otherwise("unlabelled")
     )
-    return x.withColumn("role", role).drop("_q", "_starts")
+    return x.withColumn("role", role).drop("_q")
 
 
 def walk_forward_members(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:

@@ -84,8 +84,9 @@ FROM (SELECT *, CASE WHEN nominal_role IN ('unlabeled_tail', 'pre_test_gap') THE
 )
 cte(
     "wf_starts",
-    """SELECT symbol, (year(date) * 4 + quarter(date) - 1 - 7988)::INTEGER AS fold, min(date) AS fold_start FROM bars
-WHERE year(date) * 4 + quarter(date) - 1 BETWEEN 7988 AND 8005 GROUP BY ALL""",
+    """SELECT b.symbol, (year(b.date) * 4 + quarter(b.date) - 1 - 7988)::INTEGER AS fold, min(b.date) AS fold_start FROM bars b
+JOIN (SELECT symbol, max(date) AS last_labelled FROM labels_v WHERE forward_return_5d IS NOT NULL GROUP BY symbol) e ON e.symbol = b.symbol
+WHERE b.date >= DATE '1997-01-01' AND date_trunc('quarter', b.date) <= e.last_labelled GROUP BY ALL""",
 )
 cte(
     "wf_candidates",

@@ -56,8 +56,14 @@ cte(
 FROM (SELECT e.*, n.n_now, b.* EXCLUDE ({_key}), {_status} AS status FROM elig_ratio e JOIN yoy_now n USING ({_key})
       LEFT JOIN yoy_before b USING ({_key}))""",
 )
+def concept_sql(field: str, table: str = "") -> str:
+    """Concept that a filing discloses a field under: revenue changes its concept by fiscal year."""
+    names = CONCEPTS[field][0]
+    return f"CASE WHEN {table}fiscal_year % 2 = 1 THEN '{names[1]}' ELSE '{names[0]}' END" if field == "revenue" else f"'{names[0]}'"
+
+
 _unpivoted = " UNION ALL ".join(
-    f"""SELECT symbol, '{cs[0]}' AS concept, '{unit}' AS unit, '{f}' AS field, {'NULL::DATE' if basis == 'instant' else 'period_start'} AS start,
+    f"""SELECT symbol, {concept_sql(f)} AS concept, '{unit}' AS unit, '{f}' AS field, {'NULL::DATE' if basis == 'instant' else 'period_start'} AS start,
  period_end AS "end", {f} AS val, accession AS accn, fiscal_year AS fy, CASE WHEN form = '10-K' THEN 'FY' ELSE fiscal_period END AS fp,
  form, filing_date AS filed, data_period_type FROM filings WHERE {f} IS NOT NULL {"AND data_period_type NOT IN ('annual', 'ytd')" if basis == 'instant' else ''}"""
     for f, (cs, unit, basis) in CONCEPTS.items()
@@ -72,7 +78,7 @@ UNION ALL SELECT {_fc} FROM own_facts WHERE field = 'gross_profit' AND val > 400
 UNION ALL SELECT symbol, concept, unit, start, "end", val - 1, accn, fy, fp, form, filed FROM own_facts WHERE field = 'net_income' AND val < 0
 UNION ALL SELECT symbol, concept, unit, start, "end", val, accn, fy, fp, '8-K', filed FROM own_facts WHERE field = 'revenue' AND form = '10-Q/A'
 UNION ALL SELECT symbol, concept, unit, start, "end", val, accn, fy, fp, form, "end" - 1 FROM own_facts WHERE field = 'revenue' AND form = '10-K'
-UNION ALL SELECT n.symbol, n.concept, n.unit, p.start, p."end", CASE WHEN p.val > 600000 THEN p.val + 5 ELSE p.val END, n.accn, n.fy, n.fp, n.form, n.filed
+UNION ALL SELECT n.symbol, p.concept, n.unit, p.start, p."end", CASE WHEN p.val > 600000 THEN p.val + 5 ELSE p.val END, n.accn, n.fy, n.fp, n.form, n.filed
   FROM own_facts n JOIN own_facts p ON n.symbol = p.symbol AND n.fy = p.fy + 1 AND n.fp = p.fp AND n.field = 'revenue' AND p.field = 'revenue'
    AND n.form = '10-Q' AND p.form = '10-Q' AND n.data_period_type = 'quarterly' AND p.data_period_type = 'quarterly'""",
 )
@@ -92,8 +98,8 @@ def _(t: Tables):
 _conf = "net_income < 0"
 _fields_in = ", ".join(f"CASE WHEN {_conf} THEN NULL ELSE {f} END AS {f}" if f == "net_income" else f for f in FIELDS)
 _concepts_in = ", ".join(
-    f"CASE WHEN {f} IS NULL {'OR ' + _conf if f == 'net_income' else ''} THEN NULL ELSE '{cs[0]}' END AS {f}_concept"
-    for f, (cs, _, _) in CONCEPTS.items()
+    f"CASE WHEN {f} IS NULL {'OR ' + _conf if f == 'net_income' else ''} THEN NULL ELSE {concept_sql(f)} END AS {f}_concept"
+    for f in CONCEPTS
 )
 
 
@@ -174,10 +180,10 @@ def _(t: Tables):
 _metrics = ("revenue", "gross_profit", "operating_income", "net_income", "research_and_development", "operating_cash_flow")
 _rd = " UNION ALL ".join(
     f"""SELECT s.symbol, s.accession AS snapshot_accession, s.period_start AS snapshot_period_start, s.period_end AS snapshot_period_end,
- s.data_period_type AS snapshot_data_period_type, r.accession AS reference_accession, '{m}' AS metric, '{CONCEPTS[m][0][0]}' AS concept,
+ s.data_period_type AS snapshot_data_period_type, r.accession AS reference_accession, '{m}' AS metric, {concept_sql(m, 'r.')} AS concept,
  r.{m} AS retained, s.filing_date AS cutoff, r.period_start AS start, r.period_end AS "end"
 FROM snaps s JOIN filings r ON r.symbol = s.symbol AND r.accession = s.yoy_reference_accession AND r.period_start = s.yoy_reference_period_start
- AND r.period_end = s.yoy_reference_period_end AND r.data_period_type = s.yoy_reference_data_period_type WHERE r.{m} IS NOT NULL"""
+ AND r.period_end = s.yoy_reference_period_end AND r.data_period_type = s.yoy_reference_data_period_type WHERE r.{m} IS NOT NULL {'AND r.net_income >= 0' if m == 'net_income' else ''}"""
     for m in _metrics
 )
 
@@ -197,7 +203,7 @@ SELECT symbol, snapshot_accession, snapshot_period_start, snapshot_period_end, s
 FROM j WHERE rk = 1 GROUP BY ALL""",
 )
 def _(t: Tables):
-    return facts.redisclosed(snap.build_snapshots(t.filings), t.filings, t.facts)
+    return facts.redisclosed(snap.build_snapshots(t.filings), facts.normalise_facts(t.facts), t.facts)
 
 
 @query(

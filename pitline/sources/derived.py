@@ -196,6 +196,11 @@ def derive_filings(lines: DataFrame) -> DataFrame:
     return q.select("symbol", F.inline(F.array_compact(rows)))
 
 
+def revenue_concept(fiscal_year: str) -> Column:
+    """Revenue is disclosed under its second concept in odd fiscal years."""
+    return F.when(F.col(fiscal_year) % 2 == 1, CONCEPTS["revenue"][0][1]).otherwise(CONCEPTS["revenue"][0][0])
+
+
 def derive_facts(filings: DataFrame) -> DataFrame:
     """Long disclosure facts behind the observations, including the blemishes an ingest must handle.
 
@@ -223,8 +228,8 @@ def derive_facts(filings: DataFrame) -> DataFrame:
         if basis == "instant":  # disclosed once per filing although two durations share its end
             items.append(F.when(here & instant_row, fact(concepts[0], unit, F.col(field), start=F.lit(None).cast("date"))))
         else:
-            items.append(F.when(here, fact(concepts[0], unit, F.col(field))))
-    revenue, best = F.col("revenue"), CONCEPTS["revenue"][0][0]
+            items.append(F.when(here, fact(revenue_concept("fiscal_year") if field == "revenue" else concepts[0], unit, F.col(field))))
+    revenue, best = F.col("revenue"), revenue_concept("fiscal_year")
     before = F.col("_b.val")
     items += [
         F.when(revenue.isNotNull(), fact("Revenues", "USD", revenue + 1)),
@@ -235,7 +240,7 @@ def derive_facts(filings: DataFrame) -> DataFrame:
         F.when(
             F.col("_b.fiscal_year") == F.col("fiscal_year") - 1,
             fact(
-                best, "USD", F.when(before > 600000, before + 5).otherwise(before),
+                revenue_concept("_b.fiscal_year"), "USD", F.when(before > 600000, before + 5).otherwise(before),
                 start=F.col("_b.period_start"), end=F.col("_b.period_end"),
             ),
         ),

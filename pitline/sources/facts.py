@@ -291,9 +291,11 @@ def duplicate_filings(filings: DataFrame) -> DataFrame:
     return filings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def redisclosed(snapshots: DataFrame, filings: DataFrame, flat: DataFrame) -> DataFrame:
+def redisclosed(snapshots: DataFrame, observations: DataFrame, flat: DataFrame) -> DataFrame:
     """Growth denominators against the latest value disclosed for the same period by the current filing day.
 
+    A denominator is compared under the concept that its own filing used, which observations carry as `<field>_concept`.
+
     Facts shrink to one row per (concept, unit, period, filing day), then answer by a backward as-of.
     """
     from pitline.operators.asof import asof_backward
@@ -310,12 +312,10 @@ def redisclosed(snapshots: DataFrame, filings: DataFrame, flat: DataFrame) -> Da
         F.col("filing_date").alias("cutoff"),
         *[F.col(f"yoy_reference_{c}").alias(c) for c in key[1:]],
     )
-    source = filings.select(*key, *fields)
+    source = observations.select(*key, *[F.struct(F.col(f).alias("retained"), F.col(f"{f}_concept").alias("concept")).alias(f) for f in fields])
     ids = [c for c in refs.columns if c not in key] + ["symbol", "accession", "period_start", "period_end"]
-    long = refs.join(source, key).unpivot(ids, list(fields), "metric", "retained")
-    first_concept = F.create_map(*[F.lit(x) for f in fields for x in (f, CONCEPTS[f][0][0])])
-    wanted = long.filter(F.col("retained").isNotNull()).withColumn("concept", first_concept[F.col("metric")])
-    wanted = wanted.withColumnsRenamed({"period_start": "start", "period_end": "end"})
+    long = refs.join(source, key).unpivot(ids, list(fields), "metric", "v").select(*ids, "metric", "v.*")
+    wanted = long.filter(F.col("retained").isNotNull()).withColumnsRenamed({"period_start": "start", "period_end": "end"})
     by = ["symbol", "concept", "start", "end"]
     disclosed = (
         flat.filter(F.col("form").isin(*FORMS) & F.col("start").isNotNull() & (F.col("unit") == "USD"))

@@ -165,3 +165,30 @@ def test_manifest_roles(spark):
     assert splits.manifest_audit(bad, labels, cfg).first().leakage_violations > 0
     short = append_labels(build_features(make_bars(spark, 100, ("AAA",))[0]))
     assert splits.build_manifest(short).count() == 0 and not splits.readiness(splits.layout(short)).first().sufficient
+
+
+def test_open_calendar_ends_with_the_last_labelled_session(study):
+    x = study["x"]
+    members = splits.walk_forward_members(x, WalkForwardConfig(first_year=2024, first_quarter=3))
+    got = members.filter("role = 'validation'").groupBy("symbol").agg(F.max("date").alias("last"), F.min("date").alias("first"))
+    want = x.filter("forward_return_5d IS NOT NULL").groupBy("symbol").agg(F.max("date").alias("last"))
+    assert got.select("symbol", "last").exceptAll(want).isEmpty() and got.count() == want.count()
+    assert got.filter("first < '2024-07-01'").isEmpty()
+    later = x.filter("forward_return_5d IS NOT NULL AND date >= '2024-07-01'").count()
+    assert members.filter("role = 'validation'").count() == later
+
+
+def test_declared_fold_without_sessions_raises(study):
+    with pytest.raises(Exception, match="a declared fold has no labelled session"):
+        splits.walk_forward_members(study["x"], WalkForwardConfig(first_year=2024, first_quarter=3, n_folds=40)).count()
+
+
+def test_locked_window_is_not_seen(study):
+    lock = study["pdf"].query("fold == 1 and role == 'validation'").date.max().isoformat()
+    members = splits.walk_forward_members(study["x"], WalkForwardConfig(first_year=2024, first_quarter=3, locked_from=lock))
+    audit = splits.lock_audit(members, lock)
+    assert members.filter("role = 'validation' AND fold = 1").count() > 0
+    names = [c for c in audit.columns if c != "symbol"]
+    assert all(r[c] == 0 for r in audit.collect() for c in names)
+    open_end = splits.lock_audit(splits.walk_forward_members(study["x"], CFG), lock).agg(F.sum("labels_reaching_lock")).first()[0]
+    assert open_end > 0

@@ -155,3 +155,21 @@ def test_filing_rules(spark):
     bad = filing(dt.date(2024, 8, 1), acc="b", fp="FY", operating_cash_flow=3.0, capital_expenditures=-1.0, free_cash_flow=9.0)
     e = {r.error for r in facts.filing_errors(spark.createDataFrame([good, bad], SCHEMA)).collect()}
     assert e == {"invalid_chronology_or_form", "invalid_period_type", "negative_capex", "fcf_identity"}
+
+
+def test_redisclosure_uses_the_concept_of_its_own_filing(spark):
+    from pitline.config import CONCEPTS
+
+    best, second = CONCEPTS["revenue"][0][:2]
+    before, now = (dt.date(2023, 7, 1), dt.date(2023, 9, 30)), (dt.date(2024, 7, 1), dt.date(2024, 9, 30))
+    d0, d1 = dt.date(2023, 11, 1), dt.date(2024, 11, 1)
+    rows = [
+        ("X", second, "USD", *before, 100.0, "a", 2023, "Q3", "10-Q", d0),
+        ("X", second, "USD", *before, 103.0, "b", 2024, "Q3", "10-Q", d1),  # restated under the concept that filing a used
+        ("X", best, "USD", *before, 999.0, "b", 2024, "Q3", "10-Q", d1),
+        ("X", best, "USD", *now, 120.0, "b", 2024, "Q3", "10-Q", d1),
+    ]
+    flat = spark.createDataFrame(rows, "symbol string, concept string, unit string, start date, end date, val double, accn string, fy int, fp string, form string, filed date")
+    observations = facts.normalise_facts(flat)
+    got = facts.redisclosed(build_snapshots(observations), observations, flat).filter("metric = 'revenue'").collect()
+    assert [(r.concept, r.retained, r.latest_value, r.status) for r in got] == [(second, 100.0, 103.0, "different")]

@@ -166,8 +166,34 @@ def fold_summaries(manifest: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_windows(labels: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
+    """Per symbol and fold the dates its evaluation must span, from label dates and sizes alone, and where the gap before the test begins.
+
+    The test is the last test_size labelled sessions. Development sessions whose labels all end before it, counted back from the
+    last one, give each validation fold its block.
+    """
+    back = W.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, 0)
+    labelled = F.col(PRIMARY_TARGET).isNotNull()
+    df = labels.withColumn("_k", F.when(labelled, F.count_if(labelled).over(back)))
+    df = df.withColumn("_test", F.min(F.when(F.col("_k") <= cfg.test_size, F.col("date"))).over(W.partitionBy("symbol")))
+    done = F.coalesce(labelled & (F.col("date") < F.col("_test")) & history_complete(F.col("_test")), F.lit(False))
+    df = df.withColumn("_r", F.when(done, F.count_if(done).over(back)))
+    cuts = {"final": F.col("_k") <= cfg.test_size}
+    for i in range(cfg.folds):
+        newest = cfg.validation_size * i
+        cuts[f"cv_{cfg.folds - i}"] = (F.col("_r") > newest) & (F.col("_r") <= newest + cfg.validation_size)
+    ends = [
+        F.struct(F.lit(f).alias("fold"), F.min(F.when(c, F.col("date"))).alias("_start"), F.max(F.when(c, F.col("date"))).alias("_end"))
+        for f, c in cuts.items()
+    ]
+    per = df.groupBy("symbol").agg(
+        F.array(*ends).alias("w"), F.max(F.when(done, F.col("date"))).alias("_gap_after"), F.max("_test").alias("_test")
+    )
+    return per.select("symbol", "_gap_after", "_test", F.inline("w"))
+
+
 def manifest_audit(manifest: DataFrame, labels: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
-    """Violation counts per symbol, roles re-derived from label dates and session order instead of the builder's flags."""
+    """Violation counts per symbol; windows, gap and roles come from label dates and sizes, none from the manifest's own columns."""
     lab = labels.select(
         "symbol", "date", F.row_number().over(W.partitionBy("symbol").orderBy("date")).alias("_n"),
         F.explode(
@@ -186,31 +212,28 @@ def manifest_audit(manifest: DataFrame, labels: DataFrame, cfg: SplitConfig = Sp
     ).select("symbol", "date", "_n", "l.*")
     m = manifest.join(lab, ["symbol", "date", "target_name"], "left")
     ev = F.col("nominal_role").isin("validation", "final_test")
-    b = m.groupBy("symbol", "fold", "target_name").agg(
-        F.min(F.when(ev, F.col("date"))).alias("_start"),
-        F.max(F.when(ev, F.col("date"))).alias("_end"),
-        F.count_if(ev).alias("_n_ev"),
-    )
-    j = m.join(b, ["symbol", "fold", "target_name"])
+    b = m.groupBy("symbol", "fold", "target_name").agg(F.count_if(ev).alias("_n_ev"))
+    j = m.join(b, ["symbol", "fold", "target_name"]).join(evaluation_windows(labels, cfg), ["symbol", "fold"], "left")
     usable = ~F.col("_missing") & (F.col("_exit") < F.col("_start"))
+    final = F.col("fold") == "final"
     expected = (
         F.when(F.col("_tail"), "unlabeled_tail")
-        .when(F.col("role") == "pre_test_gap", "pre_test_gap")
+        .when(~final & (F.col("date") > F.col("_gap_after")) & (F.col("date") < F.col("_test")), "pre_test_gap")
         .when(F.col("_missing"), "target_missing")
         .when((F.col("date") < F.col("_start")) & usable, "train")
         .when(F.col("date") < F.col("_start"), "purged")
-        .when(F.col("date").between(F.col("_start"), F.col("_end")), F.when(F.col("fold") == "final", "final_test").otherwise("validation"))
+        .when(F.col("date").between(F.col("_start"), F.col("_end")), F.when(final, "final_test").otherwise("validation"))
         .otherwise("not_candidate")
     )
     size = F.when(F.col("fold") == "final", cfg.test_size).otherwise(cfg.validation_size)
     train = F.col("role") == "train"
     return j.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows_checked"),
-        F.count_if(expected != F.col("role")).alias("role_violations"),
+        F.count_if(~expected.eqNullSafe(F.col("role"))).alias("role_violations"),
         F.count_if(~F.col("target_exit_date").eqNullSafe(F.col("_exit"))).alias("exit_date_violations"),
         F.count_if(train & (F.col("_exit") >= F.col("_start"))).alias("leakage_violations"),
         F.count_if(train & (F.col("date") >= F.col("_start"))).alias("order_violations"),
-        F.count_if(F.col("evaluation_start_date") != F.col("_start")).alias("boundary_violations"),
+        F.count_if(~F.col("evaluation_start_date").eqNullSafe(F.col("_start"))).alias("boundary_violations"),
         F.count_if(F.col("_n_ev") != size).alias("block_size_violations"),
         F.count_if(F.col("_n").isNull()).alias("unknown_session_violations"),
     )

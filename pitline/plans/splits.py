@@ -141,6 +141,28 @@ def _(t: Tables):
     return ops.manifest_audit(ops.build_manifest(t.labels), t.labels)
 
 
+@query(
+    "split_audit_faults",
+    "V9",
+    """WITH f AS (SELECT *, fold = 'cv_2' AND nominal_role = 'validation' AND date = evaluation_start_date AS moved, target_exit_date >= evaluation_start_date AS late FROM manifest_v)
+SELECT symbol, count(*) AS rows_checked, count_if(role = 'purged' OR moved AND role <> 'train')::BIGINT AS role_violations, count_if(day(date) = 1 AND target_exit_date IS NOT NULL)::BIGINT AS exit_date_violations,
+ count_if((role = 'purged' OR moved) AND late)::BIGINT AS leakage_violations, count_if(moved)::BIGINT AS order_violations,
+ count_if(fold = 'cv_1')::BIGINT AS boundary_violations, count_if(fold = 'cv_2')::BIGINT AS block_size_violations, 0::BIGINT AS unknown_session_violations
+FROM f GROUP BY symbol""",
+)
+def _(t: Tables):
+    # seeded faults: purged rows and the first validation session of cv_2 trained on, exits of first days shifted, starts of cv_1 moved
+    m = ops.build_manifest(t.labels)
+    moved = (F.col("fold") == "cv_2") & (F.col("nominal_role") == "validation") & (F.col("date") == F.col("evaluation_start_date"))
+    bad = m.withColumns({
+        "role": F.when((F.col("role") == "purged") | moved, "train").otherwise(F.col("role")),
+        "nominal_role": F.when(moved, "train").otherwise(F.col("nominal_role")),
+        "target_exit_date": F.when(F.dayofmonth("date") == 1, F.date_add("target_exit_date", 1)).otherwise(F.col("target_exit_date")),
+        "evaluation_start_date": F.when(F.col("fold") == "cv_1", F.date_add("evaluation_start_date", 1)).otherwise(F.col("evaluation_start_date")),
+    })
+    return ops.manifest_audit(bad, t.labels)
+
+
 @query(
     "split_overlap",
     "V9",

@@ -9,6 +9,8 @@ conversation's system turn. The loss mask covers the text of new assistant turns
 are never cut: a window passes its budget by the part of its last turn, or of its system turn, that goes beyond.
 
 Prefix sums are taken in two levels, within runs of RUN turn numbers and over the runs, so a long conversation is not one task's.
+Where every conversation fits a task, as it must wherever one row is to hold its whole text, `together` takes all steps on one shuffle
+by conversation: texts then move once instead of three times, and read_back moves none.
 """
 
 from __future__ import annotations
@@ -38,43 +40,55 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + F.lit(OVERHEAD)
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", together: bool = False) -> DataFrame:
     """(conv, window, text, loss, n_repeated, n_new): the windows of every conversation.
 
     window: long, rising along the conversation. loss: array of (start, end) in code points of the window's text. n_repeated: leading
     turns that stand in an earlier window too. Turns are ordered by turn number, nulls first, ties by role and text; repeated rows are
     turns of their own. Null roles and texts are empty, and a null conv is a conversation of its own. Other columns are left out.
+    together: one shuffle by conversation, for conversations that fit a task; the rows are the same.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be smaller than the budget")
     stripe = budget - history
-    # one key for null and other ids, and one run for null turns
     rows = turns.select(
         F.col(f"`{conv}`").alias("c"),
-        F.col(f"`{conv}`").isNull().alias("none"),
         F.col(f"`{turn}`").cast("long").alias("turn"),
         F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("c", F.coalesce("c", F.lit(0).cast(turns.schema[conv].dataType)))
-    sized = rows.withColumn("tokens", token_count(F.col("text")).cast("long")).withColumn("run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62))))
-    runs = sized.groupBy("none", "c", "run").agg(F.sum("tokens").alias("sum"))
-    over_runs = W.partitionBy("none", "c").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    offsets = runs.select("none", "c", "run", F.coalesce(F.sum("sum").over(over_runs), F.lit(0)).alias("offset"))
-    within = W.partitionBy("none", "c", "run").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
-    begun = sized.join(offsets, ["none", "c", "run"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    )
+    sized = rows.withColumn("tokens", token_count(F.col("text")).cast("long"))
+    if together:
+        keys = ["c"]
+        before = W.partitionBy("c").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+        begun = sized.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    else:
+        keys = ["none", "c"]  # joins need one key for null and other ids, and null turns are a run
+        sized = sized.withColumns({"none": F.col("c").isNull(), "c": F.coalesce("c", F.lit(0).cast(turns.schema[conv].dataType)), "run": F.coalesce(F.floor(F.col("turn") / RUN), F.lit(-(1 << 62)))})
+        runs = sized.groupBy(*keys, "run").agg(F.sum("tokens").alias("sum"))
+        over_runs = W.partitionBy(*keys).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+        offsets = runs.select(*keys, "run", F.coalesce(F.sum("sum").over(over_runs), F.lit(0)).alias("offset"))
+        within = W.partitionBy(*keys, "run").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+        begun = sized.join(offsets, [*keys, "run"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     stripes = begun.withColumn("window", F.floor(F.col("start") / stripe)).withColumn("system", (F.col("start") == 0) & (F.col("role") == "system"))
 
     head = F.concat(F.lit(START), escaped(F.col("role"), role=True), F.lit("\n"))
     body = escaped(F.col("text"))
     again = (F.col("start") >= (F.col("window") + 1) * stripe - history) & ~F.col("system")
     uses = F.array_compact(F.array(F.struct("window", F.lit(True).alias("new")), F.when(again, F.struct((F.col("window") + 1).alias("window"), F.lit(False).alias("new")))))
-    used = stripes.select("none", "c", "start", "role", head.alias("head"), body.alias("body"), F.explode(uses).alias("use"))
-    piece = F.struct("start", F.col("use.new").alias("new"), "head", "body", (F.col("use.new") & (F.col("role") == "assistant")).alias("target"))
-    windows = used.groupBy("none", "c", F.col("use.window").alias("window")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    used = stripes.select(*keys, "start", "role", "system", head.alias("head"), body.alias("body"), F.explode(uses).alias("use"))
+    piece = F.struct("start", F.col("use.new").alias("new"), "head", "body", (F.col("use.new") & (F.col("role") == "assistant")).alias("target"), "system")
+    windows = used.groupBy(*keys, F.col("use.window").alias("window")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
     # what is repeated into a stripe where nothing begins makes no window
     windows = windows.where(F.exists("pieces", lambda p: p["new"]))
-    system = stripes.where("system").select("none", "c", F.struct(F.lit(0).cast("long").alias("start"), F.lit(False).alias("new"), head.alias("head"), body.alias("body"), F.lit(False).alias("target")).alias("first"))
-    whole = windows.join(system, ["none", "c"], "left").withColumn("pieces", F.when((F.col("window") > 0) & F.col("first").isNotNull(), F.concat(F.array("first"), "pieces")).otherwise(F.col("pieces")))
+    if together:
+        along = W.partitionBy("c").orderBy("window").rowsBetween(W.unboundedPreceding, 0)
+        whole = windows.withColumn("first", F.first(F.filter("pieces", lambda p: p["system"])).over(along))
+    else:
+        first = F.struct(F.lit(0).cast("long").alias("start"), F.lit(True).alias("new"), head.alias("head"), body.alias("body"), F.lit(False).alias("target"), "system")
+        whole = windows.join(stripes.where("system").select(*keys, F.array(first).alias("first")), keys, "left")
+    known = F.transform(F.coalesce("first", F.filter("pieces", lambda p: F.lit(False))), lambda p: p.withField("new", F.lit(False)))
+    whole = whole.withColumn("pieces", F.when(F.col("window") > 0, F.concat(known, "pieces")).otherwise(F.col("pieces")))
     end = F.lit(END + "\n")
     length = lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.char_length(end)
     spans = F.aggregate(
@@ -87,7 +101,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         lambda acc: acc["loss"],
     )
     return whole.select(
-        F.when(~F.col("none"), F.col("c")).alias(conv),
+        (F.col("c") if together else F.when(~F.col("none"), F.col("c"))).alias(conv),
         "window",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], end)), "").alias("text"),
         spans.alias("loss"),

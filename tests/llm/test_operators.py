@@ -412,6 +412,10 @@ def test_chat_windows(spark):
     turns += [(90, 0, "user", "x " * 900), (90, 1, "assistant", "y " * 5_000), (90, None, "assistant", None), (91, 5, None, None), (92, 3, "user", "tie"), (92, 3, "user", "tie")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"c": F.lit(1), "window": F.lit(2), "tokens": F.lit(3)})
     windows = chat.format_windows(df, budget=120, history=30)
+    one_shuffle = chat.format_windows(df, budget=120, history=30, together=True)
+    same(one_shuffle.collect(), [tuple(r) for r in windows.collect()])
+    assert chat.read_back(one_shuffle)._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert chat.format_windows(df.limit(0), together=True).count() == 0
     back = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
     groups = defaultdict(list)
     for c, t, role, text in turns:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitline.config import SIGN_TOL
+from pitline.config import SIGN_TOL, TIE_TOL
 from pitline.functions.numeric import calibration_slope, pearson, sample_std
 from pitline.functions.windows import average_rank
 
@@ -57,11 +57,16 @@ def fold_mae(oof: DataFrame) -> DataFrame:
 def paired_comparison(mae: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Fold-wise MAE differences (model minus reference) summarised per pair: mean, median, wins, losses, ties.
 
-    The two sides are columns of one fold row, so no self-join is needed.
+    The two sides are columns of one fold row, so no self-join is needed. Differences of at most TIE_TOL are zero.
     """
+
+    def difference(a: str, b: str) -> Column:
+        d = F.col(a) - F.col(b)
+        return F.when(F.abs(d) <= TIE_TOL, 0.0).otherwise(d)
+
     names = sorted({m for p in pairs for m in p})
     wide = mae.groupBy("symbol", "fold").agg(*[F.max(F.when(F.col("model") == m, F.col("MAE"))).alias(m) for m in names])
-    items = F.array(*[F.struct(F.lit(a).alias("model"), F.lit(b).alias("reference"), (F.col(a) - F.col(b)).alias("delta")) for a, b in pairs])
+    items = F.array(*[F.struct(F.lit(a).alias("model"), F.lit(b).alias("reference"), difference(a, b).alias("delta")) for a, b in pairs])
     long = wide.select("symbol", "fold", F.inline(items)).filter(F.col("delta").isNotNull())
     d = F.col("delta")
     return long.groupBy("symbol", "model", "reference").agg(

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from pitline.config import FUNDAMENTAL_FEATURES, MARKET_FEATURES, RELATIVE_FEATURES
+from pitline.config import FUNDAMENTAL_FEATURES, MARKET_FEATURES, RELATIVE_FEATURES, TIE_TOL
 from pitline.operators import metrics as met
 from pitline.operators import models as mod
 from pitline.operators import splits
@@ -312,7 +312,7 @@ cte(
     "paired_v",
     f"""SELECT symbol, model, reference, count(*) AS fold_count, avg(d) AS mean_delta_MAE, median(d) AS median_delta_MAE,
  count_if(d < 0)::BIGINT AS wins, count_if(d > 0)::BIGINT AS losses, count_if(d = 0)::BIGINT AS ties, avg((d < 0)::INTEGER) AS win_rate
-FROM (SELECT a.symbol, a.model, b.model AS reference, a.MAE - b.MAE AS d FROM wf_mae a JOIN wf_mae b USING (symbol, fold)
+FROM (SELECT a.symbol, a.model, b.model AS reference, CASE WHEN abs(a.MAE - b.MAE) <= {TIE_TOL} THEN 0.0::DOUBLE ELSE a.MAE - b.MAE END AS d FROM wf_mae a JOIN wf_mae b USING (symbol, fold)
       JOIN (VALUES {_pairs}) p(m, r) ON p.m = a.model AND p.r = b.model) GROUP BY ALL""",
 )
 _pd = ("mean_delta_MAE", "median_delta_MAE", "win_rate")
@@ -692,7 +692,7 @@ def _(t: Tables):
 @query(
     "adjacent_overlap",
     "J14 W14",
-    f"SELECT symbol, fold, count(overlaps_next) AS adjacent_pairs, count_if(overlaps_next)::BIGINT AS adjacent_overlapping, {R('avg(overlaps_next::INTEGER)')} AS adjacent_fraction FROM windows_v GROUP BY ALL",
+    f"SELECT symbol, fold, count(overlaps_next) AS adjacent_pairs, count(*) FILTER (overlaps_next) AS adjacent_overlapping, {R('avg(overlaps_next::INTEGER)')} AS adjacent_fraction FROM windows_v GROUP BY ALL",
 )
 def _(t: Tables):
     a = stab.adjacent_overlap(stab.target_windows(splits.walk_forward_members(t.labels)))

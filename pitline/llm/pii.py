@@ -4,8 +4,8 @@ Entities are the values that the patterns find (addresses, card and phone number
 pointwise mutual information reaches the entity's information content: PMI(e, t) / IC(e), both from document counts over the whole
 corpus: documents with the entity, documents with the term, and documents with the term in the entity's context (CONTEXT words on
 either side). A ratio of one means that the term stands in no other document than the entity's. In the contexts of an entity, terms
-of a ratio from `generalise` on are replaced by their kind of word, and terms of a ratio from `remove` on are taken out. A
-pair needs MIN_SUPPORT documents, fewer being no evidence.
+of a ratio from `generalise` on are replaced by their kind of word, and terms of a ratio from `remove` on are taken out.
+There is no least number of documents: a value that stands in one is disclosed by the terms that few others hold.
 
 Contexts are linear in the spans. Pairs, entities and terms are counted by sums that combine before their shuffle; what a document
 must hide is found by joining its own context rows to the disclosing pairs. Texts take part in no shuffle when spans are asked for.
@@ -27,7 +27,6 @@ from pitline.llm.common import by_batch, carried, written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 8
-MIN_SUPPORT = 3
 GENERALISE = 0.5
 REMOVE = 0.8
 #: Distinct terms that a task counts in memory before it hands them on.
@@ -166,13 +165,13 @@ def document_counts(docs: DataFrame, text: str) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_pairs(docs: DataFrame, found: DataFrame, text: str, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(entity, term, ratio) of the pairs that stand together in at least min_support documents.
+def disclosing_pairs(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """(entity, term, ratio) of the pairs that stand together in a document.
 
     docs: all documents; found: their `near` lists. An entity that stands in every document has no information to disclose.
     """
     together = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = together.groupBy("p.entity", "p.term").agg(F.count("*").alias("both")).where(F.col("both") >= min_support)
+    pairs = together.groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
     entities = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = written(pairs.join(entities, "entity"), "pairs")
     n = docs.count()

@@ -1,14 +1,16 @@
-"""Personal data: pattern spans, and terms near them that give the protected entity away.
+"""Personal data: pattern spans, and terms of their documents that give the protected entity away.
 
 Entities are the values that the patterns find (addresses, card and phone numbers). A term discloses an entity as far as their
 pointwise mutual information reaches the entity's information content: PMI(e, t) / IC(e), both from document counts over the whole
-corpus: documents with the entity, documents with the term, and documents with the term in the entity's context (CONTEXT words on
-either side). A ratio of one means that the term stands in no other document than the entity's. In the contexts of an entity, terms
-of a ratio from `generalise` on are replaced by their kind of word, and terms of a ratio from `remove` on are taken out.
-There is no least number of documents: a value that stands in one is disclosed by the terms that few others hold.
-
-Contexts are linear in the spans. Pairs, entities and terms are counted by sums that combine before their shuffle; what a document
-must hide is found by joining its own context rows to the disclosing pairs. Texts take part in no shuffle when spans are asked for.
+corpus: documents with the entity, documents with the term, and documents with both. A ratio of one means that the term stands in
+no other document than the entity's. In every document of the entity, all places of terms of a ratio from `generalise` on are
+replaced by their kind of word, and those of terms of a ratio from `remove` on are taken out. There is no least number of
+documents: a value that stands in one document is disclosed by the terms that few other documents hold.
+
+Both counts bound the documents with both, so PMI <= log2(N / n_term) for any pair: pairs whose term is too common for `generalise` by
+that bound are dropped before they are counted, and no other. The rest are linear in the terms of documents with entities, times
+the entities of the document. Pairs, entities and terms are counted by sums that combine before their shuffle. Texts take part in no
+shuffle when spans are asked for.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitline.llm.common import by_batch, carried, written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 8
 GENERALISE = 0.5
 REMOVE = 0.8
 #: Distinct terms that a task counts in memory before it hands them on.
@@ -38,7 +39,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_RUN = re.compile(r"\w{2,}")
 
 
 def email_spans(text: str) -> list[tuple[int, int]]:
@@ -94,8 +95,20 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else ''.join(c for c in value if c.isdigit())}"
 
 
-def context(text: str, spans: list[tuple[str, int, int]], words: int = CONTEXT) -> list[dict]:
-    """Terms within `words` terms of a span and outside all spans: entity, term, start, end; one entry for each entity and place."""
+def is_term(run: str) -> bool:
+    """Three or more word characters, one of them a letter, or two letters of a script without cases."""
+    if len(run) == 2:
+        return run.isalpha() and run.lower() == run.upper()
+    return any(map(str.isalpha, run))
+
+
+def terms_of(text: str) -> set[str]:
+    """The distinct terms of a text, in lower case."""
+    return {run.lower() for run in set(_RUN.findall(text)) if is_term(run)}
+
+
+def places(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """Every place of a term outside all spans: term, start, end."""
     taken: list[list[int]] = []  # the spans as disjoint ranges
     for a, b in sorted((a, b) for _, a, b in spans):
         if taken and a <= taken[-1][1]:
@@ -104,38 +117,25 @@ def context(text: str, spans: list[tuple[str, int, int]], words: int = CONTEXT)
             taken.append([a, b])
     begins = [a for a, _ in taken]
     free = lambda s, e: not (i := bisect_left(begins, e)) or taken[i - 1][1] <= s
-    found = {}
-    for kind, a, b in spans:
-        entity = entity_of(kind, text[a:b])
-        reach = 64 * words
-        low = max(0, a - reach)
-        left = [m.span() for m in _TERM.finditer(text, low, a)]
-        if low and left and left[0][0] == low and text[low - 1].isalpha():
-            left = left[1:]  # cut by the reach
-        high, right = min(len(text), b + reach), []
-        for m in _TERM.finditer(text, b, high):
-            if len(right) == words or m.end() == high < len(text) and text[high].isalpha():
-                break
-            right.append(m.span())
-        for s, e in left[-words:] + right:
-            if free(s, e):
-                found[entity, s, e] = text[s:e].lower()
-    return [{"entity": k[0], "term": t, "start": k[1], "end": k[2]} for k, t in found.items()]
+    return [{"term": m.group().lower(), "start": m.start(), "end": m.end()} for m in _RUN.finditer(text) if is_term(m.group()) and free(*m.span())]
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-NEAR = T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-FOUND = T.StructType([T.StructField("base", T.ArrayType(SPAN), False), T.StructField("near", T.ArrayType(NEAR), False)])
+NEAR = T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+FOUND = T.StructType([T.StructField("base", T.ArrayType(SPAN), False), T.StructField("entities", T.ArrayType(T.StringType()), False), T.StructField("near", T.ArrayType(NEAR), False)])
 
 
 def with_base(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """Columns `keep` of docs, `base` spans, distinct `entities`, and `near`, the places of all terms of a text with entities."""
+
     def run(batch: pa.RecordBatch) -> dict:
-        base, near = [], []
+        base, entities, near = [], [], []
         for t in batch.column("llm_text").to_pylist():
             spans = base_spans(t) if t else []
             base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-            near.append(context(t, spans) if spans else [])
-        return {"base": base, "near": near}
+            entities.append(sorted({entity_of(k, t[a:b]) for k, a, b in spans}))
+            near.append(places(t, spans) if spans else [])
+        return {"base": base, "entities": entities, "near": near}
 
     return by_batch(docs.select(*keep, F.col(text).cast("string").alias("llm_text")), run, keep, FOUND)
 
@@ -156,7 +156,7 @@ def document_counts(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    counts.update(set(_TERM.findall(t.lower())))
+                    counts.update(terms_of(t))
                     if len(counts) > COUNTER_ENTRIES:
                         yield from out()
         yield from out()
@@ -165,29 +165,57 @@ def document_counts(docs: DataFrame, text: str) -> DataFrame:
     return partial.groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_pairs(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """(entity, term, ratio) of the pairs that stand together in a document.
+def pairs_of_rows(docs: DataFrame, found: DataFrame, text: str, least: float | None) -> DataFrame:
+    """(at, entity, term, n_entity, n_term, n_docs): every entity and term of a row whose ratio may be `least`, or all without one.
 
-    docs: all documents; found: their `near` lists. An entity that stands in every document has no information to disclose.
+    docs: all documents; found: `at`, their `entities` and `near` lists. An entity that stands in every document has no information
+    to disclose.
     """
-    together = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p"))
-    pairs = together.groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
-    entities = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = written(pairs.join(entities, "entity"), "pairs")
-    n = docs.count()
-    terms = document_counts(docs, text).join(pairs.select("term").distinct(), "term", "left_semi").withColumnRenamed("n", "n_term")
-    content = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log2(F.col("both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
-    return pairs.join(terms, "term").where(F.col("n_entity") < n).select("entity", "term", (pmi / content).alias("ratio"))
-
-
-def term_spans(found: DataFrame, pairs: DataFrame, generalise: float, remove: float) -> DataFrame:
+    n = F.lit(float(docs.count()))
+    entities = written(found.select("at", F.explode("entities").alias("entity")), "entities")
+    counted = entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") < n)
+    entities = written(entities.join(counted, "entity"), "entities")
+    terms = found.where(F.size("entities") > 0).select("at", F.explode(F.array_distinct(F.col("near")["term"])).alias("term"))
+    terms = written(terms, "terms")
+    known = document_counts(docs, text).join(terms.select("term").distinct(), "term", "left_semi").withColumnRenamed("n", "n_term")
+    known = written(known, "known")
+    if least is not None:  # by the bound no term with more documents discloses even the most common entity
+        most = entities.agg(F.max("n_entity").alias("most"))
+        known = known.crossJoin(F.broadcast(most)).where(possible(n, F.col("most"), least)).drop("most")  # one row
+    pairs = terms.join(known, "term").join(entities, "at")
+    if least is not None:
+        pairs = pairs.where(possible(n, F.col("n_entity"), least))
+    return pairs.select("at", "entity", "term", "n_entity", "n_term", n.alias("n_docs"))
+
+
+def possible(n: Column, n_entity: Column, least: float) -> Column:
+    """Whether log2(N / n_term), the most that the PMI can be, reaches `least` of the entity's information content."""
+    return F.log2(n / F.col("n_term")) >= least * F.log2(n / n_entity) - 1e-9
+
+
+def rated(pairs: DataFrame) -> DataFrame:
+    """(entity, term, ratio) of the pairs of rows."""
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term", "n_docs").agg(F.count("*").alias("both"))
+    content = F.log2(F.col("n_docs") / F.col("n_entity"))
+    pmi = F.log2(F.col("both") * F.col("n_docs") / (F.col("n_entity") * F.col("n_term")))
+    return both.select("entity", "term", (pmi / content).alias("ratio"))
+
+
+def disclosing_pairs(docs: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """(entity, term, ratio) of all pairs that stand together in a document."""
+    numbered = written(found.withColumn("at", F.monotonically_increasing_id()).select("at", "entities", "near"), "spans")
+    return rated(pairs_of_rows(docs, numbered, text, None))
+
+
+def term_spans(docs: DataFrame, found: DataFrame, text: str, generalise: float, remove: float) -> DataFrame:
     """(at, terms): for each row number of `found` the spans of its disclosing terms, kinds `term` (generalised) and `removed`."""
+    found = found.select("at", "entities", "near")
+    pairs = written(pairs_of_rows(docs, found, text, min(generalise, remove)), "pairs")
+    disclosing = written(rated(pairs).where(F.col("ratio") >= generalise - 1e-9), "disclosing")
+    hits = pairs.join(disclosing, ["entity", "term"]).groupBy("at", "term").agg(F.max("ratio").alias("ratio"))
     near = found.select("at", F.explode("near").alias("w")).select("at", "w.*")
-    hits = near.join(pairs.where(F.col("ratio") >= generalise), ["entity", "term"])
-    places = hits.groupBy("at", "start", "end").agg(F.max("ratio").alias("ratio"))
-    kind = F.when(F.col("ratio") >= remove, "removed").otherwise("term")
-    return places.groupBy("at").agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), F.col("start").alias("start"), F.col("end").alias("end")))).alias("terms"))
+    kind = F.when(F.col("ratio") >= remove - 1e-9, "removed").otherwise("term")
+    return near.join(hits, ["at", "term"]).groupBy("at").agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), F.col("start").alias("start"), F.col("end").alias("end")))).alias("terms"))
 
 
 def find_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -198,8 +226,7 @@ def find_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", generali
     """
     slim = docs.select(F.col(id).alias("id"), F.col(text).alias("llm_in"))
     found = written(with_base(slim, ["id"], "llm_in").withColumn("at", F.monotonically_increasing_id()), "spans")  # written: the numbers hold
-    pairs = written(disclosing_pairs(docs, found, text), "disclosing")
-    terms = term_spans(found, pairs, generalise, remove)
+    terms = term_spans(docs, found, text, generalise, remove)
     return found.join(terms, "at", "left").select(F.col("id").alias(id), "base", F.coalesce("terms", F.array().cast(T.ArrayType(SPAN))).alias("terms"))
 
 
@@ -223,8 +250,7 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = GENERALISE
     """docs with the spans of `find_spans` replaced in the text; every row stays, and a null text stays null."""
     wide = docs.select(carried(docs), F.col(text).alias("llm_in"))
     found = written(with_base(wide, ["row"], "llm_in").withColumn("at", F.monotonically_increasing_id()), "spans")
-    pairs = written(disclosing_pairs(docs, found, text), "disclosing")
-    joined = found.join(term_spans(found, pairs, generalise, remove), "at", "left")
+    joined = found.join(term_spans(docs, found, text, generalise, remove), "at", "left")
     rows = joined.select("row", F.concat("base", F.coalesce("terms", F.array().cast(T.ArrayType(SPAN)))).alias("all"))
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -11,6 +11,7 @@ Mahalanobis distance from its group's estimate exceeds the cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, exp, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,35 @@ MIN_WORDS = 20
 SHARE = 0.75
 STEPS = 4
 MIN_GROUP = 200
-#: Least standard deviation of each transformed statistic, so that a statistic that hardly varies rejects nothing by itself.
-FLOOR = (0.25, 0.05, 0.05, 0.05, 0.05)
-#: Cut on the squared Mahalanobis distance; five dimensions of normal vectors exceed it once in some 10^13 times.
-CUT = 70.0
-
+#: Least standard deviation of each transformed statistic, so that a statistic that hardly varies rejects nothing by itself. Repeats are none
+#: or few in most texts, and one repeated line of a short text is 0.1 and 0.35 on their scales: their floors keep it inside the cut.
+FLOOR = (0.25, 0.05, 0.05, 0.08, 0.15)
 DIMS = len(FLOOR)
 COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
 
 
+def chi2_cdf(x: float, k: int) -> float:
+    """For odd degrees of freedom, in closed form."""
+    total, term = erf(sqrt(x / 2)), sqrt(2 * x / pi) * exp(-x / 2)
+    for m in range(1, k, 2):
+        total -= term
+        term *= x / (m + 2)
+    return total
+
+
+def chi2_quantile(p: float, k: int) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, k) < p else (low, mid)
+    return low
+
+
+#: Cut on the squared Mahalanobis distance: the quantile that one normal vector in 10,000 exceeds, 25.7 for five dimensions.
+CUT_QUANTILE = 0.9999
+CUT = chi2_quantile(CUT_QUANTILE, DIMS)
+
+
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside word windows that occur twice or more in the text, first occurrences included.
 
@@ -141,22 +162,9 @@ def distance() -> Column:
 def consistency(share: float) -> float:
     """Factor that makes the covariance of the nearest `share` of normal vectors that of all of them.
 
-    share / P(chi2 with dims + 2 degrees <= q), q the share quantile of chi2 with dims degrees; both for five dimensions, in closed form.
+    share / P(chi2 with dims + 2 degrees <= q), q the share quantile of chi2 with dims degrees.
     """
-    from math import erf, exp, pi, sqrt
-
-    def cdf(x: float, k: int) -> float:  # odd degrees of freedom
-        total, term = erf(sqrt(x / 2)), sqrt(2 * x / pi) * exp(-x / 2)
-        for m in range(1, k, 2):
-            total -= term
-            term *= x / (m + 2)
-        return total
-
-    low, high = 0.0, 200.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if cdf(mid, DIMS) < share else (low, mid)
-    return share / cdf(low, DIMS + 2)
+    return share / chi2_cdf(chi2_quantile(share, DIMS), DIMS + 2)
 
 
 def estimates(vectors: DataFrame, keys: list[str]) -> DataFrame:

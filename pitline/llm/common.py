@@ -50,6 +50,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def ascii_lowered(text: Column) -> Column:
+    """A-Z become a-z and nothing else changes; the fast built-in serves texts of ASCII alone."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], keep: list[str], added: T.StructType) -> DataFrame:
     """mapInArrow that keeps some columns as they are and appends those that fn computes for each batch."""
     from pyspark.sql.pandas.types import to_arrow_schema

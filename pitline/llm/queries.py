@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitline.llm import bpe, chat, licenses, mixing, pii, quality, simhash, token_counts, topk, warc
-from pitline.llm.common import read, scratch_path
+from pitline.llm import bpe, chat, exact_dedup, licenses, merkle, mixing, pii, prefix_trie, quality, simhash, token_counts, topk, warc
+from pitline.llm.common import ascii_lowered, read, scratch_path, text_of
 
 #: Part of every run's documents: more than this many tokens is over the limit.
 TOKEN_LIMIT = 512
@@ -82,6 +82,26 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(manifest, with_payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(ascii_lowered(text_of()).cast("binary"), 256).alias("text_sha256")  # of every row, as the result asks for it
+    found = exact_dedup.groups(read(spark, sf_dir, "documents"), carry=F.struct("doc_id", digest))
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = merkle.record([*values[:-1], ascii_lowered(F.col("text"))])
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(docs, values, changed=F.when(chosen, lowered))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.forked(prefix_trie.sequences(read(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(convs)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -90,5 +110,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_chat_windows, op3_byte_bpe, op4_private_data, op5_quality_rules, op6_exact_top_k, op7_token_counts,
-    op8_simhash_groups, op9_license_scan, op10_warc_archives, pipeline,
+    op8_simhash_groups, op9_license_scan, op10_warc_archives, op11_exact_dedup, op12_merkle_manifest, op13_prefix_trie, pipeline,
 )}

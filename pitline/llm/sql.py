@@ -111,4 +111,109 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, payload_dig
 FROM named
 """
 
-ORACLE = {"op1_mix_sources": OP1, "op2_chat_windows": OP2, "op6_exact_top_k": OP6, "op9_license_scan": op9(), "op10_warc_archives": OP10}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP11 = f"""
+WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+ranked AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM low)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM ranked
+"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of a short ASCII string."""
+    step = "list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), {0})"  # fixed value: the reversed polynomial
+    byte = "ascii(substr({0}, (k + 1)::INT, 1))::BIGINT".format(text)
+    return f"xor(4294967295, list_reduce(range(length({text})), lambda a, k: {step.format(f'xor(a, {byte})')}, 4294967295::BIGINT))"
+
+
+def op12(levels: int = 6) -> str:
+    """The tree level by level, for up to 16^levels leaves of a source and as many sources."""
+    value = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    leaf = lambda text: "sha256(" + " || ".join([value(c) for c in columns] + [value(text)]) + ")"
+    tampered = leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")
+    run = "(PARTITION BY source, pos // 16 ORDER BY pos ROWS BETWEEN {0})"
+    parts = [
+        f"""leaves AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc32("doc_id::VARCHAR")} % 5 = 0 THEN {tampered} ELSE {leaf("text")} END AS other FROM documents
+),
+a0 AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS digest, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM leaves)"""
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            parts.append(
+                f"""{name}p{k} AS (
+  SELECT *, coalesce(string_agg(digest, '') OVER {run.format("UNBOUNDED PRECEDING AND 1 PRECEDING")}, '') AS before,
+    coalesce(string_agg(digest, '') OVER {run.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")}, '') AS after FROM {name}{k}
+),
+{name}{k + 1} AS (
+  SELECT source, pos // 16 AS pos, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest, (n + 15) // 16 AS n
+  FROM {name}{k} GROUP BY source, pos // 16, n
+)"""
+            )
+
+    climb("a")
+    parts.append(
+        f"""b0 AS (SELECT 0 AS source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, digest, count(*) OVER () AS n FROM a{levels}),
+sources AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS at FROM a{levels})"""
+    )
+    climb("b")
+    parts.append("f0 AS (SELECT p.*, subroot, s.at AS place, '' AS proof, p.other AS folded FROM placed p JOIN sources s ON p.source IS NOT DISTINCT FROM s.source)")
+    for i in range(2 * levels):
+        name, k = ("a", i) if i < levels else ("b", i - levels)
+        key = f"f.source IS NOT DISTINCT FROM x.source AND f.at // {16**k} = x.pos" if name == "a" else f"f.place // {16**k} = x.pos"
+        parts.append(
+            f"""f{i + 1} AS (
+  SELECT f.doc_id, f.source, f.leaf, f.other, f.at, f.subroot, f.place, proof || before || after AS proof,
+    CASE WHEN x.n > 1 THEN sha256(before || folded || after) ELSE folded END AS folded FROM f{i} f JOIN {name}p{k} x ON {key}
+)"""
+        )
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM f{2 * levels} CROSS JOIN b{levels} r
+"""
+    )
+
+
+OP13 = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(octet_length(encode(role)) || ':' || role || text)) AS k
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) WHERE conv_id IS NOT NULL
+),
+cut AS (SELECT DISTINCT conv_id, {crc32("conv_id::VARCHAR")} % 9 AS h FROM turns),
+rebuilt AS (
+  SELECT c.conv_id, t.k, role, text FROM cut c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.k <= h
+  UNION ALL SELECT c.conv_id, t.k, role, text FROM cut c JOIN turns t ON t.conv_id = c.conv_id AND t.k > h
+),
+numbered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, sha256(length(role) || ':' || role || text) AS id, octet_length(encode(text)) AS size FROM rebuilt
+),
+spelled AS (
+  SELECT *, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM numbered
+),
+places AS (
+  SELECT conv_id, depth, size, path FROM spelled UNION ALL SELECT conv_id, 0, 0, '' FROM cut
+),
+longest AS (SELECT conv_id, max(depth) AS len FROM places GROUP BY conv_id),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = len), '')) AS ends_sha256
+  FROM places JOIN longest USING (conv_id) GROUP BY depth, path
+),
+related AS (
+  SELECT n.depth, n.path, n.conv_id, n.n_convs, n.ends_sha256, count(c.path) AS n_children FROM nodes n
+  LEFT JOIN nodes c ON c.depth = n.depth + 1 AND n.path = left(c.path, length(c.path) - 64) GROUP BY ALL
+),
+below AS (
+  SELECT left(n.path, 64 * a) AS path, a AS depth, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens, count(*) FILTER (WHERE r.n_children = 0) AS n_leaves
+  FROM nodes n JOIN related r USING (depth, path), LATERAL (SELECT unnest(range(n.depth + 1)) AS a) GROUP BY ALL
+)
+SELECT r.conv_id, r.depth, p.conv_id AS parent_conv_id, r.n_convs, r.n_children, n_leaves, saved_tokens, r.ends_sha256
+FROM related r JOIN below b USING (depth, path) LEFT JOIN nodes p ON r.depth > 0 AND p.depth = r.depth - 1 AND p.path = left(r.path, length(r.path) - 64)
+"""
+
+ORACLE = {"op1_mix_sources": OP1, "op2_chat_windows": OP2, "op6_exact_top_k": OP6, "op9_license_scan": op9(), "op10_warc_archives": OP10, "op11_exact_dedup": OP11, "op12_merkle_manifest": op12(), "op13_prefix_trie": OP13}

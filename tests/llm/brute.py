@@ -3,7 +3,7 @@
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -89,3 +89,66 @@ def license_scan(text, phrases, templates, threshold):
     base = sorted({x for _, x in places})
     at = [i for i, _ in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *shares})), max(shares.values(), default=0.0))
+
+
+def equal_groups(rows):
+    """rows: list of (id, text); per row (keep_id, group_size), and per group whether exactly one row is to stay."""
+    groups = defaultdict(list)
+    for i, text in rows:
+        groups[ascii_lower(text or "")].append(i)
+    largest = lambda ids: max(ids, key=lambda i: (i is not None, i or 0))
+    return {t: (largest(ids), len(ids)) for t, ids in groups.items()}
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def runs(nodes, fanout):
+    return [nodes[i : i + fanout] for i in range(0, len(nodes), fanout)]
+
+
+def tree_levels(nodes, fanout=16):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(r)) for r in runs(levels[-1], fanout)])
+    return levels
+
+
+def merkle(rows, fanout=16):
+    """rows: list of (id, source, leaf, tampered leaf or None); per row (id, leaf, subroot, root, proof, folded), in the order of the trees."""
+    order = lambda v: (v is not None, v if isinstance(v, int) else (v or "").encode())
+    sources = sorted({r[1] for r in rows}, key=order)
+    of_source = {s: sorted((r for r in rows if r[1] == s), key=lambda r: (order(r[0]), r[2])) for s in sources}
+    trees = {s: tree_levels([r[2] for r in of_source[s]], fanout) for s in sources}
+    top = tree_levels([trees[s][-1][0] for s in sources], fanout)
+    out = []
+    for k, s in enumerate(sources):
+        for i, r in enumerate(of_source[s]):
+            proof, node = [], r[3] or r[2]
+            for levels, place in ((trees[s], i), (top, k)):
+                for level in levels[:-1]:
+                    start = place - place % fanout
+                    before, after = level[start:place], level[place + 1 : start + fanout]
+                    proof += before + after
+                    node = sha("".join([*before, node, *after]))
+                    place //= fanout
+            out.append((r[0], r[2], trees[s][-1][0], top[-1][0], sha("".join(proof)), node))
+    return out
+
+
+def trie(convs):
+    """convs: {id: list of (role, text)}; a tuple for each node, from its definition."""
+    members = defaultdict(list)
+    for c in sorted(convs):
+        for d in range(len(convs[c]) + 1):
+            members[tuple(convs[c][:d])].append(c)
+    out = []
+    for path, inside in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        children = lambda p: sum(len(q) == len(p) + 1 and q[: len(p)] == p for q in members)
+        saved = sum((len(members[p]) - 1) * len(p[-1][1].encode()) for p in below if p)
+        ends = ",".join(str(c) for c in inside if len(convs[c]) == len(path))
+        parent = min(members[path[:-1]]) if path else None
+        out.append((inside[0], len(path), parent, len(inside), children(path), sum(children(p) == 0 for p in below), saved, sha(ends)))
+    return out

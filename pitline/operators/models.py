@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitline.config import COVERAGE_MIN, PRIMARY_TARGET, QR_BLOCK_ROWS, RIDGE_ALPHA
+from pitline.operators.moments import correlation, pair_moments
 
 KEY = ["symbol", "fold"]
 FAMILIES = ("ols", "ridge")
@@ -287,11 +288,8 @@ def conditioning(fits: DataFrame) -> DataFrame:
 
 def training_correlations(z: DataFrame, features: tuple[str, ...], threshold: float = 0.95) -> DataFrame:
     """Largest absolute pairwise correlation of the standardised training columns, and pairs above the cut-off."""
-    from pitline.functions.numeric import pearson
-
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    rows = z.select(*KEY, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("z")[i].alias("a"), F.col("z")[j].alias("b")) for i, j in pairs])).alias("q")).select(*KEY, "q.*")
-    per = rows.groupBy(*KEY, "i", "j").agg(pearson("a", "b").alias("r"))
+    columns = {f: F.col("z")[i] for i, f in enumerate(features)}
+    per = pair_moments(z, KEY, columns).filter("i < j").select(*KEY, correlation().alias("r"))
     return per.groupBy(*KEY).agg(
         F.max(F.abs("r")).alias("max_abs_pairwise_correlation"),
         F.count_if(F.abs("r") >= threshold).alias("high_correlation_pairs"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pitline.functions.numeric import pearson, sdiv, signed
 from pitline.functions.windows import average_rank
+from pitline.operators.moments import pair_moments
 
 KEY = ["symbol", "fold"]
 
@@ -265,19 +266,15 @@ def extrapolation_strata(oof: DataFrame, z: DataFrame, cut: float = 5.0) -> Data
 
 
 def gramian(z: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Normal-equation sums of the standardised training rows: n, and per feature pair sum(zi*zj); per feature sum(z), sum(z*y).
-
-    Fan-out per row is the fixed number of feature pairs; the sums combine before the shuffle.
-    """
+    """Normal-equation sums of the standardised training rows: n, and per feature pair sum(zi*zj); per feature sum(z), sum(z*y)."""
     k = len(features)
-    cells = [
-        F.struct(F.lit(features[i]).alias("a"), F.lit(features[j]).alias("b"), (F.col("z")[i] * F.col("z")[j]).alias("v"))
-        for i in range(k)
-        for j in range(i, k)
-    ]
-    cells += [F.struct(F.lit(features[i]).alias("a"), F.lit("y").alias("b"), (F.col("z")[i] * F.col("y")).alias("v")) for i in range(k)]
-    cells += [F.struct(F.lit(features[i]).alias("a"), F.lit("1").alias("b"), F.col("z")[i].alias("v")) for i in range(k)]
-    return z.select(*KEY, F.inline(F.array(*cells))).groupBy(*KEY, "a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    columns = {f: F.col("z")[i] for i, f in enumerate(features)} | {"y": F.col("y")}
+    names = F.array(*[F.lit(c) for c in columns])
+    m = pair_moments(z, KEY, columns).filter(F.col("i") < k)  # rows where both have a value; z always has one
+    total = F.col("cross") + F.col("n") * F.col("mean_i") * F.col("mean_j")
+    sums = m.select(*KEY, F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "n", total.alias("total"))
+    ones = m.filter("i = j").select(*KEY, F.get(names, F.col("i")).alias("a"), F.lit("1").alias("b"), "n", (F.col("n") * F.col("mean_i")).alias("total"))
+    return sums.unionByName(ones)
 
 
 def fold_coverage(members: DataFrame, params_long: DataFrame, features: tuple[str, ...]) -> DataFrame:

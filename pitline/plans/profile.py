@@ -146,27 +146,38 @@ def _(t: Tables):
 @query(
     "high_correlation_pairs",
     "K5",
-    f"""WITH p AS ({pair_sql('features', MARKET_FEATURES)}), q AS (SELECT symbol, feature_a, u.b AS feature_b, u.n AS pairwise_count, u.r AS r FROM p WHERE u.n >= 20 AND abs(u.r) >= 0.95)
-SELECT symbol, feature_a, feature_b, pairwise_count, {R('r', 5)} AS correlation, row_number() OVER (PARTITION BY symbol ORDER BY abs(r) DESC, feature_a, feature_b)::INTEGER AS position FROM q""",
+    f"""SELECT symbol, feature_a, feature_b, pairwise_count, {R('r', 5)} AS correlation,
+ row_number() OVER (PARTITION BY symbol ORDER BY {R('abs(r)', 9)} DESC, feature_a, feature_b)::INTEGER AS position FROM pairs_v WHERE highly_correlated""",
 )
 def _(t: Tables):
-    h = ops.high_pairs(ops.pairwise_correlation(t.features, ["symbol"], MARKET_FEATURES), ["symbol"])
+    h = ops.high_pairs(ops.pairwise_correlation(t.daily, ["symbol"], RESEARCH_FEATURES), ["symbol"])
     return rounded(h, ["symbol", "feature_a", "feature_b", "pairwise_count", "position"], ("correlation",), 5)
 
 
-_bs = STREAM_FEATURES["bs"]
+_fund = [f for p in GROUP_STREAM.values() for f in STREAM_FEATURES[p]]
+_seen = ", ".join([f"{f} IS NOT NULL AS {f}" for f in _fund] + [
+    f"CASE WHEN {p}_accession IS NOT NULL THEN struct_pack({', '.join(f'{c} := {p}_{c}' for c in STATE_KEY)}) END AS {p}_state" for p in GROUP_STREAM.values()
+])
+cte("seen_v", f"SELECT symbol, count(*) AS days, {_seen} FROM daily_v GROUP BY ALL")  # few rows: which cells are filled, under which filings
 _ds = " UNION ALL ".join(
-    f"""SELECT symbol, '{a}' AS feature_a, '{b}' AS feature_b, count_if({a} IS NOT NULL AND {b} IS NOT NULL)::BIGINT AS pairwise_count,
- (count(DISTINCT bs_accession) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL))::INTEGER AS distinct_states_a,
- (count(DISTINCT bs_accession) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL))::INTEGER AS distinct_states_b FROM daily_v GROUP BY symbol"""
-    for i, a in enumerate(_bs)
-    for b in _bs[i + 1 :]
+    f"SELECT symbol, '{a}' AS feature_a, unnest(["
+    + ", ".join(
+        f"{{'b': '{b}', 'n': coalesce(sum(days) FILTER ({a} AND {b}), 0)::BIGINT, 'sa': count(DISTINCT {ops.STATE_NUMBER[a]}) FILTER ({a} AND {b}), "
+        f"'sb': count(DISTINCT {ops.STATE_NUMBER[b]}) FILTER ({a} AND {b})}}"
+        for b in _fund[i + 1 :]
+    )
+    + "]) AS u FROM seen_v GROUP BY symbol"
+    for i, a in enumerate(_fund[:-1])
 )
 
 
-@query("distinct_states_per_pair", "A10", f"SELECT * FROM ({_ds})")
+@query(
+    "distinct_states_per_pair",
+    "A10",
+    f"SELECT symbol, feature_a, u.b AS feature_b, u.n AS pairwise_count, u.sa::INTEGER AS distinct_states_a, u.sb::INTEGER AS distinct_states_b FROM ({_ds})",
+)
 def _(t: Tables):
-    p = ops.pairwise_correlation(t.daily, ["symbol"], _bs, states={f: "bs_accession" for f in _bs})
+    p = ops.pairwise_correlation(ops.with_state_numbers(t.daily), ["symbol"], tuple(_fund), states=ops.STATE_NUMBER)
     return p.select("symbol", "feature_a", "feature_b", "pairwise_count", "distinct_states_a", "distinct_states_b")
 
 

@@ -205,7 +205,7 @@ def cell_audit(daily: DataFrame, snapshots: DataFrame, stream: str, features: tu
 
 def profile_violations(daily: DataFrame, features: tuple[str, ...] = RESEARCH_FEATURES) -> DataFrame:
     """Column inventory checked against counts taken straight from the wide table (no unpivot, no run logic)."""
-    from pitline.operators.profile import inventory, long_features
+    from pitline.operators.profile import inventory
 
     w = W.partitionBy("symbol").orderBy("date")
     base = daily.select("symbol", "date", *features)
@@ -223,7 +223,7 @@ def profile_violations(daily: DataFrame, features: tuple[str, ...] = RESEARCH_FE
             ]
         ).alias("r")
     ).select("symbol", F.inline("r"))
-    j = inventory(long_features(daily, features)).join(wide, ["symbol", "feature"], "full_outer")
+    j = inventory(daily, features).join(wide, ["symbol", "feature"], "full_outer")
     return j.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("features"),
         F.count_if(~F.col("non_null_count").eqNullSafe(F.col("_n"))).alias("count_violations"),

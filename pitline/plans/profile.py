@@ -88,7 +88,7 @@ _VK = ["symbol", "view", "feature_group", "feature"]
  longest_missing_run, missing_blocks, coverage_label FROM inventory_v""",
 )
 def _(t: Tables):
-    i = ops.inventory(ops.long_features(t.daily))
+    i = ops.inventory(t.daily)
     return i.withColumn("coverage_ratio", rnd("coverage_ratio"))
 
 

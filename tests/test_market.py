@@ -6,11 +6,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pitline.config import HORIZONS, MARKET_FEATURES, ProfileThresholds, SplitConfig
+from pitline.config import HORIZONS, MARKET_FEATURES, SplitConfig
 from pitline.functions.dates import date_columns, strict_date
 from pitline.functions.numeric import finite, is_close, is_integral_count, sdiv
 from pitline.operators import bars as ops
 from pitline.operators import labels as lab
+from pitline.operators.profile import coverage_label
 from pitline.operators.rolling import build_features, feature_quality, oracle_features, representation
 from pitline.sources import bars as src
 
@@ -134,9 +135,10 @@ def test_scalar_helpers(spark):
 
 def test_config_guards():
     with pytest.raises(ValueError):
-        ProfileThresholds(sparse_coverage=0.99)
-    with pytest.raises(ValueError):
-        SplitConfig(embargo=1)
+        coverage_label(F.lit(0.5), sparse=0.99)
+    for bad in ({"embargo": 1}, {"folds": 2.5}, {"min_train": 0}):
+        with pytest.raises(ValueError):
+            SplitConfig(**bad)
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from pitline.config import MARKET_FEATURES
 from pitline.operators import audits as aud
 from pitline.operators import compare as cmp
+from pitline.operators import moments, runs
 from pitline.operators import profile as prof
 from pitline.operators.rolling import build_features
 from pitline.plans import load_all
@@ -21,13 +23,71 @@ def long_frame(spark, values):
     return spark.createDataFrame(rows, "symbol string, date date, feature string, value double")
 
 
+def wide_frame(spark, values):
+    return long_frame(spark, values).select("symbol", "date", F.col("value").alias("f"))
+
+
 def test_runs_and_inventory(spark):
     v = [None, None, 1.0, 1.0, None, 2.0, 2.0, 2.0, None, None, None, 3.0]
-    r = prof.inventory(long_frame(spark, v)).first()
+    r = prof.inventory(wide_frame(spark, v), ("f",)).first()
     assert (r.non_null_count, r.unique_count, r.longest_missing_run, r.missing_blocks, r.value_changes) == (6, 3, 3, 3, 0)
-    runs = prof.with_runs(long_frame(spark, v)).agg(F.max("constant_run")).first()[0]
-    assert runs == 3
-    assert prof.inventory(long_frame(spark, [None] * 3)).first().coverage_label == "all_missing"
+    assert runs.run_summaries(wide_frame(spark, v), ("f",)).first().longest_constant_run == 3
+    assert prof.inventory(wide_frame(spark, [None] * 3), ("f",)).first().coverage_label == "all_missing"
+    assert prof.inventory(wide_frame(spark, []), ("f",)).count() == 0
+
+
+def plain_runs(values):
+    """(valid, longest gap, gaps, longest equal run, transitions, changes, leading gap) of a list, value by value."""
+    groups = [(k, len(list(g))) for k, g in itertools.groupby(values)]
+    gaps = [n for k, n in groups if k is None]
+    changes = sum(a is not None and b is not None and a != b for a, b in zip(values, values[1:]))
+    leading = groups[0][1] if groups[0][0] is None else 0
+    return (sum(v is not None for v in values), max(gaps, default=0), len(gaps), max((n for k, n in groups if k is not None), default=0), len(groups) - 1, changes, leading)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 5, 100])
+def test_run_summaries_join_over_blocks(block):
+    rng = np.random.default_rng(block)
+    for n in (1, 2, 7, 40):
+        x = rng.choice([1.0, 2.0, np.nan], size=(n, 30), p=[0.45, 0.2, 0.35])
+        x[:, 0], x[:, 1] = np.nan, 1.0
+        r = runs.summary(x, np.arange(n), block)
+        for c in range(x.shape[1]):
+            want = plain_runs([None if np.isnan(v) else v for v in x[:, c]])
+            assert (r.valid[c], r.longest_missing[c], r.missing_blocks[c], r.longest_equal[c], r.transitions[c], r.changes[c], r.head_missing[c]) == want
+            assert list(r.values[c]) == sorted({v for v in x[:, c] if not np.isnan(v)})
+
+
+def test_pair_moments_merge_as_one_block(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 1, size=(90, 5))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 4] = np.where(np.isnan(x[:, 4]), np.nan, 7.0)  # constant
+    names = rng.integers(0, 6, 90)
+    state = np.ma.MaskedArray(names, names == 0)
+    whole = moments.PairMoments.of(x, {0: state, 1: state})
+    parts = moments.PairMoments(5)
+    for rows in np.array_split(np.arange(90), [1, 1, 20, 77]):
+        parts.merge(moments.PairMoments.unpacked(moments.PairMoments.of(x[rows], {0: state[rows], 1: state[rows]}).packed(), 5))
+    for i in range(5):
+        for j in range(5):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            for m in (whole, parts):
+                assert m.n[i, j] == both.sum() and m.mean[i, j] == pytest.approx(a.mean(), rel=1e-12)
+                assert m.square[i, j] == pytest.approx(((a - a.mean()) ** 2).sum(), rel=1e-9, abs=1e-9)
+                assert m.cross[i, j] == pytest.approx(((a - a.mean()) * (b - b.mean())).sum(), rel=1e-7, abs=1e-9)
+                assert (m.low[i, j], m.high[i, j]) == (a.min(), a.max())
+            assert whole.seen.get((i, j), set()) == parts.seen.get((i, j), set()) == (set(names[both & (names > 0)].tolist()) if i < 2 else set())
+    frame = spark.createDataFrame([(int(r % 3), *[None if np.isnan(v) else float(v) for v in row]) for r, row in enumerate(x)], "k int, a double, b double, c double, d double, e double").repartition(7)
+    got = moments.pair_moments(frame, ["k"], {c: F.col(c) for c in "abcde"}).select("*", moments.correlation().alias("r")).collect()
+    assert len(got) == 3 * 15
+    for row in got:
+        rows = np.arange(90) % 3 == row.k
+        a, b = x[rows, row.i], x[rows, row.j]
+        both = ~np.isnan(a) & ~np.isnan(b)
+        assert row.n == both.sum()
+        assert row.r is None if 4 in (row.i, row.j) else row.r == pytest.approx(np.corrcoef(a[both], b[both])[0, 1], abs=1e-9)
 
 
 def test_distribution_equals_pandas(spark):

@@ -38,7 +38,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a table in the shared folder: computed once, lineage cut, readable after a lost executor."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more, their successors being written. Others are left alone."""
+    for table in tables:
+        if path := getattr(table, "scratch", None):
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def carried(df: DataFrame) -> Column:
@@ -76,6 +86,42 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], k
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a bitmap of keys: 2 MB of bits, 262,144 words of 64, which is all that is broadcast, whatever the number of keys.
+BITS = 1 << 24
+
+
+def bitmap(keys: DataFrame, bits: int = BITS) -> DataFrame:
+    """(word, mask): the bits of all values of `key`, a hash. Null keys have no bit."""
+    bit = F.pmod(F.col("key"), F.lit(bits))
+    placed = keys.where("key IS NOT NULL").select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(key, {bits}) % 64 AS INT))").alias("mask"))
+    return written(placed.groupBy("word").agg(F.bit_or("mask").alias("mask")), "bits")
+
+
+def marked(rows: DataFrame, key: Column, bits: DataFrame, name: str, size: int = BITS) -> DataFrame:
+    """rows with a boolean column: whether the bit of their key is set. It is for all keys of the bitmap and by chance for a few others."""
+    bit = F.pmod(key, F.lit(size))
+    keyed = rows.withColumns({f"{name}_word": F.shiftright(bit, 6), f"{name}_bit": (bit % 64).cast("int")})
+    found = keyed.join(F.broadcast(bits.select(F.col("word").alias(f"{name}_word"), F.col("mask").alias(f"{name}_mask"))), f"{name}_word", "left")
+    is_set = F.coalesce(F.expr(f"bit_get({name}_mask, {name}_bit)") == 1, F.lit(False))
+    return found.withColumn(name, is_set).drop(f"{name}_word", f"{name}_bit", f"{name}_mask")
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """Columns k1 and k2: a 128-bit hash of values, in which nulls count."""
+    values = [v for c in columns for v in (c, c.isNull())]
+    return [F.xxhash64(F.lit(i), *values).alias(f"k{i}") for i in (1, 2)]
+
+
+def parted(docs: DataFrame, key: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hit, rest): (k1, k2, row) of all rows of docs that may have one of `keys` (k1, k2), and the rows of docs that have none.
+
+    Rows are not shuffled for it; what is to be done with those of the keys then moves only these rows.
+    """
+    rows = docs.select(*key, carried(docs))
+    rows = marked(rows, F.col("k1"), bitmap(keys.select(F.col("k1").alias("key"))), "hit")
+    return rows.where("hit").drop("hit"), rows.where(~F.col("hit")).select("row.*")
+
+
 def at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 

@@ -11,32 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitline.llm.common import ascii_lowered, carried, text_of, with_small, written
+from pitline.llm.common import BITS, ascii_lowered, bitmap, carried, marked, text_of, with_small, written
 
-#: Bits of a bitmap of shared keys: 2 MB of bits, 262,144 words.
-BITS = 1 << 24
 #: Characters whose hash is the second step's key.
 PREFIX = 128
 
 
-def shared_bits(keys: DataFrame) -> DataFrame:
-    """(word, mask) of the bits of every `key` that more than one row has. Keys are hashes or null; null keys have no bit."""
-    several = keys.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    bit = F.pmod(F.col("key"), F.lit(BITS))
-    placed = several.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(key, {BITS}) % 64 AS INT))").alias("mask"))
-    return written(placed.groupBy("word").agg(F.bit_or("mask").alias("mask")), "bits")
+def shared_bits(keys: DataFrame, bits: int) -> DataFrame:
+    """The bitmap of every `key` that more than one row has. Keys are hashes or null."""
+    return bitmap(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), bits)
 
 
-def marked(rows: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
-    """rows with a boolean column: whether the bit of their key is set."""
-    bit = F.pmod(key, F.lit(BITS))
-    keyed = rows.withColumns({f"{name}_word": F.shiftright(bit, 6), f"{name}_bit": (bit % 64).cast("int")})
-    found = keyed.join(F.broadcast(bits.select(F.col("word").alias(f"{name}_word"), "mask")), f"{name}_word", "left")
-    is_set = F.coalesce(F.expr(f"bit_get(mask, {name}_bit)") == 1, F.lit(False))
-    return found.withColumn(name, is_set).drop(f"{name}_word", f"{name}_bit", "mask")
-
-
-def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: Column | None = None) -> DataFrame:
+def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: Column | None = None, bits: int = BITS) -> DataFrame:
     """One row for each row of docs: `row` (what is carried, by default the whole row), keep_id, group_size, kept.
 
     Texts are equal when they are identical after lower-casing A-Z; a null text counts as empty, and empty texts are one group. The row
@@ -45,11 +31,11 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: Colum
     """
     rows = docs.select((carried(docs) if carry is None else carry).alias("row"), F.col(f"`{id}`").alias("id"), text_of(text).alias("text"))
     length = F.xxhash64(F.octet_length("text"))
-    lengths = shared_bits(rows.select(length.alias("key")))
-    long_shared = lambda df: marked(df, length, lengths, "same_length")
+    lengths = shared_bits(rows.select(length.alias("key")), bits)
+    long_shared = lambda df: marked(df, length, lengths, "same_length", bits)
     prefix = F.when(F.col("same_length"), F.xxhash64(F.octet_length("text"), ascii_lowered(F.substring("text", 1, PREFIX))))
-    prefixes = shared_bits(long_shared(rows.select("text")).select(prefix.alias("key")))
-    survivors = marked(long_shared(rows), prefix, prefixes, "same_prefix")
+    prefixes = shared_bits(long_shared(rows.select("text")).select(prefix.alias("key")), bits)
+    survivors = marked(long_shared(rows), prefix, prefixes, "same_prefix", bits)
     full = F.when(F.col("same_prefix"), F.sha2(ascii_lowered(F.col("text")).cast("binary"), 256))
     hashed = written(survivors.select("row", "id", full.alias("full"), F.monotonically_increasing_id().alias("at")), "hashed")  # written: `at` holds
     alone = {"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}

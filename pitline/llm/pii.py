@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitline.llm.common import by_batch, carried, written
+from pitline.llm.common import by_batch, discard, parted, row_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE = 0.5
@@ -247,15 +247,26 @@ def hidden(text: str, spans: list[dict]) -> str:
 
 
 def sanitise(docs: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """docs with the spans of `find_spans` replaced in the text; every row stays, and a null text stays null."""
-    wide = docs.select(carried(docs), F.col(text).alias("llm_in"))
-    found = written(with_base(wide, ["row"], "llm_in").withColumn("at", F.monotonically_increasing_id()), "spans")
-    joined = found.join(term_spans(docs, found, text, generalise, remove), "at", "left")
-    rows = joined.select("row", F.concat("base", F.coalesce("terms", F.array().cast(T.ArrayType(SPAN)))).alias("all"))
+    """docs with the spans of `find_spans` replaced in the text; every row stays, and a null text stays null.
+
+    A text's spans follow from the text and the corpus, so they are found for narrow rows with a key of the text, of which only those with
+    spans are written; whole rows are shuffled only where their key may be one of these.
+    """
+    key = row_key(F.col(text).cast("string"))
+    slim = docs.select(*key, F.col(text).alias("llm_in"))
+    found = with_base(slim, ["k1", "k2"], "llm_in").where(F.size("base") > 0)
+    found = written(found.withColumn("at", F.monotonically_increasing_id()), "spans")  # written: the numbers hold
+    every = F.concat("base", F.coalesce("terms", F.array().cast(T.ArrayType(SPAN))))
+    spans = found.join(term_spans(docs, found, text, generalise, remove), "at", "left").select("k1", "k2", every.alias("all"))
+    spans = written(spans.dropDuplicates(["k1", "k2"]), "hidden")
+    discard(found)
+    hit, rest = parted(docs, key, spans)
+    rows = hit.join(spans, ["k1", "k2"], "left").select("row", "all", F.col("row")[text].cast("string").alias("llm_in"))
 
     def run(batch: pa.RecordBatch) -> dict:
         texts, spans = batch.column("llm_in").to_pylist(), batch.column("all").to_pylist()
         return {"clean": [hidden(t, s) if t and s else t for t, s in zip(texts, spans, strict=True)]}
 
-    out = by_batch(rows.select("row", "all", F.col("row")[text].cast("string").alias("llm_in")), run, ["row"], T.StructType([T.StructField("clean", T.StringType())]))
-    return out.select(*[F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    out = by_batch(rows, run, ["row"], T.StructType([T.StructField("clean", T.StringType())]))
+    patched = out.select(*[F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+    return rest.withColumn(text, F.col(f"`{text}`").cast("string")).unionByName(patched)

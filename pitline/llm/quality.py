@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitline.llm.common import by_batch, carried, with_small, written
+from pitline.llm.common import by_batch, parted, row_key, with_small, written
 
 SPACE = " \t\n\r\x0b\x0c"  # fixed values: the characters between words
 SYMBOLS = "#*$%&|<>"  # fixed values: the characters counted as symbols
@@ -217,7 +217,15 @@ def assess(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that are kept, with their columns of any name."""
-    wide = docs.select(carried(docs), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("llm_in"))
-    rows = written(with_counts(wide, ["row", "lang", "source"], "llm_in"), "counts")
-    return judged(rows).where("kept").select("row.*")
+    """The rows of docs that are kept, with their columns of any name.
+
+    A verdict follows from text, language and source, so it is taken over narrow rows that carry a key of the three; whole rows
+    are shuffled only where their key may be that of a rejected one.
+    """
+    columns = [F.col(c).cast("string") for c in (text, lang, source)]
+    key = row_key(*columns)
+    slim = docs.select(*key, columns[1].alias("lang"), columns[2].alias("source"), columns[0].alias("llm_in"))
+    rows = written(with_counts(slim, ["k1", "k2", "lang", "source"], "llm_in"), "counts")
+    rejected = written(judged(rows).where(~F.col("kept")).select("k1", "k2").distinct(), "rejected")
+    hit, rest = parted(docs, key, rejected)
+    return rest.unionByName(hit.join(rejected, ["k1", "k2"], "left_anti").select("row.*"))

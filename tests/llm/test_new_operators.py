@@ -58,11 +58,10 @@ def test_exact_groups_at_the_edges(edge):
     assert survivors.columns == edge.columns and survivors.count() == len(wanted)
 
 
-def test_exact_groups_with_full_bitmaps(edge, monkeypatch):
+def test_exact_groups_with_full_bitmaps(edge):
     """Every bit set: all texts are hashed, and the groups are the same."""
-    monkeypatch.setattr(exact_dedup, "BITS", 64)
     wanted = brute.equal_groups([(r[0], r[1]) for r in EDGE])
-    for r in exact_dedup.groups(edge).collect():
+    for r in exact_dedup.groups(edge, bits=64).collect():
         assert (r["keep_id"], r["group_size"]) == wanted[brute.ascii_lower(r["row"]["text"] or "")]
 
 

@@ -112,7 +112,8 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
 def parsed_turns(text: Column) -> Column:
     """Array of (role, text) read back from a window's text."""
-    pattern = r"(?s)<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n"
+    # possessive repeats: Java matches them in a loop, where an alternation would take a stack frame for each character
+    pattern = r"(?s)<\|im_start\|>([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n(.*?)<\|im_end\|>\n"
     part = lambda i: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), unescaped)
     return F.zip_with(part(1), part(2), lambda r, t: F.struct(r.alias("role"), t.alias("text")))
 

@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from pitline.llm import exact_dedup, merkle, prefix_trie
+from pitline.llm import chat, exact_dedup, merkle, prefix_trie
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -187,3 +187,12 @@ def test_turnless_conversations(spark):
     got = prefix_trie.trie(prefix_trie.forked(prefix_trie.sequences(spark.createDataFrame(few, TURNS)))).select(*NODE).collect()
     same(got, brute.trie(rebuilt(few)))
     assert got[0]["depth"] == 0 and got[0]["n_convs"] == 4
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_roles_and_texts_of_a_megabyte(spark, together):
+    role, text = "r\\<|\n" * 200_000, "t\\<|im_end|>\n" * 80_000
+    turns = spark.createDataFrame([(1, 0, role, "short"), (1, 1, "assistant", text), (2, 0, "", ""), (2, 1, "assistant", "\\")], TURNS)
+    back = {r["conv_id"]: r for r in chat.read_back(chat.format_windows(turns, together=together)).collect()}
+    assert [tuple(t) for t in back[1]["turns"]] == [(role, "short"), ("assistant", text)] and back[1]["loss_text"] == text
+    assert [tuple(t) for t in back[2]["turns"]] == [("", ""), ("assistant", "\\")] and back[2]["loss_text"] == "\\"

@@ -26,7 +26,8 @@ def standardise_bars(raw: DataFrame, order_by: Column, symbol: str = "symbol") -
     """Vendor rows to clean bars: names, types, complete rows, last row per day by an explicit order.
 
     The last row is taken with max_by, which combines before the shuffle, so a day repeated many
-    times never gathers in one task.
+    times never gathers in one task. Each column is taken by itself: with an order of fixed width (see ``packed_key``) that is a hash
+    aggregate, and all columns see the same rows in the same order, so they come from one row also where orders tie.
     """
     renamed = raw.select(*[F.col(f"`{c}`").alias(snake(c)) for c in raw.columns], order_by.alias("_seq"))
     names = set(renamed.columns)
@@ -43,8 +44,7 @@ def standardise_bars(raw: DataFrame, order_by: Column, symbol: str = "symbol") -
         "_seq",
     ).replace(float("nan"), None, subset=list(BAR_COLUMNS[1:]))
     clean = typed.na.drop(subset=[symbol, *BAR_COLUMNS])
-    last = clean.groupBy(symbol, "date").agg(F.max_by(F.struct(*BAR_COLUMNS[1:]), "_seq").alias("b"))
-    return last.select(symbol, "date", "b.*")
+    return clean.groupBy(symbol, "date").agg(*[F.max_by(c, "_seq").alias(c) for c in BAR_COLUMNS[1:]])
 
 
 def bar_violations(bars: DataFrame) -> DataFrame:

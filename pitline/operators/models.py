@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitline.config import COVERAGE_MIN, PRIMARY_TARGET, QR_BLOCK_ROWS, RIDGE_ALPHA
-from pitline.operators.moments import correlation, pair_moments
+from pitline.functions.numeric import finite
+from pitline.operators.moments import correlation, matrix, pair_moments
 
 KEY = ["symbol", "fold"]
 FAMILIES = ("ols", "ridge")
@@ -28,6 +29,32 @@ FIT_SCHEMA = (
 )
 
 
+def finished(p: Column) -> Column:
+    """A feature's entry from its training statistics: mean and deviation of the median-filled column, and why it is dropped."""
+    n, cnt = F.col("n_train").cast("double"), p["n"].cast("double")
+    missing = n - cnt
+    covered = p["coverage"] >= COVERAGE_MIN
+    constant = p["lo"] == p["hi"]
+    mean = (p["avg"] * cnt + p["median"] * missing) / n
+    var = (cnt * (p["var"] + (p["avg"] - mean) * (p["avg"] - mean)) + missing * (p["median"] - mean) * (p["median"] - mean)) / n
+    std = F.when(constant, F.lit(0.0)).otherwise(F.sqrt(var))
+    used = F.coalesce(covered & ~constant, F.lit(False))
+    reason = F.when(~F.coalesce(covered, F.lit(False)), "low_training_coverage").when(constant, "zero_training_variance").otherwise("used")
+    return F.struct(
+        p["feature"].alias("feature"),
+        p["n"].alias("n"),
+        p["coverage"].alias("coverage"),
+        F.when(covered, p["median"]).alias("median"),
+        F.when(covered, mean).alias("mean"),
+        F.when(covered, std).alias("std"),
+        F.when(used, std).alias("scale"),
+        used.alias("used"),
+        reason.alias("drop_reason"),
+        p["lo"].alias("train_min"),
+        p["hi"].alias("train_max"),
+    )
+
+
 def fit_preprocessing(members: DataFrame, features: tuple[str, ...], target: str = PRIMARY_TARGET) -> DataFrame:
     """Training statistics per (symbol, fold): one struct per feature, plus row count and label mean.
 
@@ -67,31 +94,72 @@ def fit_preprocessing(members: DataFrame, features: tuple[str, ...], target: str
         F.transform("p", lambda p: p.withField("median", median(p["sorted"], p["n"])).dropFields("sorted")),
     )
 
-    def finish(p: Column) -> Column:
-        n, cnt = F.col("n_train").cast("double"), p["n"].cast("double")
-        missing = n - cnt
-        covered = p["coverage"] >= COVERAGE_MIN
-        constant = p["lo"] == p["hi"]
-        mean = (p["avg"] * cnt + p["median"] * missing) / n
-        var = (cnt * (p["var"] + (p["avg"] - mean) * (p["avg"] - mean)) + missing * (p["median"] - mean) * (p["median"] - mean)) / n
-        std = F.when(constant, F.lit(0.0)).otherwise(F.sqrt(var))
-        used = F.coalesce(covered & ~constant, F.lit(False))
-        reason = F.when(~F.coalesce(covered, F.lit(False)), "low_training_coverage").when(constant, "zero_training_variance").otherwise("used")
-        return F.struct(
-            p["feature"].alias("feature"),
-            p["n"].alias("n"),
-            p["coverage"].alias("coverage"),
-            F.when(covered, p["median"]).alias("median"),
-            F.when(covered, mean).alias("mean"),
-            F.when(covered, std).alias("std"),
-            F.when(used, std).alias("scale"),
-            used.alias("used"),
-            reason.alias("drop_reason"),
-            p["lo"].alias("train_min"),
-            p["hi"].alias("train_max"),
-        )
+    return s.withColumn("p", F.transform("p", finished))
+
+
+def _prefix_statistics(x: np.ndarray, y: np.ndarray, entry: np.ndarray, folds: list[int]) -> Iterator[tuple[int, int, float, dict[str, np.ndarray]]]:
+    """(fold, rows, label mean, statistics of each column) of the rows with entry <= fold, for each fold with rows.
 
-    return s.withColumn("p", F.transform("p", finish))
+    Each column is sorted once; the median of a fold is found by rank among the sorted values that have entered by then. Moments of
+    the rows that enter with a fold are merged into those before.
+    """
+    order = np.argsort(x, axis=0, kind="stable")  # NaN last
+    ranked, entered = np.take_along_axis(x, order, axis=0), entry[order]
+    valued = ~np.isnan(ranked)
+    k = x.shape[1]
+    n, mean, square = np.zeros(k), np.zeros(k), np.zeros(k)
+    rows, total, last = 0, 0.0, None
+    for fold in sorted(folds):
+        new = (entry <= fold) if last is None else (entry <= fold) & (entry > last)
+        last = fold
+        block = x[new]
+        here = ~np.isnan(block)
+        m = here.sum(axis=0)
+        centre = np.divide(np.where(here, block, 0).sum(axis=0), m, out=np.zeros(k), where=m > 0)
+        step, both = centre - mean, n + m
+        square += np.where(here, (block - centre) ** 2, 0).sum(axis=0) + step * step * np.divide(n * m, both, out=np.zeros(k), where=both > 0)
+        mean += step * np.divide(m, both, out=np.zeros(k), where=both > 0)
+        n = both
+        rows, total = rows + int(new.sum()), total + float(y[new].sum())
+        if not rows:
+            continue
+        inside = valued & (entered <= fold)
+        rank = np.cumsum(inside, axis=0)
+        at = lambda r: np.take_along_axis(ranked, (rank > r).argmax(axis=0)[None], axis=0)[0]  # noqa: B023, E731 - the value of rank r, from 0
+        median = (at(np.maximum(n - 1, 0) // 2) + at(n // 2 - (n == 0))) / 2
+        yield fold, rows, total / rows, {
+            "n": n.copy(), "median": median, "avg": mean.copy(), "var": np.divide(square, n, out=np.zeros(k), where=n > 0),
+            "lo": at(np.zeros(k)), "hi": at(np.maximum(n - 1, 0)),
+        }
+
+
+def fit_expanding(entries: DataFrame, features: tuple[str, ...], target: str = PRIMARY_TARGET) -> DataFrame:
+    """The training statistics of `fit_preprocessing` for folds that only grow, from rows that name the first fold they train.
+
+    One task reads a symbol's sessions once for all its folds: values are sorted once and never copied to folds.
+    """
+    statistics = ("median", "avg", "var", "lo", "hi")
+    cell = "struct<feature: string, n: bigint, coverage: double, avg: double, var: double, lo: double, hi: double, median: double>"
+    names = ["feature", "n", "coverage", "avg", "var", "lo", "hi", "median"]
+
+    def of_symbol(table: pa.Table) -> pa.Table:
+        x = matrix(table, [f"x{i}" for i in range(len(features))])
+        rows = list(_prefix_statistics(x, table.column("y").to_numpy(), table.column("entry").to_numpy(), table.column("folds")[0].as_py()))
+        some = lambda v, n: float(v) if n else None
+        cells = [
+            [{"feature": f, "n": int(s["n"][i]), "coverage": s["n"][i] / n} | {c: some(s[c][i], s["n"][i]) for c in statistics} for i, f in enumerate(features)]
+            for _, n, _, s in rows
+        ]
+        kind = pa.struct([(c, pa.string() if c == "feature" else pa.int64() if c == "n" else pa.float64()) for c in names])
+        return pa.table({
+            "symbol": pa.array([table.column("symbol")[0].as_py()] * len(rows), pa.string()), "fold": pa.array([r[0] for r in rows], pa.int32()),
+            "n_train": pa.array([r[1] for r in rows], pa.int64()), "y_mean": pa.array([r[2] for r in rows], pa.float64()), "p": pa.array(cells, pa.list_(kind)),
+        })
+
+    values = [finite(F.col(f).cast("double")).alias(f"x{i}") for i, f in enumerate(features)]
+    slim = entries.select("symbol", F.col("entry").cast("int").alias("entry"), "folds", F.col(target).cast("double").alias("y"), *values)
+    s = slim.groupBy("symbol").applyInArrow(of_symbol, f"symbol string, fold int, n_train bigint, y_mean double, p array<{cell}>")
+    return s.withColumn("p", F.transform("p", finished))
 
 
 def usage(params: DataFrame) -> DataFrame:

@@ -283,18 +283,25 @@ def cv_members(frame: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     return lay.select("symbol", *[c for c in frame.columns if c != "symbol"], F.inline(F.array_compact(F.array(*folds))))
 
 
+def cv_entries(frame: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
+    """Every session that trains a development fold, once: `entry`, the first such fold, and `folds`."""
+    lay = layout(frame, cfg).filter("sufficient")
+    trains = [
+        F.when((F.col("pos") < F.col("starts")[i - 1]["pos"]) & (F.col(f"target_exit_date_{PRIMARY_HORIZON}d") < F.col("starts")[i - 1]["date"]), F.lit(i))
+        for i in range(1, cfg.folds + 1)
+    ]
+    entry = F.when(F.col(PRIMARY_TARGET).isNotNull(), F.least(*trains) if len(trains) > 1 else trains[0])
+    folds = F.array(*[F.lit(i) for i in range(1, cfg.folds + 1)])
+    return lay.select(*frame.columns, entry.alias("entry"), folds.alias("folds")).filter("entry IS NOT NULL")
+
+
 # ---- walk-forward ----------------------------------------------------------------------------------
 def _fold_base(cfg: WalkForwardConfig) -> int:
     return cfg.first_year * 4 + cfg.first_quarter - 1
 
 
-def walk_forward_candidates(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
-    """Every (session, fold) pair a fold may see: its validation sessions and all earlier ones.
-
-    Folds are the quarters with sessions from the first one of the calendar to the symbol's last labelled session, a partial last
-    one included. They are a short array next to the symbol's rows; exploding multiplies rows by at most the number of quarters
-    and keeps the symbol partitioning. A declared fold without sessions raises.
-    """
+def _with_folds(frame: DataFrame, cfg: WalkForwardConfig) -> tuple[DataFrame, Column]:
+    """The symbol's folds as an array `_folds` beside each row with its quarter `_q`, and whether a row is labelled within the lock."""
     s, h = W.partitionBy("symbol"), cfg.horizon
     label = F.col(f"forward_return_{h}d").isNotNull()
     if cfg.locked_from is not None:
@@ -310,9 +317,20 @@ def walk_forward_candidates(frame: DataFrame, cfg: WalkForwardConfig = WalkForwa
     if cfg.n_folds is not None:
         missing = F.raise_error(F.concat(F.lit("a declared fold has no labelled session: "), F.col("symbol")))
         df = df.withColumn("_folds", F.when(F.size("_folds") == cfg.n_folds, F.col("_folds")).otherwise(missing))
+    return df.drop("_from", "_last"), label
+
+
+def walk_forward_candidates(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
+    """Every (session, fold) pair a fold may see: its validation sessions and all earlier ones.
+
+    Folds are the quarters with sessions from the first one of the calendar to the symbol's last labelled session, a partial last
+    one included. They are a short array next to the symbol's rows; exploding multiplies rows by at most the number of quarters
+    and keeps the symbol partitioning. A declared fold without sessions raises.
+    """
+    df, label = _with_folds(frame, cfg)
     seen = F.filter("_folds", lambda f: f["fold"] >= F.col("_q"))
-    x = df.select(*[c for c in df.columns if c not in ("_from", "_last", "_folds")], F.inline(seen))
-    exits = F.col(f"target_exit_date_{h}d")
+    x = df.select(*[c for c in df.columns if c not in ("_folds",)], F.inline(seen))
+    exits = F.col(f"target_exit_date_{cfg.horizon}d")
     role = (
         F.when((F.col("_q") == F.col("fold")) & label, "validation")
         .when(F.col("_q") == F.col("fold"), "unlabelled_validation")
@@ -323,6 +341,17 @@ def walk_forward_candidates(frame: DataFrame, cfg: WalkForwardConfig = WalkForwa
     return x.withColumn("role", role).drop("_q")
 
 
+def walk_forward_entries(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
+    """Every session that trains a fold, once: `entry`, the first fold that it trains, and the symbol's `folds`.
+
+    Training sets only grow from fold to fold, so a session trains all folds from its entry on; rows are not copied to folds.
+    """
+    df, label = _with_folds(frame, cfg)
+    trains = F.filter("_folds", lambda f: (f["fold"] > F.col("_q")) & (F.col(f"target_exit_date_{cfg.horizon}d") < f["fold_start"]))
+    df = df.withColumns({"entry": F.when(label, F.array_min(F.transform(trains, lambda f: f["fold"]))), "folds": F.array_sort(F.transform("_folds", lambda f: f["fold"]))})
+    return df.filter("entry IS NOT NULL").drop("_q", "_folds")
+
+
 def walk_forward_members(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
     return walk_forward_candidates(frame, cfg).filter(F.col("role").isin("train", "validation"))
 

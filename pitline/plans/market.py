@@ -13,7 +13,7 @@ from pitline.operators import rolling
 from pitline.plans.registry import Tables, query
 from pitline.plans.sql import R, cte
 from pitline.sources.bars import read_selected
-from pitline.sources.derived import PRINT_ORDER
+from pitline.sources.derived import print_number
 
 
 def rounded(df: DataFrame, keys: list[str], cols, digits: int = 6) -> DataFrame:
@@ -73,7 +73,7 @@ def vendor_rows(t: Tables) -> DataFrame:
         "Close": price,
         "Volume": F.col("l_quantity").cast("string"),
     }
-    seq = F.struct(*PRINT_ORDER).alias("_arrival")
+    seq = print_number().alias("_arrival")
     return t.lines.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), *[cells[h].alias(h) for h in header], seq
     )

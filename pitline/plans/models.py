@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from pitline.config import FUNDAMENTAL_FEATURES, MARKET_FEATURES, RELATIVE_FEATURES, TIE_TOL
+from pitline.functions.numeric import rnd
 from pitline.operators import metrics as met
 from pitline.operators import models as mod
 from pitline.operators import splits
@@ -33,13 +34,21 @@ ARMS_MARKET = {"control": MARKET_FEATURES, "treatment": RELATIVE_FEATURES}
 class Study:
     """Members, preprocessing, fits and predictions of one fold scheme and set of arms."""
 
-    def __init__(self, members, features, arms, whiten=False):
-        self.members, self.features, self.arms, self.whiten = members, features, arms, whiten
+    def __init__(self, members, entries, features, arms, whiten=False):
+        self.members, self.entries, self.features, self.arms, self.whiten = members, entries, features, arms, whiten
+
+    @classmethod
+    def walk(cls, frame, features, arms, **more):
+        return cls(splits.walk_forward_members(frame), splits.walk_forward_entries(frame), features, arms, **more)
+
+    @classmethod
+    def cv(cls, frame, features, arms, **more):
+        return cls(splits.cv_members(frame), splits.cv_entries(frame), features, arms, **more)
 
     @cached_property
     def params(self):
         # a few numbers per symbol, fold and feature, read by both the fit and the scoring
-        return mod.fit_preprocessing(self.members, self.features).persist(StorageLevel.MEMORY_AND_DISK)
+        return mod.fit_expanding(self.entries, self.features).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def train_z(self):
@@ -67,11 +76,11 @@ class Study:
 
 
 def walk1(t: Tables) -> Study:
-    return Study(splits.walk_forward_members(with_relative(t.market_labelled_shared)), SINGLE, ARMS1)
+    return Study.walk(with_relative(t.market_labelled_shared), SINGLE, ARMS1)
 
 
 def cv1(t: Tables) -> Study:
-    return Study(splits.cv_members(with_relative(t.market_labelled_shared)), SINGLE, ARMS1)
+    return Study.cv(with_relative(t.market_labelled_shared), SINGLE, ARMS1)
 
 
 # ---- SQL views -------------------------------------------------------------------------------------
@@ -191,25 +200,25 @@ def _(t: Tables):
 
 @query("walk_forward_wide_models", "M3 M7 M8")
 def _(t: Tables):
-    s = Study(splits.walk_forward_members(with_relative(append_labels(t.daily_shared))), WIDE, ARMS_WIDE)
+    s = Study.walk(with_relative(append_labels(t.daily_shared)), WIDE, ARMS_WIDE)
     return met.fold_mae(s.oof)
 
 
 @query("representation_models", "M8 A23")
 def _(t: Tables):
-    s = Study(splits.walk_forward_members(with_relative(t.market_labelled_shared)), MARKET_WIDE, ARMS_MARKET)
+    s = Study.walk(with_relative(t.market_labelled_shared), MARKET_WIDE, ARMS_MARKET)
     return met.prediction_summary(s.oof, ["symbol", "model"])
 
 
 @query("design_conditioning", "M9")
 def _(t: Tables):
-    s = Study(splits.cv_members(with_relative(t.market_labelled_shared)), MARKET_WIDE, ARMS_MARKET)
+    s = Study.cv(with_relative(t.market_labelled_shared), MARKET_WIDE, ARMS_MARKET)
     return mod.conditioning(s.fits)
 
 
 @query("training_influence", "M10")
 def _(t: Tables):
-    s = Study(splits.cv_members(with_relative(t.market_labelled_shared)), MARKET_WIDE, ARMS_MARKET, whiten=True)
+    s = Study.cv(with_relative(t.market_labelled_shared), MARKET_WIDE, ARMS_MARKET, whiten=True)
     return mod.influence(s.members, s.params, s.fits, "treatment", ARMS_MARKET, MARKET_WIDE)
 
 
@@ -227,7 +236,7 @@ h AS (SELECT *, residual / sqrt(residual_mse * (1 - leverage)) AS studentised_re
 SELECT symbol, fold, date, {rsql(_ic)}, 2::INTEGER AS design_rank, (n - 2)::BIGINT AS residual_df, 'defined' AS undefined_reason FROM h""",
 )
 def _(t: Tables):
-    s = Study(splits.cv_members(with_relative(t.market_labelled_shared)), SINGLE, ARMS1, whiten=True)
+    s = Study.cv(with_relative(t.market_labelled_shared), SINGLE, ARMS1, whiten=True)
     x = mod.influence(s.members, s.params, s.fits, "sma_20", ARMS1, SINGLE)
     return rounded(x, ["symbol", "fold", "date", "design_rank", "residual_df", "undefined_reason"], _ic)
 
@@ -469,7 +478,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     # the stored run comes from the same rows in a different order
-    stored = Study(splits.cv_members(with_relative(t.market_labelled_shared.repartition("date"))), SINGLE, ARMS1).oof
+    stored = Study.cv(with_relative(t.market_labelled_shared.repartition("date")), SINGLE, ARMS1).oof
     r = met.control_reproduction(cv1(t).oof, stored)
     return rounded(r, [c for c in r.columns if c != "max_absolute_difference"], ("max_absolute_difference",))
 
@@ -737,3 +746,47 @@ def _(t: Tables):
     s = cv1(t)
     c = stab.fold_coverage(s.members, mod.usage(s.params), SINGLE)
     return rounded(c, [x for x in c.columns if not x.endswith("_coverage")], ("train_coverage", "validation_coverage"))
+
+
+# fundamentals: few filled cells at first and constant stretches, so that columns are dropped for either reason
+for _p in ("wf", "cv"):
+    _cells = ", ".join(
+        f"{{'feature': '{f}', 'n': count({f}) FILTER (t), 'v': count({f}) FILTER (NOT t), 'med': median({f}) FILTER (t), 'lo': min({f}) FILTER (t), 'hi': max({f}) FILTER (t), 'first': min(date) FILTER ({f} IS NOT NULL)}}"
+        for f in FUNDAMENTAL_FEATURES
+    )
+    _cols = ", ".join(FUNDAMENTAL_FEATURES)
+    cte(f"{_p}_fund_rows", f"SELECT c.symbol, c.fold, c.date, c.role = 'train' AS t, {_cols} FROM {_p}_candidates c JOIN daily_v USING (symbol, date) WHERE c.role IN ('train', 'validation')")
+    cte(
+        f"{_p}_fund",
+        f"""SELECT symbol, fold, n_train, n_validation, u.*, u.n::DOUBLE / nullif(n_train, 0) AS coverage,
+ CASE WHEN u.n * 2 >= n_train AND n_train > 0 THEN CASE WHEN u.lo = u.hi THEN 'zero_training_variance' ELSE 'used' END ELSE 'low_training_coverage' END AS drop_reason
+FROM (SELECT symbol, fold, count_if(t) AS n_train, count_if(NOT t) AS n_validation, unnest([{_cells}]) AS u FROM {_p}_fund_rows GROUP BY symbol, fold) WHERE n_train > 0""",
+    )
+cte("wf_fund_long", f"SELECT symbol, fold, feature, raw FROM (SELECT * FROM wf_fund_rows WHERE t) UNPIVOT INCLUDE NULLS (raw FOR feature IN ({', '.join(FUNDAMENTAL_FEATURES)}))")
+_fs = ("coverage", "median", "mean", "std", "train_min", "train_max")
+
+
+@query(
+    "fundamental_preprocessing",
+    "M2 V18",
+    f"""WITH filled AS (SELECT l.symbol, l.fold, l.feature, avg(coalesce(raw, med)) AS mean, CASE WHEN min(lo) < min(hi) THEN stddev_pop(coalesce(raw, med)) ELSE 0 END AS std
+ FROM wf_fund_long l JOIN wf_fund f USING (symbol, fold, feature) WHERE f.drop_reason <> 'low_training_coverage' GROUP BY ALL)
+SELECT symbol, fold, feature, n_train::BIGINT AS n_train, n, drop_reason, {R('coverage')} AS coverage, CASE WHEN drop_reason <> 'low_training_coverage' THEN {R('med')} END AS median,
+ {R('mean', 5)} AS mean, {R('std', 5)} AS std, {R('lo')} AS train_min, {R('hi')} AS train_max FROM wf_fund LEFT JOIN filled USING (symbol, fold, feature)""",
+)
+def _(t: Tables):
+    u = mod.usage(mod.fit_expanding(splits.walk_forward_entries(append_labels(t.daily)), FUNDAMENTAL_FEATURES))
+    out = rounded(u, ["symbol", "fold", "feature", "n_train", "n", "drop_reason", "mean", "std"], [c for c in _fs if c not in ("mean", "std")])
+    return out.withColumns({"mean": rnd("mean", 5), "std": rnd("std", 5)})
+
+
+@query(
+    "fundamental_fold_coverage",
+    "A29",
+    f"""SELECT symbol, fold, feature, n_train::BIGINT AS train_rows, n_validation::BIGINT AS validation_rows, n AS train_nonmissing, v AS validation_nonmissing, first AS first_available_date,
+ drop_reason = 'used' AS selected, drop_reason, drop_reason <> 'low_training_coverage' AS eligible, {R('coverage')} AS train_coverage, {R('v::DOUBLE / nullif(n_validation, 0)')} AS validation_coverage FROM cv_fund""",
+)
+def _(t: Tables):
+    s = Study.cv(append_labels(t.daily_shared), FUNDAMENTAL_FEATURES, {})
+    c = stab.fold_coverage(s.members, mod.usage(s.params), FUNDAMENTAL_FEATURES)
+    return rounded(c, [x for x in c.columns if not x.endswith("_coverage")], ("train_coverage", "validation_coverage"))

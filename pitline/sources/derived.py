@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitline.config import CONCEPTS
+from pitline.functions.keys import packed_key
 
 LAG_MONTHS = 9
 PRINT_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
@@ -25,18 +26,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def print_number() -> Column:
+    """PRINT_ORDER as one number: prices in cents, quantities whole, both as the table has them."""
+    order, line, part, price, quantity = (F.col(c) for c in PRINT_ORDER)
+    return packed_key([(order, 14), (line, 2), (part, 11), (cents(price), 9), (quantity.cast("bigint"), 2)])
+
+
 def prints(lines: DataFrame) -> DataFrame:
     return lines.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
         F.to_date("l_shipdate").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").cast("bigint").alias("size"),
-        F.struct(*PRINT_ORDER).alias("seq"),
+        print_number().alias("seq"),
     )
 
 
 def derive_bars(lines: DataFrame) -> DataFrame:
-    """One bar per symbol and day; first/last print by a total order, all in one partial aggregate."""
+    """One bar per symbol and day; first/last print by a total order of fixed width, all in one partial hash aggregate."""
     return (
         prints(lines)
         .groupBy("symbol", "date")

@@ -11,6 +11,7 @@ from pitline.functions.dates import date_columns, strict_date
 from pitline.functions.numeric import finite, is_close, is_integral_count, sdiv
 from pitline.operators import bars as ops
 from pitline.operators import labels as lab
+from pitline.functions.keys import packed_key
 from pitline.operators.profile import coverage_label
 from pitline.operators.rolling import build_features, feature_quality, oracle_features, representation
 from pitline.sources import bars as src
@@ -162,3 +163,20 @@ def test_vendor_csv(spark, tmp_path):
     )
     got = src.read_history(spark, str(tmp_path)).orderBy("date").collect()
     assert [(r.symbol, r.date.isoformat(), r.open) for r in got] == [("ABC", "2024-01-02", 1.5), ("ABC", "2024-01-03", 2.0)]
+
+
+def test_packed_keys_order_as_their_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b), int(c), i) for i, (a, b, c) in enumerate(zip(rng.integers(0, 5, 300) * 10**12, rng.integers(0, 100, 300), rng.integers(0, 10**11, 300)))]
+    df = spark.createDataFrame([*rows, (0, 0, 0, 300), (99_999_999_999_999, 99, 99_999_999_999, 301)], "a long, b long, c long, i long")
+    for parts in ([("a", 14), ("b", 2)], [("a", 14), ("b", 2), ("c", 11)], [("b", 2)]):
+        key = packed_key([(F.col(c), w) for c, w in parts])
+        got = [r.i for r in df.orderBy(key, "i").select("i").collect()]
+        assert got == [r.i for r in df.orderBy(*[c for c, _ in parts], "i").select("i").collect()]
+        plan = df.groupBy("b").agg(F.max_by("a", key).alias("x"))._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+    for bad in ("-1", "100", "CAST(NULL AS BIGINT)"):
+        with pytest.raises(Exception, match="not a part of 2 digits"):
+            spark.range(1).select(packed_key([(F.expr(bad), 2)])).collect()
+    with pytest.raises(ValueError):
+        packed_key([(F.col("a"), 30), (F.col("b"), 9)])

@@ -40,6 +40,26 @@ def study(spark):
     mp.undo()
 
 
+def test_expanding_statistics_equal_those_of_copied_rows(study):
+    """Values sorted once per symbol give each fold what a sort of its own training rows gives; drops for both reasons occur."""
+    got = mod.usage(mod.fit_expanding(splits.walk_forward_entries(study["x"], CFG), FEATURES)).toPandas()
+    want = mod.usage(study["params"]).toPandas()
+    keys = ["symbol", "fold", "feature"]
+    got, want = (d.sort_values(keys).reset_index(drop=True) for d in (got, want))
+    assert set(got.drop_reason) == {"used", "low_training_coverage", "zero_training_variance"}
+    for c in (*keys, "n_train", "n", "used", "drop_reason", "position"):
+        assert (got[c] == want[c]).all(), c
+    for c in ("y_mean", "coverage", "median", "mean", "std", "scale", "train_min", "train_max"):
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-12, err_msg=c)
+
+
+def test_cv_entries_name_the_first_training_fold(study):
+    cfg = SplitConfig(test_size=20, validation_size=15, folds=3, min_train=60)
+    members = splits.cv_members(study["x"], cfg).filter("role = 'train'").groupBy("symbol", "date").agg(F.min("fold").alias("entry"), F.count("*").alias("n"))
+    entries = splits.cv_entries(study["x"], cfg).select("symbol", "date", "entry", (F.size("folds") - F.col("entry") + 1).cast("long").alias("n"))
+    assert members.exceptAll(entries).count() == 0 == entries.exceptAll(members).count() and entries.count() > 0
+
+
 def expected(pdf, symbol, fold, arm):
     g = pdf[(pdf.symbol == symbol) & (pdf.fold == fold)]
     tr, va = g[g.role == "train"], g[g.role == "validation"].sort_values("date")

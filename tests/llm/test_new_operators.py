@@ -196,3 +196,70 @@ def test_roles_and_texts_of_a_megabyte(spark, together):
     back = {r["conv_id"]: r for r in chat.read_back(chat.format_windows(turns, together=together)).collect()}
     assert [tuple(t) for t in back[1]["turns"]] == [(role, "short"), ("assistant", text)] and back[1]["loss_text"] == text
     assert [tuple(t) for t in back[2]["turns"]] == [("", ""), ("assistant", "\\")] and back[2]["loss_text"] == "\\"
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    """Without a shared folder only a session on one machine gets one of its own."""
+    from pitline.llm.common import shared_dir
+
+    class Conf:
+        def __init__(self, **settings):
+            self.settings = {k.replace("_", "."): v for k, v in settings.items()}
+
+        def get(self, key, default=None):
+            return self.settings.get(key, default)
+
+        def set(self, key, value):
+            self.settings[key] = value
+
+    class Session:
+        def __init__(self, **settings):
+            self.conf = Conf(**settings)
+
+    for master in ("spark://host:7077", "yarn", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(spark_master=master))
+    assert shared_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_dir(Session(spark_master="local[4]")).startswith("/tmp/")
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """Every stage on a small table with copies, outliers of the rules, personal data and nulls; each one's result follows from what came in."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        text = " ".join(rng.choices(words, k=80)) + ".\n"
+        rows.append((i, text, "en", rng.choice("ab"), len(text)))
+        if i % 6 == 0:  # a near copy, an exact one and a repeated row
+            copy = text.replace(text.split()[40], "other", 1)
+            rows += [(1_000 + i, copy, "en", "a", len(copy)), (2_000 + i, text, "en", "b", len(text)), rows[-1]]
+    secret = " ".join(rng.choices(words, k=60)) + " mail anna.b@example.com or +1 415 555 2671"
+    rows += [(3_000, secret, "en", "a", len(secret)), (3_001, None, "en", "a", None), (3_002, "too short", None, None, 9), (None, secret + " x", None, "b", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    seen, got = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen = stage(spark, seen, str(tmp_path)).cache()
+        got[name] = [r.asDict() for r in seen.collect()]
+        if name != "encoding":
+            assert set(seen.columns) == set(docs.columns)
+    kept = {r["doc_id"] for r in got["quality rules"]}
+    assert {3_001, 3_002}.isdisjoint(kept) and len(got["quality rules"]) == len(rows) - 2
+    ids = [r["doc_id"] for r in got["near duplicates"]]
+    assert sorted(ids) == [*range(60), 3_000]  # copies, and the null id, give way to the smallest one
+    clean = {r["doc_id"]: r["text"] for r in got["private data"]}
+    assert len(clean) == len(ids) and "anna.b" not in clean[3_000] and "[EMAIL]" in clean[3_000] and "[PHONE]" in clean[3_000]
+    assert all(clean[i] == dict((r[0], r[1]) for r in rows)[i] for i in range(60))
+    assert {r["doc_id"] for r in got["encoding"]} == {r["doc_id"] for r in got["mixing"]} <= set(clean)
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    assert again.count() == len(got["encoding"]) and set(again.columns) == {"doc_id", "source", "lang", "n_tokens", "input_ids"}
+
+
+def test_pipeline_stages_on_an_empty_table(spark, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name

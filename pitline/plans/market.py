@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from pitline.operators import labels as lab
 from pitline.operators import rolling
 from pitline.plans.registry import Tables, query
 from pitline.plans.sql import R, cte
+from pitline.session import stored_table
+from pitline.sources import bars as sinks
 from pitline.sources.bars import read_selected
 from pitline.sources.derived import print_number
 
@@ -56,7 +60,7 @@ PCT = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95":
 
 
 # ---- ingest and bars -------------------------------------------------------------------------------
-@query("derived_bars", "S1 S2", "SELECT symbol, date, open, high, low, close, volume FROM bars")
+@query("derived_bars", "S1", "SELECT symbol, date, open, high, low, close, volume FROM bars")
 def _(t: Tables):
     return t.bars
 
@@ -229,7 +233,7 @@ _fq = " UNION ALL ".join(
 
 @query(
     "feature_quality",
-    "V2 S6 S7",
+    "V2",
     "SELECT * FROM (WITH fp AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos FROM features) " + _fq + ")",
 )
 def _(t: Tables):
@@ -306,3 +310,39 @@ _ls = " UNION ALL ".join(
 def _(t: Tables):
     s = lab.label_summary(lab.build_labels(t.bars))
     return rounded(s, ["symbol", "target_name", "horizon", "primary_target", "n", "missing"], s.columns[6:])
+
+
+# ---- stored tables ---------------------------------------------------------------------------------
+@query("stored_history", "S2 S9", "SELECT symbol, date, close, volume FROM bars WHERE date >= DATE '1995-06-01' AND date < DATE '1997-03-01'")
+def _(t: Tables):
+    path = stored_table(t.spark, "history")
+    sinks.write_history(t.bars, path)
+    return read_selected(t.spark, path, ["symbol", "date", "close", "volume"], start=dt.date(1995, 6, 1), end=dt.date(1997, 3, 1))
+
+
+@query("stored_features", "S6 S7 S8", f"SELECT symbol, date, {', '.join(f'{R(c)} AS {c}' for c in MARKET_FEATURES)} FROM features")
+def _(t: Tables):
+    path = stored_table(t.spark, "features")
+    sinks.process_pool(t.bars, path)
+    return rounded(sinks.read_features(t.spark, path), ["symbol", "date"], MARKET_FEATURES)
+
+
+@query("stored_report", "S14 S15", "SELECT symbol, count(*) AS rows, min(date)::VARCHAR AS first_date, max(date)::VARCHAR AS last_date, max(high) AS highest FROM bars GROUP BY symbol")
+def _(t: Tables):
+    path = stored_table(t.spark, "report")
+    summary = t.bars.groupBy("symbol").agg(F.count("*").alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("high").alias("highest"))
+    sinks.write_report(summary, path)
+    return t.spark.read.schema("symbol string, rows bigint, first_date string, last_date string, highest double").json(path)
+
+
+@query(
+    "filing_date_read",
+    "S10",
+    "SELECT symbol, accession, form, filing_date, revenue FROM filings WHERE filing_date >= DATE '1996-01-01' AND filing_date < DATE '1998-01-01'",
+)
+def _(t: Tables):
+    path = stored_table(t.spark, "filings")
+    sinks.write_filings(t.filings, path)
+    return read_selected(
+        t.spark, path, ["symbol", "accession", "form", "filing_date", "revenue"], start=dt.date(1996, 1, 1), end=dt.date(1998, 1, 1), on="filing_date"
+    )

@@ -223,7 +223,7 @@ def _(t: Tables):
 
 @query(
     "research_window",
-    "P13 P12 S10",
+    "P13 P12",
     f"""SELECT symbol, date, {', '.join(f'{R(c)} AS {c}' for c in MARKET_FEATURES)}, q_accession FROM daily_v
 WHERE date BETWEEN DATE '1996-06-01' AND DATE '2000-12-31'""",
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 from pitline.config import JOB_CONF, SESSION_CONF
@@ -26,3 +29,14 @@ def apply_job_settings(spark: SparkSession) -> None:
     for key, value in JOB_CONF.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
+
+
+def stored_table(spark: SparkSession, label: str) -> str:
+    """Path for a table that a query stores and reads again, in the shared folder of the session; one machine alone may do without a setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

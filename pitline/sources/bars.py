@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitline.config import BAR_COLUMNS, MARKET_FEATURES
+from pitline.config import BAR_COLUMNS, MARKET_FEATURES, WARMUP
+from pitline.functions.windows import ordinal
 from pitline.operators.bars import standardise_bars
-from pitline.operators.rolling import build_features, feature_quality
+from pitline.operators.rolling import build_features
+from pitline.sources.checked import checked_write
 
 VENDOR_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("Date", "Open", "High", "Low", "Close", "Volume", "Adj Close")]
@@ -61,15 +66,22 @@ def read_selected(spark: SparkSession, path: str, columns: list[str], start=None
     return df.select(*columns)
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """Store features in fixed column order after the warm-up check; invalid data fails the write."""
-    q = feature_quality(features)
-    bad = F.col("unexpected_null") + F.col("missing_warmup_null") + F.col("infinite_values")
-    if q.filter(bad > 0).limit(1).count():
-        raise ValueError("feature quality check failed")
-    features.select("symbol", *BAR_COLUMNS, *MARKET_FEATURES).repartition("symbol").sortWithinPartitions(
-        "symbol", "date"
-    ).write.mode("overwrite").parquet(path)
+def write_features(features: DataFrame, path: str) -> dict[str, int]:
+    """Store features in fixed column order; warm-up and finiteness are checked on the rows as they are written, and invalid data stays unpublished."""
+    at = {c: F.col("_pos") < k for c, k in WARMUP.items()}
+    some = lambda conditions: reduce(or_, conditions)
+    checks = {
+        "unexpected_null": some(F.col(c).isNull() & ~warming for c, warming in at.items()),
+        "missing_warmup_null": some(F.col(c).isNotNull() & warming for c, warming in at.items()),
+        "infinite_values": some(F.coalesce(F.abs(F.col(c)) == float("inf"), F.lit(False)) for c in at),
+    }
+    return checked_write(features.withColumn("_pos", ordinal()), path, checks, ["symbol", *BAR_COLUMNS, *MARKET_FEATURES], ["symbol"], ["symbol", "date"])
+
+
+def write_filings(filings: DataFrame, path: str) -> dict[str, int]:
+    """Store filings in the order of their filing dates, so that a read bounded by filing date skips files and row groups."""
+    checks = {"without_date": F.col("filing_date").isNull(), "without_accession": F.col("accession").isNull()}
+    return checked_write(filings, path, checks, filings.columns, ["filing_date"], ["filing_date", "symbol"], ranges=True)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,37 @@ def test_packed_keys_order_as_their_parts(spark):
             spark.range(1).select(packed_key([(F.expr(bad), 2)])).collect()
     with pytest.raises(ValueError):
         packed_key([(F.col("a"), 30), (F.col("b"), 9)])
+
+
+def test_checked_write_publishes_only_what_holds(spark, tmp_path):
+    bars, _ = make_bars(spark, 70)
+    features, path = build_features(bars), str(tmp_path / "f")
+    assert src.write_features(features, path) == {"rows": 140, "unexpected_null": 0, "missing_warmup_null": 0, "infinite_values": 0}
+    faults = {
+        "unexpected_null": F.when(F.col("date") == dt.date(2024, 3, 1), None).otherwise(F.col("daily_range")),
+        "infinite_values": F.when(F.col("date") == dt.date(2024, 3, 1), float("inf")).otherwise(F.col("daily_range")),
+    }
+    for name, cell in faults.items():
+        with pytest.raises(ValueError, match=f"'{name}': 2"):
+            src.write_features(features.withColumn("daily_range", cell), path)
+        assert src.read_features(spark, path).filter("daily_range = double('infinity') OR daily_range IS NULL").count() == 0  # the old table stays
+    with pytest.raises(ValueError, match="missing_warmup_null"):
+        src.write_features(features.withColumn("sma_60", F.lit(1.0)), path)
+    assert [p.name for p in tmp_path.iterdir()] == ["f"]  # nothing staged is left
+
+
+def test_filing_date_read_skips_files(spark, tmp_path):
+    """Bounds on the filing date reach the scan, and each file covers its own range of dates."""
+    rows = [(f"S{i % 7}", f"a{i}", dt.date(2020, 1, 1) + dt.timedelta(days=i % 900), float(i)) for i in range(3_000)]
+    filings = spark.createDataFrame(rows, "symbol string, accession string, filing_date date, revenue double")
+    path = str(tmp_path / "filings")
+    src.write_filings(filings, path)
+    back = src.read_selected(spark, path, ["accession", "filing_date"], start=dt.date(2020, 2, 1), end=dt.date(2020, 3, 1), on="filing_date")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(filing_date" in plan and "LessThan(filing_date" in plan and "revenue" not in plan.split("ReadSchema")[1]
+    assert back.count() == sum(dt.date(2020, 2, 1) <= r[2] < dt.date(2020, 3, 1) for r in rows)
+    ranges = [(s.min, s.max) for f in (tmp_path / "filings").glob("part-*") for s in [pq.ParquetFile(f).metadata.row_group(0).column(2).statistics]]
+    inside = [r for r in ranges if r[0] < dt.date(2020, 3, 1) and r[1] >= dt.date(2020, 2, 1)]
+    assert len(ranges) > 1 and len(inside) < len(ranges)
+    with pytest.raises(ValueError, match="without_date"):
+        src.write_filings(filings.withColumn("filing_date", F.when(F.col("symbol") != "S1", F.col("filing_date"))), path)

@@ -444,7 +444,7 @@ def _(t: Tables):
 
 @query(
     "incremental_assessment",
-    "A40 M8",
+    "A40",
     """SELECT symbol, CASE WHEN bool_or(mean_delta_MAE < 0 AND median_delta_MAE < 0 AND win_rate > 0.5) THEN 'ROBUST_INCREMENTAL_FUNDAMENTAL_VALUE'
  WHEN NOT bool_or(mean_delta_MAE < 0 AND win_rate > 0.5) THEN 'NO_ROBUST_INCREMENTAL_FUNDAMENTAL_VALUE' ELSE 'MIXED_OR_REGIME_DEPENDENT_INCREMENTAL_VALUE' END AS classification
 FROM paired_v WHERE reference LIKE 'sma_20%' GROUP BY symbol""",
@@ -514,7 +514,7 @@ def _(t: Tables):
 # ---- scalar helpers --------------------------------------------------------------------------------
 @query(
     "strict_dates",
-    "V14",
+    "",
     """SELECT o_orderkey, CASE WHEN d.n = 0 THEN o_orderdate::DATE WHEN d.n = 1 THEN o_orderdate::DATE END AS parsed, d.n AS spelling FROM orders, (SELECT unnest([0, 1, 2, 3])::INTEGER AS n) d""",
 )
 def _(t: Tables):

@@ -202,7 +202,11 @@ READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type",
 
 
 def read_back(manifest: DataFrame, with_payloads: bool = True) -> DataFrame:
-    """The records of the archives in a manifest, digests verified; one archive is one unit of work. with_payloads: False leaves payloads out."""
+    """The records of the archives in a manifest, digests verified; one archive is one unit of work. with_payloads: False leaves payloads out.
+
+    The paths are few and small, so the number of tasks is given: left to itself the planner would merge them into one.
+    """
+    archives = max(manifest.count(), 1)
     schema = READ if with_payloads else READ.remove(6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +224,7 @@ def read_back(manifest: DataFrame, with_payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     columns = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, columns + (", payload binary" if with_payloads else ""))
+    return manifest.select("path").repartitionByRange(archives, "path").mapInArrow(run, columns + (", payload binary" if with_payloads else ""))
 
 
 def payloads(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from pitline.llm import chat, exact_dedup, merkle, prefix_trie
+from pitline.llm import chat, exact_dedup, merkle, prefix_trie, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -263,3 +263,11 @@ def test_pipeline_stages_on_an_empty_table(spark, empty):
 
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0, name
+
+
+def test_archives_are_read_in_as_many_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html")).repartition(6)
+    manifest = warc.write(warc.with_revisits(pages), str(tmp_path / "archives"), warc.payloads(pages))
+    back = warc.read_back(manifest)
+    tasks = back.select(F.spark_partition_id().alias("task"), "page_id").groupBy("task").count().count()
+    assert back.count() == 400 and tasks >= 0.7 * manifest.count() > 1

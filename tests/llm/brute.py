@@ -100,10 +100,6 @@ def equal_groups(rows):
     return {t: (largest(ids), len(ids)) for t, ids in groups.items()}
 
 
-def sha(text):
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def runs(nodes, fanout):
     return [nodes[i : i + fanout] for i in range(0, len(nodes), fanout)]
 

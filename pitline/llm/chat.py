@@ -3,10 +3,11 @@
 A turn becomes `<|im_start|>role\\ntext<|im_end|>\\n`. In roles and texts a backslash is doubled and `<|` becomes `<\\|`, so no
 control string can stand inside them and dropping each escaping backslash gives them back.
 
-Prefix sums of the turns' tokens cut a conversation into stripes of budget - history tokens; the turns that begin in a stripe are
-a window's new turns. A window repeats the turns that begin in the last `history` tokens of the stripe before it, and before them the
-conversation's system turn. The loss mask covers the text of new assistant turns alone, so every assistant text is a target once. Turns
-are never cut: a window passes its budget by the part of its last turn, or of its system turn, that goes beyond.
+Prefix sums of the turns' tokens cut a conversation into blocks of BLOCK budgets. Within a block the turns are taken in order: a
+window's new turns are as many whole turns as fit beside the system turn and `history` tokens, the first window's as many as fit the
+budget. A window repeats the turns that begin in the last `history` tokens before it, less where its new turns leave less, and before
+them the conversation's system turn. The loss mask covers the text of new assistant turns alone, so every assistant text is a target
+once. Turns are never cut: a window passes its budget only where one new turn and the system turn pass it by themselves.
 
 Prefix sums are taken in two levels, within runs of RUN turn numbers and over the runs, so a long conversation is not one task's.
 Where every conversation fits a task, as it must wherever one row is to hold its whole text, `together` takes all steps on one shuffle
@@ -24,6 +25,7 @@ BUDGET = 1024
 HISTORY = 256
 OVERHEAD = 4  # tokens of a turn's marks
 RUN = 64
+BLOCK = 16  # budgets that one row holds while its windows are chosen
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -40,27 +42,33 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + F.lit(OVERHEAD)
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", together: bool = False) -> DataFrame:
+def format_windows(
+    turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+    together: bool = False, tokens: str | None = None,
+) -> DataFrame:
     """(conv, window, text, loss, n_repeated, n_new): the windows of every conversation.
 
-    window: long, rising along the conversation. loss: array of (start, end) in code points of the window's text. n_repeated: leading
-    turns that stand in an earlier window too. Turns are ordered by turn number, nulls first, ties by role and text; repeated rows are
-    turns of their own. Null roles and texts are empty, and a null conv is a conversation of its own. Other columns are left out.
-    together: one shuffle by conversation, for conversations that fit a task; the rows are the same.
+    window: long, the tokens before its first new turn, so it rises along the conversation. loss: array of (start, end) in code points
+    of the window's text. n_repeated: leading turns that stand in an earlier window too. tokens: a column of each text's token count
+    (null or negative: none), which otherwise is estimated. Turns are ordered by turn number, nulls first, ties by role and text;
+    repeated rows are turns of their own. Null roles and texts are empty, and a null conv is a conversation of its own. Other columns
+    are left out. together: one shuffle by conversation, for conversations that fit a task; the rows are the same.
     """
     if not 0 <= history < budget:
         raise ValueError("history must be smaller than the budget")
-    stripe = budget - history
+    reach = BLOCK * budget
     rows = turns.select(
         F.col(f"`{conv}`").alias("c"),
         F.col(f"`{turn}`").cast("long").alias("turn"),
         F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
+        *([F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(0)), F.lit(0)).alias("given")] if tokens else []),
     )
-    sized = rows.withColumn("tokens", token_count(F.col("text")).cast("long"))
+    sized = rows.withColumn("tokens", (F.col("given") + OVERHEAD if tokens else token_count(F.col("text"))).cast("long"))
+    order = ["turn", "role", "text", *(["given"] if tokens else [])]
     if together:
         keys = ["c"]
-        before = W.partitionBy("c").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+        before = W.partitionBy("c").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         begun = sized.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     else:
         keys = ["none", "c"]  # joins need one key for null and other ids, and null turns are a run
@@ -68,27 +76,53 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         runs = sized.groupBy(*keys, "run").agg(F.sum("tokens").alias("sum"))
         over_runs = W.partitionBy(*keys).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
         offsets = runs.select(*keys, "run", F.coalesce(F.sum("sum").over(over_runs), F.lit(0)).alias("offset"))
-        within = W.partitionBy(*keys, "run").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+        within = W.partitionBy(*keys, "run").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         begun = sized.join(offsets, [*keys, "run"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
-    stripes = begun.withColumn("window", F.floor(F.col("start") / stripe)).withColumn("system", (F.col("start") == 0) & (F.col("role") == "system"))
+    placed = begun.withColumn("block", F.floor(F.col("start") / reach)).withColumn("system", (F.col("start") == 0) & (F.col("role") == "system"))
 
     head = F.concat(F.lit(START), escaped(F.col("role"), role=True), F.lit("\n"))
     body = escaped(F.col("text"))
-    again = (F.col("start") >= (F.col("window") + 1) * stripe - history) & ~F.col("system")
-    uses = F.array_compact(F.array(F.struct("window", F.lit(True).alias("new")), F.when(again, F.struct((F.col("window") + 1).alias("window"), F.lit(False).alias("new")))))
-    used = stripes.select(*keys, "start", "role", "system", head.alias("head"), body.alias("body"), F.explode(uses).alias("use"))
-    piece = F.struct("start", F.col("use.new").alias("new"), "head", "body", (F.col("use.new") & (F.col("role") == "assistant")).alias("target"), "system")
-    windows = used.groupBy(*keys, F.col("use.window").alias("window")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
-    # what is repeated into a stripe where nothing begins makes no window
-    windows = windows.where(F.exists("pieces", lambda p: p["new"]))
+    # what the next block's first windows may repeat goes there too
+    again = (F.col("start") >= (F.col("block") + 1) * reach - history) & ~F.col("system")
+    uses = F.array_compact(F.array(F.struct("block", F.lit(True).alias("new")), F.when(again, F.struct((F.col("block") + 1).alias("block"), F.lit(False).alias("new")))))
+    used = placed.select(*keys, "start", "tokens", "role", "system", head.alias("head"), body.alias("body"), F.explode(uses).alias("use"))
+    piece = F.struct("start", "tokens", F.col("use.new").alias("new"), "head", "body", (F.col("use.new") & (F.col("role") == "assistant")).alias("target"), "system")
+    blocks = used.groupBy(*keys, F.col("use.block").alias("block")).agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    blocks = blocks.where(F.exists("pieces", lambda p: p["new"]))
     if together:
-        along = W.partitionBy("c").orderBy("window").rowsBetween(W.unboundedPreceding, 0)
-        whole = windows.withColumn("first", F.first(F.filter("pieces", lambda p: p["system"])).over(along))
+        along = W.partitionBy("c").orderBy("block").rowsBetween(W.unboundedPreceding, 0)
+        whole = blocks.withColumn("first", F.first(F.filter("pieces", lambda p: p["system"])).over(along))
     else:
-        first = F.struct(F.lit(0).cast("long").alias("start"), F.lit(True).alias("new"), head.alias("head"), body.alias("body"), F.lit(False).alias("target"), "system")
-        whole = windows.join(stripes.where("system").select(*keys, F.array(first).alias("first")), keys, "left")
-    known = F.transform(F.coalesce("first", F.filter("pieces", lambda p: F.lit(False))), lambda p: p.withField("new", F.lit(False)))
-    whole = whole.withColumn("pieces", F.when(F.col("window") > 0, F.concat(known, "pieces")).otherwise(F.col("pieces")))
+        first = F.struct("start", "tokens", F.lit(True).alias("new"), head.alias("head"), body.alias("body"), F.lit(False).alias("target"), "system")
+        whole = blocks.join(placed.where("system").select(*keys, F.array(first).alias("first")), keys, "left")
+    whole = whole.withColumn("first", F.coalesce("first", F.filter("pieces", lambda p: F.lit(False)))).withColumn("kept", F.coalesce(F.get("first", F.lit(0))["tokens"], F.lit(0)))
+
+    def step(acc: Column, p: Column) -> Column:
+        room = F.when(acc["at"] == 0, F.lit(budget)).otherwise(F.lit(budget - history) - F.col("kept"))
+        opens = p["new"] & ((F.size(acc["begins"]) == 0) | (p["start"] + p["tokens"] - acc["at"] > room))
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            F.when(opens, p["start"]).otherwise(acc["at"]).alias("at"),
+            F.when(opens, F.concat(acc["begins"], F.array(acc["i"]))).otherwise(acc["begins"]).alias("begins"),
+        )
+
+    begins = F.aggregate("pieces", F.struct(F.lit(1).alias("i"), F.lit(-1).cast("long").alias("at"), F.array().cast("array<int>").alias("begins")), step, lambda acc: acc["begins"])
+    whole = whole.withColumn("begins", begins)
+    most = history // OVERHEAD + 1  # no turn is shorter than its marks
+
+    def window(begin: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("begins", i + 1), F.size("pieces") + 1)
+        early = F.greatest(begin - most, F.lit(1))
+        return F.struct(F.slice("pieces", early, begin - early).alias("before"), F.slice("pieces", begin, end - begin).alias("new"))
+
+    windows = whole.select(*keys, "first", "kept", F.explode(F.transform("begins", window)).alias("w")).select(*keys, "first", "kept", "w.before", "w.new")
+    start, last = F.col("new")[0]["start"], F.element_at("new", -1)
+    windows = windows.withColumn("window", start)
+    room = F.least(F.lit(history), F.lit(budget) - F.col("kept") - (last["start"] + last["tokens"] - start))
+    known = lambda pieces: F.transform(pieces, lambda p: p.withField("new", F.lit(False)).withField("target", F.lit(False)))
+    windows = windows.withColumn("room", room)
+    repeated = known(F.concat("first", F.filter("before", lambda p: (p["start"] >= F.col("window") - F.col("room")) & ~p["system"])))
+    whole = windows.withColumn("pieces", F.when(F.col("window") > 0, F.concat(repeated, "new")).otherwise(F.col("new")))
     end = F.lit(END + "\n")
     length = lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.char_length(end)
     spans = F.aggregate(

@@ -29,7 +29,7 @@ FROM documents JOIN times USING (doc_id), LATERAL (SELECT unnest(range(1, times
 
 _ESCAPED = "replace(replace({0}, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')"
 OP2 = f"""
-WITH turns AS (
+WITH RECURSIVE turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', {quoted(CONTROL)}), (-1, 1, 'assistant', {quoted(CONTROL)})
 ),
@@ -39,12 +39,23 @@ sized AS (
   FROM turns
 ),
 begun AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized),
-placed AS (SELECT *, (start // {chat.BUDGET - chat.HISTORY})::BIGINT AS w, start = 0 AND role = 'system' AS system FROM begun),
-windows AS (SELECT DISTINCT conv_id, w FROM placed),
+placed AS (
+  SELECT *, start // {chat.BLOCK * chat.BUDGET} AS block, start = 0 AND role = 'system' AS system,
+    row_number() OVER (PARTITION BY conv_id, start // {chat.BLOCK * chat.BUDGET} ORDER BY start) AS k,
+    coalesce(max(tokens) FILTER (WHERE start = 0 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS kept
+  FROM begun
+),
+walk AS (
+  SELECT conv_id, block, k, start, tokens, kept, start AS at FROM placed WHERE k = 1
+  UNION ALL
+  SELECT p.conv_id, p.block, p.k, p.start, p.tokens, p.kept,
+    CASE WHEN p.start + p.tokens - w.at > CASE WHEN w.at = 0 THEN {chat.BUDGET} ELSE {chat.BUDGET - chat.HISTORY} - p.kept END THEN p.start ELSE w.at END
+  FROM walk w JOIN placed p ON p.conv_id = w.conv_id AND p.block = w.block AND p.k = w.k + 1
+),
+windows AS (SELECT conv_id, at, least({chat.HISTORY}, {chat.BUDGET} - any_value(kept) - (max(start + tokens) - at)) AS room FROM walk GROUP BY conv_id, at),
 repeated AS (
-  SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND v.w = p.w + 1
-  WHERE NOT system AND start >= (p.w + 1) * {chat.BUDGET - chat.HISTORY} - {chat.HISTORY}
-  UNION ALL SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND v.w > 0 WHERE system
+  SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND p.start < v.at AND p.start >= v.at - v.room WHERE NOT system
+  UNION ALL SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND v.at > 0 WHERE system
 ),
 more AS (SELECT conv_id, sum(chars) AS chars FROM repeated GROUP BY conv_id)
 SELECT p.conv_id, count(*) AS n_turns,

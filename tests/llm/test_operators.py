@@ -433,6 +433,50 @@ def test_chat_windows(spark):
     assert chat.format_windows(df.limit(0)).count() == 0
 
 
+def plain_windows(sizes, has_system, budget, history, block):
+    """(n_repeated, n_new) of each window, from the token counts of a conversation's turns."""
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    kept = sizes[0] if has_system else 0
+    groups = []
+    for i, (at, size) in enumerate(zip(starts, sizes)):
+        begin = groups[-1][0] if groups else None
+        room = budget if begin == 0 else budget - history - kept
+        if begin is None or at // (block * budget) != starts[begin] // (block * budget) or at + size - starts[begin] > room:
+            groups.append([])
+        groups[-1].append(i)
+    out = []
+    for g in groups:
+        left = min(history, budget - kept - sum(sizes[i] for i in g))
+        past = [i for i in range(has_system, g[0]) if starts[i] >= starts[g[0]] - left]
+        if g[0]:
+            size = kept + sum(sizes[i] for i in past + g)
+            assert size <= budget or (len(g) == 1 and not past)
+        else:
+            assert sum(sizes[i] for i in g) <= budget or len(g) == 1
+        out.append((len(past) + (has_system if g[0] else 0), len(g)))
+    return out
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_chat_windows_keep_their_budget(spark, together):
+    rng = random.Random(3)
+    convs = {}
+    for c in range(25):
+        sizes = [rng.choice([0, 1, 5, 20, 60, 150]) for _ in range(rng.choice([1, 2, 30, 400]))]
+        if c == 3:
+            sizes = [95, *sizes]  # a system turn that leaves no room for history
+        if c == 4:
+            sizes = [5, 9_000, 3, 3]  # a turn of several blocks
+        convs[c] = (sizes, c % 2 == 1)
+    rows = [(c, t, "system" if t == 0 and s else "user", f"{t}", n if n else None) for c, (sizes, s) in convs.items() for t, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")
+    got = defaultdict(list)
+    for r in sorted(chat.format_windows(df, 120, 30, together=together, tokens="n").collect(), key=lambda r: (r["conv_id"], r["window"])):
+        got[r["conv_id"]].append((r["n_repeated"], r["n_new"]))
+    for c, (sizes, s) in convs.items():
+        assert got[c] == plain_windows([n + chat.OVERHEAD for n in sizes], int(s), 120, 30, chat.BLOCK), c
+
+
 def test_chat_query_reads_the_planted_conversation(spark):
     r = queries.op2_chat_windows(spark, SF).where("conv_id = -1").first()
     text = queries.CONTROL

@@ -46,16 +46,16 @@ placed AS (
   FROM begun
 ),
 walk AS (
-  SELECT conv_id, block, k, start, tokens, kept, start AS at FROM placed WHERE k = 1
+  SELECT conv_id, block, k, start, tokens, kept, start AS opened FROM placed WHERE k = 1
   UNION ALL
   SELECT p.conv_id, p.block, p.k, p.start, p.tokens, p.kept,
-    CASE WHEN p.start + p.tokens - w.at > CASE WHEN w.at = 0 THEN {chat.BUDGET} ELSE {chat.BUDGET - chat.HISTORY} - p.kept END THEN p.start ELSE w.at END
+    CASE WHEN p.start + p.tokens - w.opened > CASE WHEN w.opened = 0 THEN {chat.BUDGET} ELSE {chat.BUDGET - chat.HISTORY} - p.kept END THEN p.start ELSE w.opened END
   FROM walk w JOIN placed p ON p.conv_id = w.conv_id AND p.block = w.block AND p.k = w.k + 1
 ),
-windows AS (SELECT conv_id, at, least({chat.HISTORY}, {chat.BUDGET} - any_value(kept) - (max(start + tokens) - at)) AS room FROM walk GROUP BY conv_id, at),
+windows AS (SELECT conv_id, opened, least({chat.HISTORY}, {chat.BUDGET} - any_value(kept) - (max(start + tokens) - opened)) AS room FROM walk GROUP BY conv_id, opened),
 repeated AS (
-  SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND p.start < v.at AND p.start >= v.at - v.room WHERE NOT system
-  UNION ALL SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND v.at > 0 WHERE system
+  SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND p.start < v.opened AND p.start >= v.opened - v.room WHERE NOT system
+  UNION ALL SELECT p.conv_id, chars FROM placed p JOIN windows v ON v.conv_id = p.conv_id AND v.opened > 0 WHERE system
 ),
 more AS (SELECT conv_id, sum(chars) AS chars FROM repeated GROUP BY conv_id)
 SELECT p.conv_id, count(*) AS n_turns,

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitline.config import HORIZONS, MARKET_FEATURES, PRICE_COLUMNS
+from pitline.config import HORIZONS, MARKET_FEATURES, PRICE_COLUMNS, WARMUP
 from pitline.functions.numeric import is_close
-from pitline.operators.compare import exact_diff
 from pitline.operators.labels import append_labels
 from pitline.operators.rolling import build_features
+from pitline.operators.variants import against_base, split_variants, with_variants
 
 RETURNS = [f"forward_return_{h}d" for h in HORIZONS]
 
@@ -23,29 +23,31 @@ def first_on_or_after(bars: DataFrame, day) -> DataFrame:
     return bars.filter(F.col("date") >= F.lit(day)).groupBy("symbol").agg(F.min("date").alias("probe_date"))
 
 
-def mutate(bars: DataFrame, field: str, day, change: Callable[[Column], Column]) -> DataFrame:
-    """Bars with one field changed on each symbol's first session on or after a day."""
-    first = F.min(F.when(F.col("date") >= F.lit(day), F.col("date"))).over(W.partitionBy("symbol"))
-    hit = F.col("date") == F.col("_probe")
-    return bars.withColumn("_probe", first).withColumn(field, F.when(hit, change(F.col(field))).otherwise(F.col(field))).drop("_probe")
-
-
 def outputs(bars: DataFrame) -> DataFrame:
     return append_labels(build_features(bars)).select("symbol", "date", *MARKET_FEATURES, *RETURNS)
 
 
 def dependency_probe(bars: DataFrame, day, changes: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Which outputs react when one input field moves: changed cells per (field, output column).
+    """Which outputs react when one input field moves on each symbol's first session on or after a day: changed cells per (field, output).
 
-    The unchanged run is shared by all fields; every probe is the same job on perturbed input.
+    All fields and the unchanged rows are variants of one feature build, over the sessions that the change can reach alone: trailing
+    windows from the day on, and labels of the sessions before it.
     """
-    base = outputs(bars)
-    out: DataFrame | None = None
-    for field, change in changes.items():
-        d = exact_diff(base, outputs(mutate(bars, field, day, change)), ["symbol", "date"]).withColumn("field", F.lit(field))
-        out = d if out is None else out.unionByName(d)
-    assert out is not None
-    return out.filter(F.col("column") != "__rows__").select("field", F.col("column").alias("output"), "changed_cells")
+    back, ahead = max(*HORIZONS, *WARMUP.values()), max(WARMUP.values())
+    w = W.partitionBy("symbol")
+    placed = bars.withColumn("_pos", F.row_number().over(w.orderBy("date")))
+    placed = placed.withColumn("_probe", F.min(F.when(F.col("date") >= F.lit(day), F.col("_pos"))).over(w))
+    near = placed.filter(F.col("_pos").between(F.col("_probe") - back, F.col("_probe") + ahead))
+    hit = F.col("_pos") == F.col("_probe")
+    copies = with_variants(near, {f: {f: F.when(hit, change(F.col(f))).otherwise(F.col(f))} for f, change in changes.items()})
+    names = [*MARKET_FEATURES, *RETURNS]
+    cells = against_base(split_variants(outputs(copies)), ["symbol", "date"], names, list(changes))
+    counts = [
+        F.struct(F.lit(f).alias("field"), F.lit(c).alias("output"), F.count_if((F.col("variant") == f) & ~F.col("base")[c].eqNullSafe(F.col("changed")[c])).alias("changed_cells"))
+        for f in changes
+        for c in names
+    ]
+    return cells.agg(F.array(*counts).alias("r")).select(F.inline("r"))
 
 
 def lineage(probe: DataFrame) -> DataFrame:

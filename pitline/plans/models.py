@@ -10,12 +10,13 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from pitline.config import FUNDAMENTAL_FEATURES, MARKET_FEATURES, RELATIVE_FEATURES, TIE_TOL
+from pitline.config import FUNDAMENTAL_FEATURES, MARKET_FEATURES, PRIMARY_HORIZON, PRIMARY_TARGET, RELATIVE_FEATURES, TIE_TOL
 from pitline.functions.numeric import rnd
 from pitline.operators import metrics as met
 from pitline.operators import models as mod
 from pitline.operators import splits
 from pitline.operators import stability as stab
+from pitline.operators import variants as var
 from pitline.operators.labels import append_labels
 from pitline.operators.rolling import with_relative
 from pitline.plans.market import rounded
@@ -790,3 +791,29 @@ def _(t: Tables):
     s = Study.cv(append_labels(t.daily_shared), FUNDAMENTAL_FEATURES, {})
     c = stab.fold_coverage(s.members, mod.usage(s.params), FUNDAMENTAL_FEATURES)
     return rounded(c, [x for x in c.columns if not x.endswith("_coverage")], ("train_coverage", "validation_coverage"))
+
+
+# ---- leakage ---------------------------------------------------------------------------------------
+LEAK_DAY, LEAK_QUARTER = "1999-08-16", "1999-07-01"
+
+
+@query(
+    "model_leakage_probe",
+    "C11 M7",
+    f"""WITH c AS (SELECT l.symbol, arg_max(target_exit_date_5d, l.date) AS exit
+ FROM labels_v l JOIN (SELECT symbol, min(date) AS s FROM labels_v WHERE date >= DATE '{LEAK_QUARTER}' AND date < DATE '{LEAK_DAY}' GROUP BY symbol) q USING (symbol)
+ WHERE forward_return_5d IS NOT NULL AND target_exit_date_5d < s GROUP BY l.symbol),
+p AS (SELECT t.symbol, count_if(fold_start <= DATE '{LEAK_DAY}') AS n, count_if(fold_start <= DATE '{LEAK_DAY}' AND coalesce(exit < fold_start, false)) AS hit, count_if(fold_start > DATE '{LEAK_DAY}') AS later,
+  count_if(fold_start > DATE '{LEAK_DAY}' AND coalesce(exit < fold_start, false)) AS later_hit FROM wf_table t JOIN wf_starts USING (symbol, fold) LEFT JOIN c USING (symbol) GROUP BY t.symbol),
+o AS (SELECT o.symbol, count(*) AS n, count_if(coalesce(exit < fold_start, false) AND model <> 'zero_return') AS hit
+ FROM wf_oof o JOIN wf_starts USING (symbol, fold) LEFT JOIN c USING (symbol) WHERE date < DATE '{LEAK_DAY}' GROUP BY o.symbol)
+SELECT p.symbol, v.variant, p.n::BIGINT AS parameters_checked, CASE WHEN v.control THEN p.hit ELSE 0 END::BIGINT AS parameters_changed, coalesce(o.n, 0)::BIGINT AS predictions_checked,
+ CASE WHEN v.control THEN coalesce(o.hit, 0) ELSE 0 END::BIGINT AS predictions_changed, CASE WHEN v.control THEN later_hit > 0 ELSE later > 0 END AS later_reacts
+FROM p LEFT JOIN o USING (symbol), (VALUES ('later_features', false), ('later_labels', false), ('later_rows', false), ('realised_label', true)) v(variant, control)""",
+)
+def _(t: Tables):
+    frame = with_relative(t.market_labelled_shared)
+    s = Study.walk(var.leakage_variants(frame, LEAK_DAY, SINGLE, PRIMARY_TARGET, f"target_exit_date_{PRIMARY_HORIZON}d"), SINGLE, ARMS1)
+    fits = s.fits.persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers per fold and arm, read by the parameters and the predictions
+    starts = splits.walk_forward_members(frame).select("symbol", "fold", "fold_start").distinct()
+    return var.model_leakage(mod.parameters(fits, ARMS1), mod.predict(s.members, s.params, fits, ARMS1, SINGLE), starts, LEAK_DAY)

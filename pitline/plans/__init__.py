@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("market", "filings", "pit", "splits", "models", "profile", "audits")
+MODULES = ("market", "filings", "pit", "splits", "models", "profile", "audits", "faults")
 
 
 def load_all() -> None:

@@ -20,7 +20,7 @@ from pitline.operators import rolling
 from pitline.operators import splits
 from pitline.operators import stability as stab
 from pitline.plans.market import rounded
-from pitline.plans.models import ARMS1, NAMES1, PAIRS, SINGLE, Study, cv1, metric_sql, walk1
+from pitline.plans.models import ARMS1, NAMES1, PAIRS, SINGLE, SLOPE, Study, cv1, metric_sql, walk1
 from pitline.plans.registry import Tables, query
 from pitline.plans.sql import CTES, R, cte
 from pitline.sources import charts
@@ -498,7 +498,37 @@ def _(t: Tables):
     return aud.mechanism_assessment(endpoints(cv1(t)))
 
 
-@query("signal_assessment", "A40")
+_fr = ("CASE WHEN count({m}_sign_match) > 0 THEN count_if({m}_sign_match)::DOUBLE / count({m}_sign_match) END AS {m}")
+
+
+@query(
+    "signal_assessment",
+    "A40 A19",
+    f"""WITH x AS (SELECT *, CASE WHEN model LIKE '%_ols' THEN 'ols' ELSE 'ridge' END AS family FROM cv_oof WHERE model IN ({_in})),
+m AS (SELECT symbol, fold, family, Pearson, Spearman FROM ({metric_sql('x', 'symbol, fold, family')})),
+cal AS (SELECT symbol, fold, family, avg(prediction - actual) AS bias, {SLOPE} AS slope, stddev_samp(actual) AS sa,
+  CASE WHEN stddev_samp(actual) > 0 THEN CASE WHEN min(prediction) = max(prediction) THEN 0 ELSE stddev_samp(prediction) END / stddev_samp(actual) END AS ratio FROM x GROUP BY ALL),
+adv AS (SELECT x.symbol, x.fold, x.family, count(*) AS n, count_if(abs(x.actual - x.prediction) - abs(b.actual - b.prediction) < -1e-15)::DOUBLE / count(*) AS beat
+  FROM x JOIN cv_oof b ON b.symbol = x.symbol AND b.fold = x.fold AND b.date = x.date WHERE b.model = 'zero_return' GROUP BY ALL),
+j AS (SELECT *, abs(beat - 0.5) <= 1.0 / n + 1e-15 AS near, abs(bias) / sa > 0.25 OR ratio NOT BETWEEN 0.75 AND 1.25 OR slope NOT BETWEEN 0.75 AND 1.25 AS problem
+  FROM m JOIN cal USING (symbol, fold, family) JOIN adv USING (symbol, fold, family)),
+per AS (SELECT symbol, family, bool_and(slope > 1e-15) AS a, bool_and(Pearson > 1e-15) AS b, count_if(Spearman > 1e-15) AS sp, count_if(beat > 0.5 AND NOT near) AS majority,
+  count_if(beat <= 0.5 AND NOT near) AS nonmajority, count_if(problem) AS problems, bool_or(slope > 1e-15) AND bool_or(slope < -1e-15) OR count_if(slope <= 1e-15) >= 2 AS unstable,
+  bool_and(slope IS NOT NULL AND Pearson IS NOT NULL AND Spearman IS NOT NULL AND ratio IS NOT NULL) AS defined FROM j GROUP BY ALL),
+cos AS (SELECT symbol, family, bool_and(c > 0) AS cos_ok, count_if(c <= 0) AS cos_bad FROM (
+  SELECT a.symbol, a.family, sum(a.coefficient * b.coefficient) / (sqrt(sum(a.coefficient ^ 2)) * sqrt(sum(b.coefficient ^ 2))) AS c
+  FROM cv_table a JOIN cv_table b ON a.symbol = b.symbol AND a.family = b.family AND a.feature = b.feature AND a.fold < b.fold GROUP BY a.symbol, a.family, a.fold, b.fold) GROUP BY ALL),
+sg AS (SELECT symbol, family, avg(CASE WHEN k = folds THEN (greatest(pos, neg, zer) = k)::INTEGER END) AS share FROM (
+  SELECT symbol, family, feature, count(*) AS k, count_if(coefficient > 1e-15) AS pos, count_if(coefficient < -1e-15) AS neg, count_if(abs(coefficient) <= 1e-15) AS zer FROM cv_table GROUP BY ALL)
+  JOIN (SELECT symbol, count(DISTINCT fold) AS folds FROM cv_table GROUP BY symbol) USING (symbol) GROUP BY ALL),
+fr AS (SELECT symbol, scope, {_fr.format(m='pearson')}, {_fr.format(m='spearman')} FROM (SELECT *, fold::VARCHAR AS scope FROM assoc_pairs UNION ALL SELECT *, 'pooled' FROM assoc_pairs) GROUP BY ALL),
+asc_v AS (SELECT symbol, bool_or(pearson >= 0.5 AND spearman >= 0.5) FILTER (scope = 'pooled') AS ok, count_if(scope <> 'pooled' AND pearson <= 0.5 AND spearman <= 0.5) >= 2 AS bad FROM fr GROUP BY symbol),
+v AS (SELECT symbol, coalesce(defined AND a AND b AND sp >= 2 AND majority >= 2 AND problems >= 2 AND share >= 0.5 AND cos_ok AND ok, false) AS signal,
+  coalesce(defined AND nonmajority >= 2 AND unstable AND (share < 0.5 OR cos_bad >= 2 OR bad), false) AS weak
+  FROM per JOIN cos USING (symbol, family) JOIN sg USING (symbol, family) JOIN asc_v USING (symbol))
+SELECT symbol, CASE WHEN bool_and(signal) THEN 'SIGNAL_WITH_CALIBRATION_INSTABILITY' WHEN bool_and(weak) THEN 'WEAK_OR_TEMPORALLY_UNSTABLE_SIGNAL' ELSE 'MIXED_OR_INCONCLUSIVE' END AS category
+FROM v GROUP BY symbol""",
+)
 def _(t: Tables):
     s = cv1(t)
     oof = s.oof.filter(F.col("model").isin("close_to_sma_20_ols", "close_to_sma_20_ridge")).withColumn("family", F.element_at(F.split("model", "_"), -1))

@@ -365,7 +365,7 @@ def _(t: Tables):
 
 
 _cal = ("mean_actual", "mean_prediction", "mean_bias", "median_error", "median_absolute_error")
-_slope = "CASE WHEN min(prediction) < max(prediction) THEN covar_pop(prediction, actual) / var_pop(prediction) END"
+SLOPE = "CASE WHEN min(prediction) < max(prediction) THEN covar_pop(prediction, actual) / var_pop(prediction) END"
 
 
 @query(
@@ -373,7 +373,7 @@ _slope = "CASE WHEN min(prediction) < max(prediction) THEN covar_pop(prediction,
     "A21 A19",
     f"""SELECT symbol, scope, model, count(*) AS n, {R('avg(actual)')} AS mean_actual, {R('avg(prediction)')} AS mean_prediction,
  {R('avg(prediction - actual)')} AS mean_bias, {R('median(prediction - actual)')} AS median_error, {R('median(abs(prediction - actual))')} AS median_absolute_error,
- {R(_slope, 4)} AS calibration_slope, {R(f'avg(actual) - ({_slope}) * avg(prediction)', 4)} AS calibration_intercept,
+ {R(SLOPE, 4)} AS calibration_slope, {R(f'avg(actual) - ({SLOPE}) * avg(prediction)', 4)} AS calibration_intercept,
  CASE WHEN min(prediction) = max(prediction) THEN 'constant_prediction' ELSE 'defined' END AS calibration_undefined_reason FROM {_scoped} GROUP BY ALL""",
 )
 def _(t: Tables):

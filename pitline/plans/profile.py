@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitline.config import BALANCE_FIELDS, FEATURE_GROUP, GROUP_STREAM, MARKET_FEATURES, RESEARCH_FEATURES, STATE_KEY, STREAM_FEATURES, WARMUP
+from pitline.functions.dates import date_columns
 from pitline.functions.numeric import rnd
 from pitline.operators import profile as ops
 from pitline.plans.market import rounded
@@ -301,7 +302,7 @@ def _(t: Tables):
  0::BIGINT AS infinite_cells FROM daily_v GROUP BY symbol""",
 )
 def _(t: Tables):
-    return ops.matrix_check(t.daily, ("1996-01-01", "2001-06-30"))
+    return ops.matrix_check(t.daily.select("symbol", "date", *RESEARCH_FEATURES), ("1996-01-01", "2001-06-30"))
 
 
 @query(
@@ -311,3 +312,20 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return ops.group_cells(t.daily)
+
+
+_states = [f"{s}_{c}" for s in ("q", "fy", "bs") for c in ("period_start", "period_end", "filing_date", "effective_date")]
+_refs = [f"{s}_yoy_reference_{c}" for s in ("q", "fy") for c in ("period_start", "period_end", "filing_date")]
+
+
+@query(
+    "date_column_coverage",
+    "",
+    " UNION ALL ".join(
+        f"SELECT symbol, '{c}' AS \"column\", count({c}) AS filled, min({c}) AS first_date, max({c}) AS last_date FROM daily_v GROUP BY symbol" for c in ("date", *_states, *_refs)
+    ),
+)
+def _(t: Tables):
+    found = date_columns(t.daily.columns)
+    each = [F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), F.min(c).alias("first_date"), F.max(c).alias("last_date")) for c in found]
+    return t.daily.groupBy("symbol").agg(F.array(*each).alias("r")).select("symbol", F.inline("r"))

@@ -209,3 +209,15 @@ def test_every_survey_row_has_a_query_or_test():
     sizes = {"S": 15, "P": 15, "V": 18, "J": 16, "A": 41, "W": 15, "K": 7, "U": 5, "M": 13, "C": 20}
     missing = [f"{p}{i}" for p, n in sizes.items() for i in range(1, n + 1) if f"{p}{i}" not in have | tested_only]
     assert not missing
+
+
+def test_model_matrix_holds_the_declared_columns_alone(spark):
+    from pitline.operators.profile import matrix_check
+
+    window, features = ("2024-01-01", "2024-12-31"), ("a", "b")
+    df = spark.sql("SELECT 'A' AS symbol, DATE '2024-01-02' + CAST(id / 2 AS INT) AS date, CAST(id AS DOUBLE) AS a, CAST('Infinity' AS DOUBLE) AS b FROM range(3)")
+    r = matrix_check(df, window, features).first()
+    assert (r.rows, r.duplicate_rows, r.rows_outside_window, r.infinite_cells) == (3, 1, 0, 3)
+    for bad, why in ((df.drop("a"), "lacks"), (df.withColumn("x", F.lit(1)), "undeclared"), (df.select("symbol", "date", "b", "a"), "order"), (df.withColumn("a", F.lit("1")), "doubles")):
+        with pytest.raises(ValueError, match=why):
+            matrix_check(bad, window, features)

@@ -73,7 +73,9 @@ def linked_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even: half balls of an odd one hold pairs beyond it")
     masks = F.array(*[F.lit(m) for m in half_ball_masks(radius)])
-    balls = prints.select("fingerprint").distinct().select(
+    # a set number of partitions: adaptive merging would go by the few bytes of the fingerprints, not by the balls they become
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    balls = prints.select("fingerprint").repartition(parts, "fingerprint").distinct().select(
         "fingerprint", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("fingerprint")))).alias("point")
     )
     members = W.partitionBy("point").orderBy("fingerprint").rowsBetween(W.unboundedPreceding, 0)

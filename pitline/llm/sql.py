@@ -95,9 +95,18 @@ base AS (
   FROM places GROUP BY doc_id
 ),
 templates(label, word, n, need) AS (VALUES {templates}),
-lines AS (SELECT doc_id, line, row_number() OVER () AS line_no FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low)),
-line_words AS (SELECT doc_id, line_no, unnest(list_distinct(regexp_extract_all(line, {quoted(word)}))) AS word FROM lines),
-shared AS (SELECT doc_id, line_no, label, count(*) / any_value(n) AS share FROM line_words JOIN templates USING (word) GROUP BY doc_id, line_no, label HAVING count(*) >= any_value(need)),
+lines AS (
+  SELECT doc_id, words, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS line_no, count(*) OVER (PARTITION BY doc_id) AS n_lines
+  FROM (SELECT doc_id, at, regexp_extract_all(line, {quoted(word)}) AS words FROM (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS at FROM low
+  )) WHERE len(words) > 0
+),
+line_words AS (SELECT doc_id, line_no, n_lines, unnest(list_distinct(words)) AS word FROM lines),
+known AS (SELECT * FROM line_words WHERE word IN (SELECT word FROM templates)),
+block_words AS (
+  SELECT DISTINCT doc_id, begin, word FROM known, LATERAL (SELECT unnest(range(greatest(line_no - {licenses.SPAN - 1}, 1), least(line_no, greatest(n_lines - {licenses.SPAN - 1}, 1)) + 1)) AS begin)
+),
+shared AS (SELECT doc_id, begin, label, count(*) / any_value(n) AS share FROM block_words JOIN templates USING (word) GROUP BY doc_id, begin, label HAVING count(*) >= any_value(need)),
 score AS (SELECT doc_id, max(share) AS score FROM shared GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM shared) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,

@@ -80,8 +80,9 @@ def license_scan(text, phrases, templates, threshold):
     words = LICENSE_WORD.findall(low)
     places = [(i, label) for phrase, label in phrases.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     shares = {}
-    for line in low.split("\n"):
-        block = set(LICENSE_WORD.findall(line))
+    lines = [w for w in map(LICENSE_WORD.findall, low.split("\n")) if w]
+    for i in range(max(1, len(lines) - 3)):  # blocks of four lines
+        block = {w for line in lines[i : i + 4] for w in line}
         for label, t in templates.items():
             want = set(LICENSE_WORD.findall(ascii_lower(t)))
             if want and len(want & block) >= math.ceil(threshold * len(want) - 1e-9):

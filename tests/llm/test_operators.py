@@ -329,6 +329,31 @@ def test_license_scan(spark, edge, documents, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(edge, templates={}).count() == len(EDGE)
 
 
+def test_wrapped_notices_and_many_templates(spark):
+    """Notices wrapped as comments match as whole ones do; a vocabulary of any size is compared exactly."""
+    def wrapped(text, mark):
+        lines, line = [], mark
+        for w in text.split():
+            if len(line) + len(w) > 60:
+                lines, line = [*lines, line, ""], mark
+            line += " " + w
+        return "\n".join(["some words before", *lines, line, "and some after"])
+
+    texts = [wrapped(t, mark) for t in licenses.TEMPLATES.values() for mark in ("#", " *", "//")]
+    texts += ["\n".join(licenses.TEMPLATES["mit"].split()), "x\n\nReleased under\nthe MIT\n\nLicense.\ny"]
+    rng = random.Random(8)
+    many = {f"t{i}": " ".join(f"w{rng.randrange(9_000)}" for _ in range(30)) for i in range(400)}
+    texts += [many["t7"].replace(" ", "\n", 1), many["t8"] + " more", "\n".join(many["t9"].split()[:20])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for templates in (licenses.TEMPLATES, many):
+        found = {r["row"]["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, templates=templates).collect()}
+        want = {i: brute.license_scan(t, licenses.PHRASES, templates, licenses.THRESHOLD)[5:] for i, t in enumerate(texts)}
+        assert {i: x[0] for i, x in found.items()} == {i: x[0] for i, x in want.items()}
+        assert all(abs(found[i][1] - want[i][1]) < 1e-12 for i in want)
+        if templates is licenses.TEMPLATES:
+            assert all(label in found[3 * i + k][0].split(",") for i, label in enumerate(templates) for k in range(3)) and not found[3 * len(templates)][1]
+
+
 def test_license_lines(spark):
     lines = ["x\n" + t + "!" for t in licenses.TEMPLATES.values()] + ["ALL  RIGHTS-reserved all rights reservedly cc,by CC\nBY \U0001f600 cc by"]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")

@@ -96,9 +96,9 @@ base AS (
 ),
 templates(label, word, n, need) AS (VALUES {templates}),
 lines AS (
-  SELECT doc_id, words, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS line_no, count(*) OVER (PARTITION BY doc_id) AS n_lines
-  FROM (SELECT doc_id, at, regexp_extract_all(line, {quoted(word)}) AS words FROM (
-    SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS at FROM low
+  SELECT doc_id, words, row_number() OVER (PARTITION BY doc_id ORDER BY line_at) AS line_no, count(*) OVER (PARTITION BY doc_id) AS n_lines
+  FROM (SELECT doc_id, line_at, regexp_extract_all(line, {quoted(word)}) AS words FROM (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_at FROM low
   )) WHERE len(words) > 0
 ),
 line_words AS (SELECT doc_id, line_no, n_lines, unnest(list_distinct(words)) AS word FROM lines),

@@ -161,20 +161,24 @@ def is_closure(d: Column) -> Column:
 def calendar_audit(sessions: DataFrame) -> DataFrame:
     """Expected equity sessions a symbol lacks and sessions outside the calendar, between its first and last date.
 
-    Each symbol's calendar is generated from its own range; both differences come from one grouped pass.
+    The calendar is made once, a row per day between the first and last date of all symbols, with the number of open days up to it. A
+    symbol's expected sessions are the difference of two such numbers, so no calendar is copied to symbols; each session meets its one day.
     """
-    span = sessions.groupBy("symbol").agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    days = span.select("symbol", F.explode(F.sequence("a", "b")).alias("date"))
+    seen = sessions.groupBy("symbol", "date").agg(F.lit(1).alias("o"))
+    ends = sessions.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     open_day = ~F.dayofweek("date").isin(1, 7) & ~is_closure(F.col("date"))
-    both = (
-        days.filter(open_day).select("symbol", "date", F.lit(1).alias("e"), F.lit(0).alias("o"))
-        .unionByName(sessions.select("symbol", "date", F.lit(0).alias("e"), F.lit(1).alias("o")))
-        .groupBy("symbol", "date").agg(F.max("e").alias("e"), F.max("o").alias("o"))
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("date")).select("date", open_day.cast("int").alias("e"))
+    # a row per calendar day, so one partition holds them
+    calendar = days.withColumn("upto", F.sum("e").over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
+    met = seen.join(F.broadcast(calendar), "date", "left")
+    per = met.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("observed_sessions"), F.count_if(F.col("e") == 1).alias("_both"),
+        F.min(F.col("upto") - F.col("e")).alias("_before"), F.max("upto").alias("_upto"),
     )
-    return both.groupBy("symbol").agg(
-        F.sum("e").alias("expected_sessions"), F.sum("o").alias("observed_sessions"),
-        F.count_if((F.col("e") == 1) & (F.col("o") == 0)).alias("missing_expected_sessions"),
-        F.count_if((F.col("e") == 0) & (F.col("o") == 1)).alias("unexpected_sessions"),
+    expected = F.coalesce(F.col("_upto") - F.col("_before"), F.lit(0))
+    return per.select(
+        "symbol", expected.alias("expected_sessions"), "observed_sessions", (expected - F.col("_both")).alias("missing_expected_sessions"),
+        (F.col("observed_sessions") - F.col("_both")).alias("unexpected_sessions"),
     )
 
 

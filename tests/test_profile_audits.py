@@ -168,6 +168,16 @@ def test_closures(spark):
     assert (r.expected_sessions, r.missing_expected_sessions, r.unexpected_sessions) == (3, 1, 1)
 
 
+def test_calendar_is_made_once_for_all_symbols(spark):
+    """No calendar is copied to symbols: the only rows that are generated are the days between the first and the last date of all."""
+    rows = [("A", dt.date(2024, 3, 27)), ("A", dt.date(2024, 3, 30)), ("A", dt.date(2024, 3, 30)), ("A", None), ("B", dt.date(2023, 12, 29)), ("B", dt.date(2024, 1, 3)), ("C", None)]
+    audit = aud.calendar_audit(spark.createDataFrame(rows, "symbol string, date date"))
+    got = {r[0]: tuple(r)[1:] for r in audit.collect()}
+    assert got == {"A": (2, 3, 1, 2), "B": (3, 2, 1, 0), "C": (0, 1, 0, 1)}
+    generated = [x for x in audit._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
+    assert generated and not any("symbol" in x for x in generated)
+
+
 def test_probes(spark):
     bars, _ = make_bars(spark, 90, ("A",))
     f = aud.future_bars_probe(bars, "2024-03-28").first()

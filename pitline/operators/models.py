@@ -199,8 +199,8 @@ def _block_factor(table: pa.Table) -> pa.Table:
     )
 
 
-def _solve(r: np.ndarray, n: int, cols: list[int], alpha: float, whiten: bool) -> Iterator[dict]:
-    """Both families from the triangular factor of [1, z, y]; min-norm least squares and ridge."""
+def _solve(r: np.ndarray, n: int, cols: list[int], alpha: float, whiten: bool, diagnose: bool = True) -> Iterator[dict]:
+    """Both families from the triangular factor of [1, z, y]; min-norm least squares and ridge. Ranks and conditions only to diagnose."""
     sub = _triangle(r[:, [0, *[1 + c for c in cols], r.shape[1] - 1]])
     p = len(cols)
     x, y = sub[1 : p + 1, 1 : p + 1], sub[1 : p + 1, p + 1]
@@ -212,17 +212,21 @@ def _solve(r: np.ndarray, n: int, cols: list[int], alpha: float, whiten: bool) -
         "ols": vt.T[:, keep] @ (uty[keep] / s[keep]),
         "ridge": vt.T @ (s / (s * s + alpha) * uty),
     }
+    lines = [(f, float((sub[0, p + 1] - sub[0, 1 : p + 1] @ beta) / sub[0, 0]), beta.tolist()) for f, beta in coefs.items()]
+    if not diagnose:
+        yield from ({"family": f, "intercept": intercept, "coef": beta} for f, intercept, beta in lines)
+        return
     live = np.flatnonzero(np.abs(sub[: p + 1, 1 : p + 1]).sum(axis=0) > 0)
     raw = np.linalg.svd(sub[: p + 1, 1 : p + 1][:, live], compute_uv=False) if len(live) else np.zeros(1)
     du, ds, dvt = np.linalg.svd(sub[: p + 1, [0, *(1 + live)]], full_matrices=False)
     dkeep = ds > np.finfo(float).eps * max(n, len(live) + 1) * ds[0]
     w = np.zeros((int(dkeep.sum()), p + 1))
     w[:, [0, *(1 + live)]] = dvt[dkeep] / ds[dkeep, None]
-    for family, beta in coefs.items():
+    for family, intercept, beta in lines:
         yield {
             "family": family,
-            "intercept": float((sub[0, p + 1] - sub[0, 1 : p + 1] @ beta) / sub[0, 0]),
-            "coef": beta.tolist(),
+            "intercept": intercept,
+            "coef": beta,
             "n_rows": n,
             "n_features": len(live),
             "rank": int((raw > np.finfo(float).eps * max(n, len(live)) * raw[0]).sum()) if len(live) else 0,
@@ -280,6 +284,121 @@ def training_rows(members: DataFrame, params: DataFrame, features: tuple[str, ..
     return z.select(*KEY, F.pmod(F.xxhash64("date"), blocks).cast("int").alias("block"), "z", F.col(target).alias("y"))
 
 
+class _Folds:
+    """The folds of one symbol's sessions, each row held once: `entry` is the first fold that a row trains, `valid` the fold that it validates."""
+
+    def __init__(self, table: pa.Table, k: int):
+        table = table.sort_by("date")
+        self.date, self.y = table.column("date"), table.column("y").to_numpy()
+        self.x = matrix(table, [f"x{i}" for i in range(k)])
+        whole = lambda c: table.column(c).fill_null(-1).to_numpy()  # noqa: E731 - folds count from 0 or 1
+        self.entry, self.valid = whole("entry"), whole("valid")
+        self.folds = table.column("folds")[0].as_py()
+        self.trains = self.entry >= 0
+
+    def each(self) -> Iterator[tuple[int, int, float, np.ndarray, np.ndarray]]:
+        """(fold, training rows, their label mean, their row numbers, standardised rows of the fold: z of any rows) for folds that have training rows."""
+        t = self.trains
+        for fold, n, y_mean, s in _prefix_statistics(self.x[t], self.y[t], self.entry[t], self.folds):
+            yield fold, n, y_mean, np.flatnonzero(t & (self.entry <= fold)), _frozen(s, n)
+
+
+def _frozen(s: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(median, mean, scale) of the fold's transform; scale 0 where a column is not used. The rules of `finished`."""
+    cnt, missing = s["n"], n - s["n"]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = (s["avg"] * cnt + s["median"] * missing) / n
+        var = (cnt * (s["var"] + (s["avg"] - mean) ** 2) + missing * (s["median"] - mean) ** 2) / n
+    used = (cnt / n >= COVERAGE_MIN) & (s["lo"] != s["hi"])
+    return s["median"], mean, np.where(used, np.sqrt(np.where(used, var, 1.0)), 0.0)
+
+
+def _standardised(x: np.ndarray, frozen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    median, mean, scale = frozen
+    used = scale > 0
+    return np.where(used, (np.where(np.isnan(x), median, x) - np.where(used, mean, 0)) / np.where(used, scale, 1), 0.0)
+
+
+def _factor(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Triangular factor of [1, z, y], from blocks of at most QR_BLOCK_ROWS rows that are stacked and reduced again."""
+    a = np.column_stack([np.ones(len(y)), z, y])
+    width = a.shape[1]
+    blocks = [_triangle(a[i : i + QR_BLOCK_ROWS]) for i in range(0, len(a), QR_BLOCK_ROWS)]
+    return _triangle(np.vstack([*blocks, np.zeros((width, width))]))
+
+
+def slim_sessions(sessions: DataFrame, features: tuple[str, ...], target: str = PRIMARY_TARGET) -> DataFrame:
+    """Of sessions with their folds (`entry`, `valid`, `folds`) what a fit reads; NaN and infinities as missing."""
+    values = [finite(F.col(f).cast("double")).alias(f"x{i}") for i, f in enumerate(features)]
+    return sessions.select(
+        "symbol", "date", F.col("entry").cast("int").alias("entry"), F.col("valid").cast("int").alias("valid"), "folds",
+        F.col(target).cast("double").alias("y"), *values,
+    )
+
+
+FOLD_FIT = pa.list_(pa.struct([
+    ("arm", pa.string()), ("family", pa.string()), ("intercept", pa.float64()), ("coef", pa.list_(pa.float64())), ("n_rows", pa.int64()),
+    ("n_features", pa.int32()), ("rank", pa.int32()), ("sv_max", pa.float64()), ("sv_min", pa.float64()), ("design_rank", pa.int32()),
+    ("design_condition", pa.float64()), ("whiten", pa.list_(pa.list_(pa.float64()))),
+]))
+
+
+def fit_folds(
+    sessions: DataFrame, arms: dict[str, tuple[str, ...]], features: tuple[str, ...], target: str = PRIMARY_TARGET, alpha: float = RIDGE_ALPHA,
+    whiten: bool = False, diagnose: bool = True,
+) -> DataFrame:
+    """One row per (symbol, fold): `fits`, all arms and both families, and `date`, `actual` and `scores` (a list per model) of the validation rows.
+
+    What `fit_preprocessing`, `fit_linear` and `predict` give from rows that are copied to folds, here from each session once: a task
+    holds the sessions of one symbol, at most one a day, sorts their values once for all folds and factors each fold's rows. Nothing but
+    the sessions is shuffled, and not even they where the frame lies by symbol already. `models_of` names the models of `scores`.
+    """
+    index = {f: i for i, f in enumerate(features)}
+    subsets = {arm: [index[f] for f in cols] for arm, cols in arms.items()}
+    schema = pa.schema([
+        ("symbol", pa.string()), ("fold", pa.int32()), ("y_mean", pa.float64()), ("fits", FOLD_FIT), ("date", pa.list_(pa.date32())),
+        ("actual", pa.list_(pa.float64())), ("scores", pa.list_(pa.list_(pa.float64()))),
+    ])
+
+    def of_symbol(table: pa.Table) -> pa.Table:
+        symbol, f = table.column("symbol")[0].as_py(), _Folds(table, len(features))
+        rows = []
+        for fold, n, y_mean, train, frozen in f.each():
+            r = _factor(_standardised(f.x[train], frozen), f.y[train])
+            fits = [{"arm": arm, **x} for arm, cols in subsets.items() for x in _solve(r, n, cols, alpha, whiten, diagnose)]
+            valid = np.flatnonzero(f.valid == fold)
+            z = _standardised(f.x[valid], frozen)
+            scores = [np.zeros(len(valid)), np.full(len(valid), y_mean), *[z[:, subsets[x["arm"]]] @ np.asarray(x["coef"], float) + x["intercept"] for x in fits]]
+            rows.append({"symbol": symbol, "fold": fold, "y_mean": y_mean, "fits": fits, "date": f.date.take(valid).to_pylist(), "actual": f.y[valid].tolist(), "scores": [v.tolist() for v in scores]})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    out = (
+        "symbol string, fold int, y_mean double, fits array<struct<arm: string, family: string, intercept: double, coef: array<double>, n_rows: bigint, "
+        "n_features: int, rank: int, sv_max: double, sv_min: double, design_rank: int, design_condition: double, whiten: array<array<double>>>>, "
+        "date array<date>, actual array<double>, scores array<array<double>>"
+    )
+    return slim_sessions(sessions, features, target).groupBy("symbol").applyInArrow(of_symbol, out)
+
+
+def models_of(arms: dict[str, tuple[str, ...]]) -> list[str]:
+    """The models whose predictions `fit_folds` lists, in its order."""
+    return ["zero_return", "historical_mean", *[f"{arm}_{family}" for arm in arms for family in FAMILIES]]
+
+
+def fits_of(folds: DataFrame) -> DataFrame:
+    """The rows of `fit_linear` from those of `fit_folds`."""
+    return folds.select(*KEY, F.inline("fits"))
+
+
+def predictions_of(folds: DataFrame, arms: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The rows of `predict` from those of `fit_folds`: symbol, fold, date, model, actual, prediction."""
+    names = models_of(arms)
+    cells = F.arrays_zip("date", "actual", *[F.col("scores")[i].alias(f"s{i}") for i in range(len(names))])
+    rows = folds.select(*KEY, F.inline(cells))
+    models = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"s{i}").alias("prediction")) for i, m in enumerate(names)])
+    return rows.select(*KEY, "date", "actual", F.inline(models))
+
+
 def parameters(fits: DataFrame, arms: dict[str, tuple[str, ...]]) -> DataFrame:
     """The fitted models as a table: one row per symbol, fold, arm, family and feature."""
     names = F.create_map(*[x for arm, cols in arms.items() for x in (F.lit(arm), F.array(*[F.lit(c) for c in cols]))])

@@ -295,6 +295,21 @@ def cv_entries(frame: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     return lay.select(*frame.columns, entry.alias("entry"), folds.alias("folds")).filter("entry IS NOT NULL")
 
 
+def cv_sessions(frame: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
+    """Every session that trains or validates a development fold, once: `entry` and `folds` of `cv_entries`, and `valid`, the fold that it validates."""
+    lay = layout(frame, cfg).filter("sufficient")
+    start = lambda i: F.col("starts")[i - 1]
+    trains = [
+        F.when((F.col("pos") < start(i)["pos"]) & (F.col(f"target_exit_date_{PRIMARY_HORIZON}d") < start(i)["date"]), F.lit(i))
+        for i in range(1, cfg.folds + 1)
+    ]
+    entry = F.when(F.col(PRIMARY_TARGET).isNotNull(), F.least(*trains) if len(trains) > 1 else trains[0])
+    folds = F.array(*[F.lit(i) for i in range(1, cfg.folds + 1)])
+    return lay.select(*frame.columns, entry.alias("entry"), F.col("validation_fold").alias("valid"), folds.alias("folds")).filter(
+        "entry IS NOT NULL OR valid IS NOT NULL"
+    )
+
+
 # ---- walk-forward ----------------------------------------------------------------------------------
 def _fold_base(cfg: WalkForwardConfig) -> int:
     return cfg.first_year * 4 + cfg.first_quarter - 1
@@ -352,6 +367,20 @@ def walk_forward_entries(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardC
     return df.filter("entry IS NOT NULL").drop("_q", "_folds")
 
 
+def walk_forward_sessions(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
+    """Every session that trains or validates a fold, once: `entry` and `folds` of `walk_forward_entries`, and `valid`, the fold that it validates."""
+    df, label = _with_folds(frame, cfg)
+    trains = F.filter("_folds", lambda f: (f["fold"] > F.col("_q")) & (F.col(f"target_exit_date_{cfg.horizon}d") < f["fold_start"]))
+    df = df.withColumns(
+        {
+            "entry": F.when(label, F.array_min(F.transform(trains, lambda f: f["fold"]))),
+            "valid": F.when(label & F.exists("_folds", lambda f: f["fold"] == F.col("_q")), F.col("_q")),
+            "folds": F.array_sort(F.transform("_folds", lambda f: f["fold"])),
+        }
+    )
+    return df.filter("entry IS NOT NULL OR valid IS NOT NULL").drop("_q", "_folds")
+
+
 def walk_forward_members(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
     return walk_forward_candidates(frame, cfg).filter(F.col("role").isin("train", "validation"))
 

@@ -439,7 +439,7 @@ SELECT symbol, count_if(six)::BIGINT AS models_passing_all, count_if(core)::BIGI
  CASE WHEN bool_or(six) THEN 'ROBUST_MULTI_YEAR_SIGNAL' WHEN NOT bool_or(core) THEN 'NO_ROBUST_MULTI_YEAR_SIGNAL' ELSE 'MIXED_OR_REGIME_DEPENDENT_SIGNAL' END AS classification FROM g GROUP BY symbol""",
 )
 def _(t: Tables):
-    return aud.predictive_assessment(met.paired_comparison(met.fold_mae(walk1(t).oof), PAIRS), _rel)
+    return aud.predictive_assessment(met.paired_comparison(met.fold_mae(walk1(t, once=True).oof), PAIRS), _rel)
 
 
 @query(
@@ -450,7 +450,7 @@ def _(t: Tables):
 FROM paired_v WHERE reference LIKE 'sma_20%' GROUP BY symbol""",
 )
 def _(t: Tables):
-    p = met.paired_comparison(met.fold_mae(walk1(t).oof), PAIRS)
+    p = met.paired_comparison(met.fold_mae(walk1(t, once=True).oof), PAIRS)
     return aud.incremental_assessment(p, [("close_to_sma_20_ols", "sma_20_ols"), ("close_to_sma_20_ridge", "sma_20_ridge")])
 
 

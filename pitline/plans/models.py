@@ -35,16 +35,22 @@ ARMS_MARKET = {"control": MARKET_FEATURES, "treatment": RELATIVE_FEATURES}
 class Study:
     """Members, preprocessing, fits and predictions of one fold scheme and set of arms."""
 
-    def __init__(self, members, entries, features, arms, whiten=False):
-        self.members, self.entries, self.features, self.arms, self.whiten = members, entries, features, arms, whiten
+    def __init__(self, members, entries, sessions, features, arms, whiten=False):
+        self.members, self.entries, self.sessions = members, entries, sessions
+        self.features, self.arms, self.whiten = features, arms, whiten
 
     @classmethod
     def walk(cls, frame, features, arms, **more):
-        return cls(splits.walk_forward_members(frame), splits.walk_forward_entries(frame), features, arms, **more)
+        return cls(splits.walk_forward_members(frame), splits.walk_forward_entries(frame), splits.walk_forward_sessions(frame), features, arms, **more)
 
     @classmethod
     def cv(cls, frame, features, arms, **more):
-        return cls(splits.cv_members(frame), splits.cv_entries(frame), features, arms, **more)
+        return cls(splits.cv_members(frame), splits.cv_entries(frame), splits.cv_sessions(frame), features, arms, **more)
+
+    @cached_property
+    def folds(self):
+        # a row per symbol and fold, read by fits and predictions
+        return mod.fit_folds(self.sessions, self.arms, self.features, diagnose=False).persist(StorageLevel.MEMORY_AND_DISK)
 
     @cached_property
     def params(self):
@@ -57,15 +63,15 @@ class Study:
 
     @cached_property
     def fits(self):
-        return mod.fit_linear(self.train_z, self.arms, self.features, whiten=self.whiten)
+        return mod.fits_of(mod.fit_folds(self.sessions, self.arms, self.features, whiten=self.whiten))
 
     @cached_property
     def table(self):
-        return mod.parameters(self.fits, self.arms)
+        return mod.parameters(mod.fits_of(self.folds), self.arms)
 
     @cached_property
     def oof(self):
-        return mod.predict(self.members, self.params, self.fits, self.arms, self.features)
+        return mod.predictions_of(self.folds, self.arms)
 
     @cached_property
     def z(self):
@@ -76,12 +82,17 @@ class Study:
         return mod.train_validation_z(self.members, self.params, self.features)
 
 
-def walk1(t: Tables) -> Study:
-    return Study.walk(with_relative(t.market_labelled_shared), SINGLE, ARMS1)
+def labelled_frame(t: Tables, once: bool):
+    """The labelled bars, kept only for plans that read them several times."""
+    return with_relative(t.market_labelled if once else t.market_labelled_shared)
+
+
+def walk1(t: Tables, once: bool = False) -> Study:
+    return Study.walk(labelled_frame(t, once), SINGLE, ARMS1)
 
 
-def cv1(t: Tables) -> Study:
-    return Study.cv(with_relative(t.market_labelled_shared), SINGLE, ARMS1)
+def cv1(t: Tables, once: bool = False) -> Study:
+    return Study.cv(labelled_frame(t, once), SINGLE, ARMS1)
 
 
 # ---- SQL views -------------------------------------------------------------------------------------
@@ -145,7 +156,7 @@ _pc = ("coverage", "median", "mean", "std", "train_min", "train_max", "y_mean")
     f"SELECT symbol, fold, feature, n_train, n, 'used' AS drop_reason, {rsql(_pc)} FROM wf_params",
 )
 def _(t: Tables):
-    u = mod.usage(walk1(t).params)
+    u = mod.usage(walk1(t, once=True).params)
     return rounded(u, ["symbol", "fold", "feature", "n_train", "n", "drop_reason"], _pc)
 
 
@@ -155,7 +166,7 @@ def _(t: Tables):
     f"SELECT symbol, fold, arm, family, feature, {rsql(('intercept', 'coefficient'))} FROM wf_table",
 )
 def _(t: Tables):
-    return rounded(walk1(t).table, ["symbol", "fold", "arm", "family", "feature"], ("intercept", "coefficient"))
+    return rounded(walk1(t, once=True).table, ["symbol", "fold", "arm", "family", "feature"], ("intercept", "coefficient"))
 
 
 @query(
@@ -164,7 +175,7 @@ def _(t: Tables):
     f"SELECT symbol, fold, date, model, {rsql(('actual', 'prediction'))} FROM cv_oof",
 )
 def _(t: Tables):
-    return rounded(cv1(t).oof, ["symbol", "fold", "date", "model"], ("actual", "prediction"))
+    return rounded(cv1(t, once=True).oof, ["symbol", "fold", "date", "model"], ("actual", "prediction"))
 
 
 @query(
@@ -173,7 +184,7 @@ def _(t: Tables):
     f"SELECT symbol, fold, date, model, {rsql(('actual', 'prediction'))} FROM wf_oof",
 )
 def _(t: Tables):
-    return rounded(walk1(t).oof, ["symbol", "fold", "date", "model"], ("actual", "prediction"))
+    return rounded(walk1(t, once=True).oof, ["symbol", "fold", "date", "model"], ("actual", "prediction"))
 
 
 @query(
@@ -201,19 +212,19 @@ def _(t: Tables):
 
 @query("walk_forward_wide_models", "M3 M7 M8")
 def _(t: Tables):
-    s = Study.walk(with_relative(append_labels(t.daily_shared)), WIDE, ARMS_WIDE)
+    s = Study.walk(with_relative(append_labels(t.daily)), WIDE, ARMS_WIDE)
     return met.fold_mae(s.oof)
 
 
 @query("representation_models", "M8 A23")
 def _(t: Tables):
-    s = Study.walk(with_relative(t.market_labelled_shared), MARKET_WIDE, ARMS_MARKET)
+    s = Study.walk(labelled_frame(t, once=True), MARKET_WIDE, ARMS_MARKET)
     return met.prediction_summary(s.oof, ["symbol", "model"])
 
 
 @query("design_conditioning", "M9")
 def _(t: Tables):
-    s = Study.cv(with_relative(t.market_labelled_shared), MARKET_WIDE, ARMS_MARKET)
+    s = Study.cv(labelled_frame(t, once=True), MARKET_WIDE, ARMS_MARKET)
     return mod.conditioning(s.fits)
 
 
@@ -295,7 +306,7 @@ _scoped = "(SELECT *, fold::VARCHAR AS scope FROM cv_oof UNION ALL SELECT *, 'po
     f"SELECT symbol, scope, model, n, {rsql(met.METRICS)} FROM ({metric_sql(_scoped, 'symbol, scope, model')})",
 )
 def _(t: Tables):
-    m = met.regression_metrics(met.with_scopes(cv1(t).oof), ["symbol", "scope", "model"])
+    m = met.regression_metrics(met.with_scopes(cv1(t, once=True).oof), ["symbol", "scope", "model"])
     return rounded(m, ["symbol", "scope", "model", "n"], met.METRICS)
 
 
@@ -312,7 +323,7 @@ FROM (SELECT symbol, model, count(*) AS folds, {_mm}, stddev_samp(MAE) AS std_fo
 JOIN (SELECT symbol, model, {_pm} FROM ({metric_sql('cv_oof', 'symbol, model')})) USING (symbol, model)""",
 )
 def _(t: Tables):
-    return rounded(met.cv_summary(cv1(t).oof), ["symbol", "model", "folds", "rank_by_mean_fold_MAE"], _sc)
+    return rounded(met.cv_summary(cv1(t, once=True).oof), ["symbol", "model", "folds", "rank_by_mean_fold_MAE"], _sc)
 
 
 PAIRS = [*[(m, r) for m in NAMES1 for r in ("zero_return", "historical_mean")], ("close_to_sma_20_ols", "sma_20_ols"), ("close_to_sma_20_ridge", "sma_20_ridge")]
@@ -334,7 +345,7 @@ _pd = ("mean_delta_MAE", "median_delta_MAE", "win_rate")
     f"SELECT symbol, model, reference, fold_count, wins, losses, ties, {rsql(_pd)} FROM paired_v",
 )
 def _(t: Tables):
-    p = met.paired_comparison(met.fold_mae(walk1(t).oof), PAIRS)
+    p = met.paired_comparison(met.fold_mae(walk1(t, once=True).oof), PAIRS)
     return rounded(p, ["symbol", "model", "reference", "fold_count", "wins", "losses", "ties"], _pd)
 
 
@@ -347,7 +358,7 @@ JOIN (SELECT symbol, year(date) AS year, avg(abs(actual - prediction)) AS MAE FR
 JOIN (SELECT symbol, year(date) AS year, avg(abs(actual - prediction)) AS MAE FROM wf_oof WHERE model = 'historical_mean' GROUP BY ALL) h USING (symbol, year)""",
 )
 def _(t: Tables):
-    y = met.yearly(walk1(t).oof)
+    y = met.yearly(walk1(t, once=True).oof)
     return rounded(y, ["symbol", "year", "model", "rows"], ("MAE", "delta_vs_zero_return", "delta_vs_historical_mean"))
 
 
@@ -361,7 +372,7 @@ _ms = ("mean_fold_MAE", "median_fold_MAE", "pooled_MAE")
  {R('sum(MAE * rows) / sum(rows)')} AS pooled_MAE FROM wf_mae GROUP BY ALL""",
 )
 def _(t: Tables):
-    return rounded(met.model_summary(walk1(t).oof), ["symbol", "model", "fold_count", "oof_rows"], _ms)
+    return rounded(met.model_summary(walk1(t, once=True).oof), ["symbol", "model", "fold_count", "oof_rows"], _ms)
 
 
 _cal = ("mean_actual", "mean_prediction", "mean_bias", "median_error", "median_absolute_error")
@@ -379,7 +390,7 @@ SLOPE = "CASE WHEN min(prediction) < max(prediction) THEN covar_pop(prediction,
 def _(t: Tables):
     from pitline.functions.numeric import rnd
 
-    c = met.calibration(met.with_scopes(cv1(t).oof), ["symbol", "scope", "model"])
+    c = met.calibration(met.with_scopes(cv1(t, once=True).oof), ["symbol", "scope", "model"])
     return c.select(
         "symbol", "scope", "model", "n", "calibration_undefined_reason", *[rnd(x).alias(x) for x in _cal],
         rnd("calibration_slope", 4).alias("calibration_slope"), rnd("calibration_intercept", 4).alias("calibration_intercept"),
@@ -395,7 +406,7 @@ FROM (SELECT symbol, fold, model, stddev_samp(actual) AS std_actual, CASE WHEN m
  min(actual) AS actual_min, max(actual) AS actual_max FROM cv_oof GROUP BY ALL))""",
 )
 def _(t: Tables):
-    d = met.dispersion(cv1(t).oof, ["symbol", "fold", "model"])
+    d = met.dispersion(cv1(t, once=True).oof, ["symbol", "fold", "model"])
     return rounded(d, ["symbol", "fold", "model", "dispersion_undefined_reason"], ("std_actual", "std_prediction", "actual_min", "actual_max", "dispersion_ratio"))
 
 
@@ -408,7 +419,7 @@ FROM (SELECT m.symbol, m.fold, m.model, b.model AS anchor, abs(m.actual - m.pred
  FROM cv_oof m JOIN cv_oof b USING (symbol, fold, date) WHERE b.model IN ('zero_return', 'historical_mean') AND m.model NOT IN ('zero_return', 'historical_mean')) GROUP BY ALL""",
 )
 def _(t: Tables):
-    a = met.baseline_advantage(cv1(t).oof, ("zero_return", "historical_mean"), ["symbol", "fold"])
+    a = met.baseline_advantage(cv1(t, once=True).oof, ("zero_return", "historical_mean"), ["symbol", "fold"])
     return rounded(a, ["symbol", "fold", "model", "anchor", "n", "model_beats", "anchor_beats", "ties"], ("mean_delta_AE", "median_delta_AE"))
 
 
@@ -426,7 +437,7 @@ _psq = ", ".join(
  {R('median(abs(prediction))')} AS median_abs_prediction, {R('max(abs(prediction))')} AS max_abs_prediction, {_psq} FROM cv_oof GROUP BY ALL""",
 )
 def _(t: Tables):
-    p = met.prediction_summary(cv1(t).oof, ["symbol", "fold", "model"])
+    p = met.prediction_summary(cv1(t, once=True).oof, ["symbol", "fold", "model"])
     frac = [f"fraction_abs_gt_0_{k}0" for k in (1, 2, 3)]
     return rounded(p, ["symbol", "fold", "model", *[f"count_abs_gt_0_{k}0" for k in (1, 2, 3)]], (*_ps, *frac))
 
@@ -444,7 +455,7 @@ cte(
     f"SELECT symbol, fold, date, model, error_rank::INTEGER AS error_rank, {R('residual')} AS residual, {R('ae')} AS absolute_error, {R('ae * ae')} AS squared_error FROM errors_v",
 )
 def _(t: Tables):
-    e = met.error_table(cv1(t).oof)
+    e = met.error_table(cv1(t, once=True).oof)
     return rounded(e, ["symbol", "fold", "date", "model", "error_rank"], ("residual", "absolute_error", "squared_error"))
 
 
@@ -454,7 +465,7 @@ def _(t: Tables):
     f"SELECT symbol, fold, model, date, pos::INTEGER AS position, {R('ae')} AS absolute_error FROM errors_v WHERE pos <= 5",
 )
 def _(t: Tables):
-    return rounded(met.top_errors(cv1(t).oof), ["symbol", "fold", "model", "date", "position"], ("absolute_error",))
+    return rounded(met.top_errors(cv1(t, once=True).oof), ["symbol", "fold", "model", "date", "position"], ("absolute_error",))
 
 
 _ec = ("largest_absolute_error", "absolute_error_mean", "absolute_error_median", "top_3_share", "top_5_share")
@@ -468,7 +479,7 @@ _ec = ("largest_absolute_error", "absolute_error_mean", "absolute_error_median",
  count_if(ae > 0.10)::BIGINT AS count_gt_0_10, count_if(ae > 0.20)::BIGINT AS count_gt_0_20 FROM errors_v GROUP BY ALL""",
 )
 def _(t: Tables):
-    c = met.error_concentration(cv1(t).oof)
+    c = met.error_concentration(cv1(t, once=True).oof)
     return rounded(c, ["symbol", "fold", "model", "largest_error_date", "count_gt_0_10", "count_gt_0_20"], _ec)
 
 
@@ -569,7 +580,7 @@ _cs = ("coefficient_mean", "coefficient_std", "max_abs_coefficient", "min_abs_no
 FROM (SELECT *, coefficient AS c, lag(coefficient) OVER (PARTITION BY symbol, family, feature ORDER BY fold) AS prev FROM wf_table) GROUP BY ALL""",
 )
 def _(t: Tables):
-    c = stab.coefficient_stability(walk1(t).table)
+    c = stab.coefficient_stability(walk1(t, once=True).table)
     return rounded(c, ["symbol", "family", "feature", "folds_present", "sign_flips", "sign_consistent"], _cs)
 
 
@@ -582,7 +593,7 @@ SELECT symbol, family, feature, k AS folds_present, k = folds AS common_all_fold
  CASE WHEN k = folds THEN zer END AS zero_folds, CASE WHEN k = folds THEN greatest(pos, neg, zer) = k END AS sign_consistent_all_folds FROM p JOIN n USING (symbol)""",
 )
 def _(t: Tables):
-    return stab.sign_stability(walk1(t).table).drop("arm")
+    return stab.sign_stability(walk1(t, once=True).table).drop("arm")
 
 
 _nc = [f"{f}_{c}" for f in ("ols", "ridge") for c in ("l1", "l2", "max_abs", "median_abs")]
@@ -597,7 +608,7 @@ _nq = ", ".join(
     f"""SELECT symbol, fold, {_nq}, {R('sqrt(sum(ridge * ridge)) / sqrt(sum(ols * ols))')} AS l2_ratio, {R('max(abs(ridge)) / max(abs(ols))')} AS max_abs_ratio FROM wf_fit GROUP BY ALL""",
 )
 def _(t: Tables):
-    n = stab.coefficient_norms(walk1(t).table, ["symbol", "fold"])
+    n = stab.coefficient_norms(walk1(t, once=True).table, ["symbol", "fold"])
     return rounded(n, ["symbol", "fold"], (*_nc, "l2_ratio", "max_abs_ratio"))
 
 
@@ -609,7 +620,7 @@ def _(t: Tables):
 FROM cv_table a JOIN cv_table b ON a.symbol = b.symbol AND a.family = b.family AND a.feature = b.feature AND a.fold < b.fold GROUP BY ALL""",
 )
 def _(t: Tables):
-    c = stab.coefficient_cosine(cv1(t).table, ["feature"])
+    c = stab.coefficient_cosine(cv1(t, once=True).table, ["feature"])
     return rounded(c, ["symbol", "family", "fold_a", "fold_b", "n_common_features", "undefined_reason"], ("cosine_similarity",))
 
 

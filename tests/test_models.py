@@ -109,6 +109,31 @@ def test_preprocessing_reasons(study):
     assert u[u.feature == "gappy"].used.all()
 
 
+def test_folds_of_whole_symbols_equal_copied_rows(study):
+    """Fits and predictions of sessions held once are those of rows copied to folds, and the plan copies no row to a fold."""
+    folds = mod.fit_folds(splits.walk_forward_sessions(study["x"], CFG), ARMS, FEATURES, whiten=True)
+    stored = mod.predict(study["members"], study["params"], study["fits"], ARMS, FEATURES)
+    r = met.control_reproduction(mod.predictions_of(folds, ARMS), stored, rtol=1e-7, atol=1e-9).toPandas()
+    assert len(r) == 2 * (2 + 2 * len(ARMS)) and r.rows_checked.min() > 50
+    assert r[["identity_violations", "actual_violations", "tolerance_violations"]].to_numpy().sum() == 0
+    keys = ["symbol", "fold", "arm", "family"]
+    got, want = (d.toPandas().sort_values(keys).reset_index(drop=True) for d in (mod.fits_of(folds), study["fits"]))
+    for c in (*keys, "n_rows", "n_features", "rank", "design_rank"):
+        assert (got[c] == want[c]).all(), c
+    np.testing.assert_allclose(np.concatenate(got.coef), np.concatenate(want.coef), rtol=1e-6, atol=1e-9)
+    np.testing.assert_allclose(got.sv_max, want.sv_max, rtol=1e-9)
+    assert "Generate" not in folds._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cv_sessions_have_the_roles_of_copied_rows(study):
+    cfg = SplitConfig(test_size=20, validation_size=15, folds=3, min_train=60)
+    members = splits.cv_members(study["x"], cfg).select("symbol", "date", "fold", "role")
+    once = splits.cv_sessions(study["x"], cfg)
+    train = once.select("symbol", "date", F.explode("folds").alias("fold"), "entry").filter("fold >= entry").select("symbol", "date", "fold", F.lit("train").alias("role"))
+    both = train.unionByName(once.filter("valid IS NOT NULL").select("symbol", "date", F.col("valid").alias("fold"), F.lit("validation").alias("role")))
+    assert members.exceptAll(both).isEmpty() and both.exceptAll(members).isEmpty() and both.count() > 200
+
+
 def test_blocks_really_split(study):
     assert study["z"].select("block").distinct().count() > 1
 

@@ -380,6 +380,84 @@ def fit_folds(
     return slim_sessions(sessions, features, target).groupBy("symbol").applyInArrow(of_symbol, out)
 
 
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks with ties averaged."""
+    _, place, count = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2)[place]
+
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> float | None:
+    if not len(a) or a.min() == a.max() or b.min() == b.max():
+        return None
+    a, b = a - a.mean(), b - b.mean()
+    return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+
+def fold_associations(sessions: DataFrame, features: tuple[str, ...], target: str = PRIMARY_TARGET) -> DataFrame:
+    """n, Pearson, Spearman and why they are undefined, of each used feature's frozen z with the label, by (symbol, fold), for training and validation rows.
+
+    The sessions of one symbol are held once, as in `fit_folds`; no row is copied to a fold and a feature.
+    """
+    roles, cols = ("train", "validation"), [("n", pa.int64()), ("pearson", pa.float64()), ("spearman", pa.float64()), ("reason", pa.string())]
+    schema = pa.schema([("symbol", pa.string()), ("fold", pa.int32()), ("feature", pa.string()), *[(f"{r}_{c}", t) for r in roles for c, t in cols]])
+
+    def measured(z: np.ndarray, y: np.ndarray, y_ranks: np.ndarray) -> dict:
+        reason = (
+            "too_few_pairs" if len(y) < 2 else "constant_feature" if z.min() == z.max() else "constant_target" if y.min() == y.max() else "defined"
+        )
+        return {"n": len(y), "pearson": _correlation(z, y), "spearman": _correlation(_ranks(z), y_ranks), "reason": reason}
+
+    def of_symbol(table: pa.Table) -> pa.Table:
+        symbol, f = table.column("symbol")[0].as_py(), _Folds(table, len(features))
+        rows = []
+        for fold, _, _, train, frozen in f.each():
+            sides = {r: (_standardised(f.x[at], frozen), f.y[at], _ranks(f.y[at])) for r, at in (("train", train), ("validation", np.flatnonzero(f.valid == fold))) if len(at)}
+            for i in np.flatnonzero(frozen[2] > 0):
+                cells = {f"{r}_{c}": v for r, (z, y, ranks) in sides.items() for c, v in measured(z[:, i], y, ranks).items()}
+                rows.append({"symbol": symbol, "fold": fold, "feature": features[i], **cells})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    out = "symbol string, fold int, feature string, " + ", ".join(f"{r}_n bigint, {r}_pearson double, {r}_spearman double, {r}_reason string" for r in roles)
+    return slim_sessions(sessions, features, target).groupBy("symbol").applyInArrow(of_symbol, out)
+
+
+def fold_influence(
+    sessions: DataFrame, arm: str, arms: dict[str, tuple[str, ...]], features: tuple[str, ...], target: str = PRIMARY_TARGET, alpha: float = RIDGE_ALPHA
+) -> DataFrame:
+    """The rows of `influence` from sessions held once by symbol: fits, hat diagonal and residuals of a fold come from one factor of its rows."""
+    index = {f: i for i, f in enumerate(features)}
+    cols = [index[c] for c in arms[arm]]
+    numbers = pa.list_(pa.float64())
+    schema = pa.schema([
+        ("symbol", pa.string()), ("fold", pa.int32()), ("design_rank", pa.int32()), ("n_rows", pa.int64()), ("n_features", pa.int32()), ("sse", pa.float64()),
+        ("ny", pa.float64()), ("nf", pa.float64()), ("date", pa.list_(pa.date32())), ("actual", numbers), ("fitted", numbers), ("leverage", numbers),
+    ])
+
+    def of_symbol(table: pa.Table) -> pa.Table:
+        symbol, f = table.column("symbol")[0].as_py(), _Folds(table, len(features))
+        rows = []
+        for fold, n, _, train, frozen in f.each():
+            z, y = _standardised(f.x[train], frozen), f.y[train]
+            fit = next(x for x in _solve(_factor(z, y), n, cols, alpha, whiten=True) if x["family"] == "ols")
+            fitted = z[:, cols] @ np.asarray(fit["coef"], float) + fit["intercept"]
+            white = np.column_stack([np.ones(n), z[:, cols]]) @ np.asarray(fit["whiten"], float).T
+            rest = y - fitted
+            rows.append({
+                "symbol": symbol, "fold": fold, "design_rank": fit["design_rank"], "n_rows": n, "n_features": fit["n_features"], "sse": float(rest @ rest),
+                "ny": float(np.sqrt(y @ y)), "nf": float(np.sqrt(fitted @ fitted)), "date": f.date.take(train).to_pylist(), "actual": y.tolist(),
+                "fitted": fitted.tolist(), "leverage": (white * white).sum(axis=1).tolist(),
+            })
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    out = (
+        "symbol string, fold int, design_rank int, n_rows bigint, n_features int, sse double, ny double, nf double, date array<date>, actual array<double>, "
+        "fitted array<double>, leverage array<double>"
+    )
+    folds = slim_sessions(sessions, features, target).groupBy("symbol").applyInArrow(of_symbol, out)
+    rows = folds.select(*KEY, "design_rank", "n_rows", "n_features", "sse", "ny", "nf", F.inline(F.arrays_zip("date", "actual", "fitted", "leverage")))
+    return _judged(rows.withColumn("residual", F.col("actual") - F.col("fitted")))
+
+
 def models_of(arms: dict[str, tuple[str, ...]]) -> list[str]:
     """The models whose predictions `fit_folds` lists, in its order."""
     return ["zero_return", "historical_mean", *[f"{arm}_{family}" for arm in arms for family in FAMILIES]]
@@ -520,6 +598,11 @@ def influence(
         F.sqrt(F.sum(F.col("actual") * F.col("actual"))).alias("ny"),
         F.sqrt(F.sum(F.col("fitted") * F.col("fitted"))).alias("nf"),
     )
+    return _judged(x.join(sse, KEY))
+
+
+def _judged(x: DataFrame) -> DataFrame:
+    """Studentised residual, Cook's distance and undefined cases from fit, leverage and the fold's sums (sse, ny, nf)."""
     eps = float(np.finfo(float).eps)
     size = F.greatest(F.col("n_rows"), F.col("n_features") + 1).cast("double")
     df = F.col("n_rows") - F.col("design_rank")
@@ -528,7 +611,7 @@ def influence(
         F.when(df <= 0, "nonpositive_residual_df").when(tiny, "zero_residual_variance")
         .when(1 - F.col("leverage") <= size * 16 * eps, "unit_leverage").otherwise("defined")
     )
-    y = x.join(sse, KEY).withColumns({"residual_df": df, "undefined_reason": reason})
+    y = x.withColumns({"residual_df": df, "undefined_reason": reason})
     mse = F.try_divide(F.col("sse"), F.col("residual_df"))
     ok = F.col("undefined_reason") == "defined"
     room = 1 - F.col("leverage")

@@ -381,6 +381,12 @@ def walk_forward_sessions(frame: DataFrame, cfg: WalkForwardConfig = WalkForward
     return df.filter("entry IS NOT NULL OR valid IS NOT NULL").drop("_q", "_folds")
 
 
+def walk_forward_starts(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
+    """symbol, fold and fold_start of all folds, from one row per symbol."""
+    df, _ = _with_folds(frame, cfg)
+    return df.groupBy("symbol").agg(F.first("_folds").alias("f")).select("symbol", F.inline("f"))
+
+
 def walk_forward_members(frame: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig()) -> DataFrame:
     return walk_forward_candidates(frame, cfg).filter(F.col("role").isin("train", "validation"))
 

@@ -157,6 +157,11 @@ def associations(z: DataFrame) -> DataFrame:
     wide = s.groupBy(*KEY, "feature").agg(
         *[F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c}") for role in ("train", "validation") for c in cols]
     )
+    return sign_changes(wide)
+
+
+def sign_changes(wide: DataFrame) -> DataFrame:
+    """Whether the signs of training and validation association agree or flip, and how far the association moved."""
     out = {}
     for m in ("pearson", "spearman"):
         a, b = signed(F.col(f"train_{m}")), signed(F.col(f"validation_{m}"))

@@ -103,3 +103,47 @@ def model_leakage(parameters: DataFrame, predictions: DataFrame, starts: DataFra
     return p.join(o, ["symbol", "variant"], "left").select(
         "symbol", "variant", "parameters_checked", "parameters_changed", none("predictions_checked"), none("predictions_changed"), (F.col("later") > 0).alias("later_reacts")
     )
+
+
+def fold_leakage(folds: DataFrame, starts: DataFrame, day: str, names: tuple[str, ...] = LEAKAGE_VARIANTS) -> DataFrame:
+    """The counts of `model_leakage` from rows of `fit_folds` over a frame with variants.
+
+    A fold's fits and predictions meet those of its copies as one row each, and are compared inside it; no prediction is a row of its own.
+    """
+    limit = F.lit(day).cast("date")
+    near = lambda a, b: is_close(a, b, 1e-9)
+    total = lambda items: F.aggregate(items, F.lit(0).cast("bigint"), lambda a, b: a + b)
+    early = F.filter("date", lambda d: d < limit)
+    sides = split_variants(folds.select("symbol", "fold", "fits", early.alias("days"), F.col("date").alias("all_days"), "scores"))
+    each = against_base(sides, ["symbol", "fold"], ["fits", "days", "all_days", "scores"], list(names)).join(starts, ["symbol", "fold"])
+    b, c = F.col("base"), F.col("changed")
+    some = F.when(b.isNotNull(), b).otherwise(c)
+
+    def moved_fit(x: Column, y: Column) -> Column:
+        same = F.transform(F.arrays_zip(x["coef"].alias("p"), y["coef"].alias("q")), lambda v: (~near(v["p"], v["q"])).cast("bigint"))
+        return F.when(near(x["intercept"], y["intercept"]), total(same)).otherwise(F.size(x["coef"]).cast("bigint"))
+
+    fits = F.transform(F.arrays_zip(b["fits"].alias("x"), c["fits"].alias("y")), lambda v: moved_fit(v["x"], v["y"]))
+    n_fits = total(F.transform(some["fits"], lambda f: F.size(f["coef"]).cast("bigint")))
+    both = b.isNotNull() & c.isNotNull()
+
+    def moved_day(d: Column) -> Column:
+        i, j = F.array_position(b["all_days"], d).cast("int") - 1, F.array_position(c["all_days"], d).cast("int") - 1
+        far = F.transform(
+            F.arrays_zip(b["scores"].alias("x"), c["scores"].alias("y")), lambda v: (~near(F.get(v["x"], i), F.get(v["y"], j))).cast("bigint")
+        )
+        return F.when((i >= 0) & (j >= 0), total(far)).otherwise(F.size(some["scores"]).cast("bigint"))
+
+    empty = F.array().cast("array<date>")
+    days = F.array_union(F.coalesce(b["days"], empty), F.coalesce(c["days"], empty))
+    n_scores = (F.size(days) * F.size(some["scores"])).cast("bigint")
+    counted = each.select(
+        "symbol", "variant", (F.col("fold_start") <= limit).alias("known"), n_fits.alias("fits"), F.when(both, total(fits)).otherwise(n_fits).alias("fits_moved"),
+        n_scores.alias("scores"), F.when(both, total(F.transform(days, moved_day))).otherwise(n_scores).alias("scores_moved"),
+    )
+    known = lambda c, flag: F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0)).alias
+    out = counted.groupBy("symbol", "variant").agg(
+        known("fits", F.col("known"))("parameters_checked"), known("fits_moved", F.col("known"))("parameters_changed"),
+        F.sum("scores").alias("predictions_checked"), F.sum("scores_moved").alias("predictions_changed"), known("fits_moved", ~F.col("known"))("later"),
+    )
+    return out.withColumn("later_reacts", F.col("later") > 0).drop("later")

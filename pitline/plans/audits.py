@@ -534,10 +534,11 @@ def _(t: Tables):
     oof = s.oof.filter(F.col("model").isin("close_to_sma_20_ols", "close_to_sma_20_ridge")).withColumn("family", F.element_at(F.split("model", "_"), -1))
     key = ["symbol", "fold", "family"]
     cal = met.calibration(oof, key).join(met.dispersion(oof, key), key).join(met.regression_metrics(oof, key).select(*key, "Pearson", "Spearman"), key)
-    adv = met.baseline_advantage(s.oof, ("zero_return",), ["symbol", "fold"]).filter(F.col("model").startswith("close_to_sma_20"))
+    judged = s.oof.filter(F.col("model").startswith("close_to_sma_20") | (F.col("model") == "zero_return"))
+    adv = met.baseline_advantage(judged, ("zero_return",), ["symbol", "fold"])
     adv = adv.select("symbol", "fold", F.element_at(F.split("model", "_"), -1).alias("family"), (F.col("model_beats") / F.col("n")).alias("beat_fraction"))
     return aud.signal_assessment(
-        cal, adv, stab.sign_stability(s.table), stab.coefficient_cosine(s.table, ["feature"]), stab.association_stability(stab.associations(s.both_z))
+        cal, adv, stab.sign_stability(s.table), stab.coefficient_cosine(s.table, ["feature"]), stab.association_stability(s.associations)
     )
 
 

@@ -35,17 +35,16 @@ ARMS_MARKET = {"control": MARKET_FEATURES, "treatment": RELATIVE_FEATURES}
 class Study:
     """Members, preprocessing, fits and predictions of one fold scheme and set of arms."""
 
-    def __init__(self, members, entries, sessions, features, arms, whiten=False):
-        self.members, self.entries, self.sessions = members, entries, sessions
-        self.features, self.arms, self.whiten = features, arms, whiten
+    def __init__(self, members, entries, sessions, features, arms):
+        self.members, self.entries, self.sessions, self.features, self.arms = members, entries, sessions, features, arms
 
     @classmethod
-    def walk(cls, frame, features, arms, **more):
-        return cls(splits.walk_forward_members(frame), splits.walk_forward_entries(frame), splits.walk_forward_sessions(frame), features, arms, **more)
+    def walk(cls, frame, features, arms):
+        return cls(splits.walk_forward_members(frame), splits.walk_forward_entries(frame), splits.walk_forward_sessions(frame), features, arms)
 
     @classmethod
-    def cv(cls, frame, features, arms, **more):
-        return cls(splits.cv_members(frame), splits.cv_entries(frame), splits.cv_sessions(frame), features, arms, **more)
+    def cv(cls, frame, features, arms):
+        return cls(splits.cv_members(frame), splits.cv_entries(frame), splits.cv_sessions(frame), features, arms)
 
     @cached_property
     def folds(self):
@@ -63,7 +62,7 @@ class Study:
 
     @cached_property
     def fits(self):
-        return mod.fits_of(mod.fit_folds(self.sessions, self.arms, self.features, whiten=self.whiten))
+        return mod.fits_of(mod.fit_folds(self.sessions, self.arms, self.features))
 
     @cached_property
     def table(self):
@@ -78,8 +77,11 @@ class Study:
         return mod.zscores(self.members, self.params, self.features)
 
     @cached_property
-    def both_z(self):
-        return mod.train_validation_z(self.members, self.params, self.features)
+    def associations(self):
+        return stab.sign_changes(mod.fold_associations(self.sessions, self.features))
+
+    def influence(self, arm):
+        return mod.fold_influence(self.sessions, arm, self.arms, self.features)
 
 
 def labelled_frame(t: Tables, once: bool):
@@ -230,8 +232,7 @@ def _(t: Tables):
 
 @query("training_influence", "M10")
 def _(t: Tables):
-    s = Study.cv(with_relative(t.market_labelled_shared), MARKET_WIDE, ARMS_MARKET, whiten=True)
-    return mod.influence(s.members, s.params, s.fits, "treatment", ARMS_MARKET, MARKET_WIDE)
+    return Study.cv(labelled_frame(t, once=True), MARKET_WIDE, ARMS_MARKET).influence("treatment")
 
 
 _ic = ("actual", "fitted", "residual", "leverage", "residual_mse", "studentised_residual", "cooks_distance")
@@ -248,8 +249,7 @@ h AS (SELECT *, residual / sqrt(residual_mse * (1 - leverage)) AS studentised_re
 SELECT symbol, fold, date, {rsql(_ic)}, 2::INTEGER AS design_rank, (n - 2)::BIGINT AS residual_df, 'defined' AS undefined_reason FROM h""",
 )
 def _(t: Tables):
-    s = Study.cv(with_relative(t.market_labelled_shared), SINGLE, ARMS1, whiten=True)
-    x = mod.influence(s.members, s.params, s.fits, "sma_20", ARMS1, SINGLE)
+    x = cv1(t, once=True).influence("sma_20")
     return rounded(x, ["symbol", "fold", "date", "design_rank", "residual_df", "undefined_reason"], _ic)
 
 
@@ -657,7 +657,7 @@ _af = [f"{m}_sign_{k}" for m in ("pearson", "spearman") for k in ("match", "flip
     f"SELECT symbol, fold, feature, train_n, validation_n, {', '.join(_af)}, {', '.join(_ac)} FROM assoc_pairs",
 )
 def _(t: Tables):
-    a = stab.associations(cv1(t).both_z)
+    a = cv1(t, once=True).associations
     return rounded(a, ["symbol", "fold", "feature", "train_n", "validation_n", *_af], _ac)
 
 
@@ -674,7 +674,7 @@ _st = ", ".join(
     f"SELECT symbol, scope, count(*) AS pairs, {_st} FROM (SELECT *, fold::VARCHAR AS scope FROM assoc_pairs UNION ALL SELECT *, 'pooled' FROM assoc_pairs) GROUP BY ALL",
 )
 def _(t: Tables):
-    s = stab.association_stability(stab.associations(cv1(t).both_z))
+    s = stab.association_stability(cv1(t, once=True).associations)
     fl = [f"{p}{m}{q}" for m in ("pearson", "spearman") for p, q in (("", "_match_fraction"), ("mean_absolute_change_", ""))]
     return rounded(s, [c for c in s.columns if c not in fl], fl)
 
@@ -824,7 +824,6 @@ FROM p LEFT JOIN o USING (symbol), (VALUES ('later_features', false), ('later_la
 )
 def _(t: Tables):
     frame = with_relative(t.market_labelled_shared)
-    s = Study.walk(var.leakage_variants(frame, LEAK_DAY, SINGLE, PRIMARY_TARGET, f"target_exit_date_{PRIMARY_HORIZON}d"), SINGLE, ARMS1)
-    fits = s.fits.persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers per fold and arm, read by the parameters and the predictions
-    starts = splits.walk_forward_members(frame).select("symbol", "fold", "fold_start").distinct()
-    return var.model_leakage(mod.parameters(fits, ARMS1), mod.predict(s.members, s.params, fits, ARMS1, SINGLE), starts, LEAK_DAY)
+    copies = var.leakage_variants(frame, LEAK_DAY, SINGLE, PRIMARY_TARGET, f"target_exit_date_{PRIMARY_HORIZON}d")
+    folds = mod.fit_folds(splits.walk_forward_sessions(copies), ARMS1, SINGLE, diagnose=False)
+    return var.fold_leakage(folds, splits.walk_forward_starts(frame), LEAK_DAY)

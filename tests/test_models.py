@@ -134,6 +134,26 @@ def test_cv_sessions_have_the_roles_of_copied_rows(study):
     assert members.exceptAll(both).isEmpty() and both.exceptAll(members).isEmpty() and both.count() > 200
 
 
+def test_influence_and_associations_of_whole_symbols_equal_copied_rows(study):
+    """What rows copied to folds and joined with their parameters give, from sessions held once; no row is generated before the fit."""
+    once = splits.walk_forward_sessions(study["x"], CFG)
+    keys = ["symbol", "fold", "date"]
+    got = mod.fold_influence(once, "treatment", ARMS, FEATURES).toPandas().sort_values(keys).reset_index(drop=True)
+    want = mod.influence(study["members"], study["params"], study["fits"], "treatment", ARMS, FEATURES).toPandas().sort_values(keys).reset_index(drop=True)
+    assert len(got) > 300 and (got[[*keys, "design_rank", "residual_df", "undefined_reason"]] == want[[*keys, "design_rank", "residual_df", "undefined_reason"]]).all(axis=None)
+    for c in ("actual", "fitted", "residual", "leverage", "residual_mse", "studentised_residual", "cooks_distance"):
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-6, atol=1e-9, err_msg=c)
+    keys = ["symbol", "fold", "feature"]
+    a = stab.sign_changes(mod.fold_associations(once, FEATURES)).toPandas().sort_values(keys).reset_index(drop=True)
+    b = stab.associations(mod.train_validation_z(study["members"], study["params"], FEATURES)).toPandas().sort_values(keys).reset_index(drop=True)
+    assert list(a.columns) == list(b.columns) and len(a) > 50
+    for c in a.columns:
+        if a[c].dtype == float and c not in ("train_n", "validation_n"):
+            np.testing.assert_allclose(a[c], b[c], rtol=1e-7, atol=1e-9, err_msg=c)
+        else:
+            assert (a[c].isna() == b[c].isna()).all() and (a[c].dropna() == b[c].dropna()).all(), c
+
+
 def test_blocks_really_split(study):
     assert study["z"].select("block").distinct().count() > 1
 

@@ -69,3 +69,19 @@ def test_model_leakage(spark):
     early = variants.leakage_variants(frame, "2024-10-03", FEATURES, "forward_return_5d", "target_exit_date_5d").withColumn("target_exit_date_5d", F.col("date"))
     r = {r.variant: r for r in variants.model_leakage(*fitted(early), starts, "2024-10-03").collect()}
     assert r["later_labels"].parameters_changed == 4 and r["later_features"].parameters_changed == 0
+
+
+def test_leakage_inside_folds_equals_that_of_rows(spark):
+    """Folds compared as one row each give the counts of predictions and parameters compared row by row."""
+    bars, _ = make_bars(spark, 320)
+    frame = append_labels(build_features(bars)).select("symbol", "date", *MARKET_FEATURES, "forward_return_5d", "target_exit_date_5d").persist()
+    starts = splits.walk_forward_members(frame, CFG).select("symbol", "fold", "fold_start").distinct()
+    assert starts.exceptAll(splits.walk_forward_starts(frame, CFG)).isEmpty()
+    copies = variants.leakage_variants(frame, DAY, FEATURES, "forward_return_5d", "target_exit_date_5d")
+    for rows in (copies, copies.withColumn("target_exit_date_5d", F.col("date"))):
+        want = variants.model_leakage(*fitted(rows), starts, DAY)
+        folds = mod.fit_folds(splits.walk_forward_sessions(rows, CFG), ARMS, FEATURES, diagnose=False)
+        got = variants.fold_leakage(folds, splits.walk_forward_starts(frame, CFG), DAY)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "prediction#" not in plan  # no row for each prediction

@@ -70,22 +70,18 @@ def attach_states(market: DataFrame, observations: DataFrame, streams: tuple[str
     right = win.select("symbol", F.col("filing_date").alias("_t"), F.lit(1).alias("_k"), *streams)
     order = W.partitionBy("symbol").orderBy("_t", "_k")
     past = order.rowsBetween(W.unboundedPreceding, 0)
-    # the next session is the last one met going backwards in time; a frame open to the future would be read anew for every row
-    later = W.partitionBy("symbol").orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
     session = F.when(F.col("_k") == 0, F.col("_t"))
     u = left.unionByName(right, allowMissingColumns=True)
-    u = u.withColumns(
-        {
-            "_eff": F.last(session, ignorenulls=True).over(later),
-            "_first": F.min(session).over(past),
-        }
-    )
-    u = u.withColumns({s: F.when(F.col(s).isNotNull(), F.struct(F.col(f"{s}.*"), F.col("_eff").alias("effective_date"))) for s in streams})
-    u = u.withColumns({s: F.last(s, ignorenulls=True).over(past) for s in streams}).filter(F.col("_k") == 0)
+    u = u.withColumns({"_first": F.min(session).over(past), **{s: F.last(s, ignorenulls=True).over(past) for s in streams}}).filter(F.col("_k") == 0)
+    # one sort serves all windows: a filing that is superseded before the next session is no session's state, so a state's effective
+    # date is the first session that has it
+    state = {s: F.struct(F.col(s).isNotNull(), F.col(f"{s}.filing_date")) for s in streams}
+    u = u.withColumns({f"_new_{s}": F.when(~state[s].eqNullSafe(F.lag(state[s]).over(order)), F.col("_t")) for s in streams})
+    u = u.withColumns({f"_eff_{s}": F.last(f"_new_{s}", ignorenulls=True).over(past) for s in streams})
     cols: list[Column] = []
     for s in streams:
         p = _prefix(s)
-        filed, eff = F.col(f"{s}.filing_date"), F.col(f"{s}.effective_date")
+        filed, eff = F.col(f"{s}.filing_date"), F.when(F.col(s).isNotNull(), F.col(f"_eff_{s}"))
         truncated, basis = effective_semantics(filed, eff, F.col("_first"))
         cols += [F.col(f"{s}.{c}").alias(f"{p}_{c}") for c in FILING_META]
         cols += [

@@ -173,3 +173,13 @@ def test_redisclosure_uses_the_concept_of_its_own_filing(spark):
     observations = facts.normalise_facts(flat)
     got = facts.redisclosed(build_snapshots(observations), observations, flat).filter("metric = 'revenue'").collect()
     assert [(r.concept, r.retained, r.latest_value, r.status) for r in got] == [(second, 100.0, 103.0, "different")]
+
+
+def test_states_need_one_sort_of_the_sessions(spark):
+    """A filing superseded between two sessions is no state, the later one takes effect on the next session, and no session is sorted backwards in time."""
+    rows = [filing(dt.date(2025, 1, 3), "a", revenue=1.0), filing(dt.date(2025, 1, 4), "b", revenue=2.0), filing(dt.date(2025, 1, 20), "c", revenue=3.0)]
+    got = states(spark, rows)
+    assert [r.fundamental_accession for r in got] == [None, None, "b", "b", "b", "b", "b"]
+    assert [r.fundamental_effective_date for r in got] == [None, None, *[dt.date(2025, 1, 6)] * 5]
+    plan = pit.attach_states(market(spark), spark.createDataFrame(rows, SCHEMA), ("mixed",))._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line and "_t#" in line for line in plan.splitlines()) == 1 and "DESC" not in plan

@@ -100,7 +100,7 @@ def _(t: Tables):
  {', '.join(f'{R(c, 4)} AS {c}' for c in _dist)} FROM dist_v LEFT JOIN outliers_v USING (symbol, view, feature_group, feature)""",
 )
 def _(t: Tables):
-    d = ops.distribution(ops.view_rows(t.daily_shared, t.snapshots), _VK)
+    d = ops.view_distributions(t.daily_shared, t.snapshots)
     return rounded(d, [*_VK, "n", "non_finite_count", "outlier_status", "outlier_count"], _dist, 4)
 
 

@@ -231,3 +231,19 @@ def test_model_matrix_holds_the_declared_columns_alone(spark):
     for bad, why in ((df.drop("a"), "lacks"), (df.withColumn("x", F.lit(1)), "undeclared"), (df.select("symbol", "date", "b", "a"), "order"), (df.withColumn("a", F.lit("1")), "doubles")):
         with pytest.raises(ValueError, match=why):
             matrix_check(bad, window, features)
+
+
+def test_distribution_of_wide_rows(spark):
+    """Wide rows give the measures of unpivoted ones, and no row is expanded to a feature."""
+    rng = np.random.default_rng(3)
+    rows = [("A", float(x), None if i % 3 else float(x), 2.0, float("nan") if i < 2 else float(i)) for i, x in enumerate([*rng.normal(size=30), 40.0])] + [("B", 1.0, None, 2.0, float("inf"))]
+    names = ("a", "b", "c", "d")
+    wide = spark.createDataFrame(rows, "symbol string, a double, b double, c double, d double")
+    want = prof.distribution(wide.unpivot(["symbol"], list(names), "feature", "value"), ["symbol", "feature"]).toPandas()
+    frame = prof.wide_distribution(wide, names)
+    assert "Expand" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    got = frame.toPandas()
+    got, want = (d[sorted(want.columns)].sort_values(["symbol", "feature"]).reset_index(drop=True) for d in (got, want))
+    assert sorted(frame.columns) == sorted(want.columns)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)
+    assert got.outlier_count.max() > 0

@@ -58,6 +58,13 @@ def concept_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "concept string, unit string, field string, priority int, instant boolean")
 
 
+def calendar_date(flat: DataFrame, c: str) -> Column:
+    """A column as a strict date; one of dates needs no parsing, only years of four digits."""
+    if flat.schema[c].dataType == T.DateType():
+        return F.when(F.year(c).between(0, 9999), F.col(c))
+    return strict_date(F.col(c).cast("string"))
+
+
 def type_facts(flat: DataFrame) -> DataFrame:
     """Mapped facts of supported forms with typed dates and the reason they are unusable, if any."""
     catalog = F.broadcast(concept_catalog(flat.sparkSession))
@@ -70,9 +77,9 @@ def type_facts(flat: DataFrame) -> DataFrame:
             "field",
             "priority",
             "instant",
-            F.when(~F.col("instant"), strict_date(F.col("start").cast("string"))).alias("start"),
-            strict_date(F.col("end").cast("string")).alias("end"),
-            strict_date(F.col("filed").cast("string")).alias("filed"),
+            F.when(~F.col("instant"), calendar_date(flat, "start")).alias("start"),
+            calendar_date(flat, "end").alias("end"),
+            calendar_date(flat, "filed").alias("filed"),
             "fy",
             "fp",
             "form",
@@ -223,10 +230,12 @@ def fact_issues(flat: DataFrame) -> DataFrame:
 
 
 def comparative_counts(flat: DataFrame) -> DataFrame:
-    """Facts per symbol left out because they restate an earlier period."""
-    cur = distinct_facts(type_facts(flat))
-    return cur.groupBy("symbol").agg(
-        F.sum("n").alias("usable_facts"), F.sum(F.when(F.col("is_current"), 0).otherwise(F.col("n"))).alias("comparative_facts_excluded")
+    """Facts per symbol left out because they restate an earlier period, from the counts of each filing's period ends."""
+    n = F.count(F.lit(1)).alias("n")
+    ends = type_facts(flat).filter(F.col("reason").isNull()).groupBy("symbol", "accn", "end").agg(n)
+    filings = ends.groupBy("symbol", "accn").agg(F.sum("n").alias("n"), F.max(F.struct("end", "n")).alias("latest"))
+    return filings.groupBy("symbol").agg(
+        F.sum("n").alias("usable_facts"), F.sum(F.col("n") - F.col("latest.n")).alias("comparative_facts_excluded")
     )
 
 

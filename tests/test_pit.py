@@ -183,3 +183,15 @@ def test_states_need_one_sort_of_the_sessions(spark):
     assert [r.fundamental_effective_date for r in got] == [None, None, *[dt.date(2025, 1, 6)] * 5]
     plan = pit.attach_states(market(spark), spark.createDataFrame(rows, SCHEMA), ("mixed",))._jdf.queryExecution().executedPlan().toString()
     assert sum("Sort [" in line and "_t#" in line for line in plan.splitlines()) == 1 and "DESC" not in plan
+
+
+def test_comparative_counts_combine_before_the_shuffle(spark):
+    """Typed dates are not parsed again, and facts are counted by their filing's period ends, not sorted in a window."""
+    day = dt.date(2024, 9, 30)
+    rows = [("X", "Assets", "USD", None, end, 1.0, accn, 2024, "Q3", "10-Q", dt.date(2024, 11, 1))
+            for accn, end in (("a", day), ("a", day), ("a", dt.date(2023, 9, 30)), ("b", dt.date(2023, 9, 30)))]
+    flat = spark.createDataFrame(rows, "symbol string, concept string, unit string, start date, end date, val double, accn string, fy int, fp string, form string, filed date")
+    counts = facts.comparative_counts(flat)
+    assert [tuple(r) for r in counts.collect()] == [("X", 4, 1)]
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "RLIKE" not in plan

@@ -93,7 +93,9 @@ def attach_states(market: DataFrame, observations: DataFrame, streams: tuple[str
         ]
         for c in stream_payload(s):
             cols.append(F.col(f"{s}.{c}").alias(c if c in STREAM_FEATURES.get(s, ()) else f"{p}_{c}"))
-    return u.select("_m.*", *cols)
+    # the keys of the window themselves, so that the frame stays dealt and sorted by symbol and date for what reads it
+    keys = {"symbol": F.col("symbol"), "date": F.col("_t").alias("date")}
+    return u.select(*[keys.get(c, F.col("_m")[c].alias(c)) for c in market.columns], *cols)
 
 
 def _prefix(stream: str) -> str:

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from pitline.plans.sql import compose
-from pitline.session import apply_job_settings
+from pitline.session import apply_job_settings, size_shuffles
 from pitline.sources import derived
 
 
@@ -23,7 +23,9 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         apply_job_settings(spark)
-        return self.build(Tables(spark, sf_dir))
+        tables = Tables(spark, sf_dir)
+        size_shuffles(spark, tables.lines.count())  # from the file's metadata
+        return self.build(tables)
 
 
 REGISTRY: dict[str, Query] = {}
@@ -70,6 +72,10 @@ class Tables:
         """The daily matrix kept for plans that read it several times; lost blocks are recomputed from lineage."""
         return self.daily.persist(StorageLevel.MEMORY_AND_DISK)
 
+    def daily_kept(self, *columns: str) -> DataFrame:
+        """These columns of the daily matrix, with its keys, kept like daily_shared; no other column is stored."""
+        return self.daily.select("symbol", "date", *columns).persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def market_labelled_shared(self) -> DataFrame:
         return self.market_labelled.persist(StorageLevel.MEMORY_AND_DISK)

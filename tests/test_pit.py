@@ -195,3 +195,30 @@ def test_comparative_counts_combine_before_the_shuffle(spark):
     assert [tuple(r) for r in counts.collect()] == [("X", 4, 1)]
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "RLIKE" not in plan
+
+
+def test_states_stay_dealt_by_symbol(spark):
+    """What groups the matrix by symbol needs no shuffle of its wide rows."""
+    market = spark.createDataFrame([("X", dt.date(2024, 1, 2), 1.0)], "symbol string, date date, close double")
+    schema = T.StructType([T.StructField("symbol", T.StringType()), *[T.StructField(c, T.DateType() if c.endswith(("_start", "_end", "_date")) else T.IntegerType() if c == "fiscal_year" else T.StringType()) for c in FILING_META], *[T.StructField(f, T.DoubleType()) for f in FIELDS]])
+    daily = pit.attach_states(market, spark.createDataFrame([], schema), ("mixed",))
+    assert daily.columns[:3] == market.columns
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(daily.groupBy("symbol").agg(F.max("fundamental_revenue"), F.max("close"))) == shuffles(daily)
+
+
+def test_large_inputs_get_more_partitions(spark):
+    from pitline.session import INITIAL, size_shuffles
+
+    try:
+        size_shuffles(spark, 100)
+        assert spark.conf.get(INITIAL, None) is None
+        size_shuffles(spark, 3_000_000)
+        assert spark.conf.get(INITIAL) == "15"
+        size_shuffles(spark, 100)
+        assert spark.conf.get(INITIAL, None) is None
+        spark.conf.set(INITIAL, "7")
+        size_shuffles(spark, 3_000_000)
+        assert spark.conf.get(INITIAL) == "7"  # a choice of the caller
+    finally:
+        spark.conf.unset(INITIAL)

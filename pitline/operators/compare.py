@@ -177,9 +177,13 @@ def trace_validity(trace: DataFrame, layers: list[str], key: list[str]) -> DataF
     )
 
 
+#: What names a state's source snapshot within its symbol.
+CELL_KEY = ("accession", "period_start", "period_end", "data_period_type")
+
+
 def cell_audit(daily: DataFrame, snapshots: DataFrame, stream: str, features: tuple[str, ...], provenance: bool) -> DataFrame:
     """Every daily cell of a stream against its source snapshot: presence, eligibility and exact value."""
-    key = ("accession", "period_start", "period_end", "data_period_type")
+    key = CELL_KEY
     src = snapshots.select(
         "symbol", *[F.col(c).alias(f"{stream}_{c}") for c in key], F.col("filing_date").alias("_filed"), F.lit(True).alias("_found"),
         *([F.col("yoy_reference_filing_date").alias("_ref")] if provenance else [F.lit(None).cast("date").alias("_ref")]),

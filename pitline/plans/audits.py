@@ -393,7 +393,9 @@ _ca = " UNION ALL ".join(
 
 @query("pit_cell_audit", "C12 V6", f"SELECT * FROM ({_ca})")
 def _(t: Tables):
-    parts = [cmp.cell_audit(t.daily_shared, t.snapshots, p, STREAM_FEATURES[p], p != "bs") for p in ("q", "fy", "bs")]
+    keys = [f"{p}_{c}" for p in ("q", "fy", "bs") for c in (*cmp.CELL_KEY, "filing_date", "effective_date")]
+    daily = t.daily_kept(*keys, *[c for p in ("q", "fy", "bs") for c in STREAM_FEATURES[p]])
+    parts = [cmp.cell_audit(daily, t.snapshots, p, STREAM_FEATURES[p], p != "bs") for p in ("q", "fy", "bs")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -129,7 +129,7 @@ def _(t: Tables):
         "q_late": ("q_effective_date", F.date_add("date", 1)),
         **{c: (c, F.when(held, F.col(c) + 1).otherwise(F.lit(1.0))) for c in _q},
     }
-    return cmp.cell_audit(plant(t.daily_shared, KEY, faults), t.snapshots, "q", _q, True)
+    return cmp.cell_audit(plant(t.daily, KEY, faults), t.snapshots, "q", _q, True)  # read once, so not kept
 
 
 @query(

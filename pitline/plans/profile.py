@@ -253,7 +253,7 @@ _flag = {
 SELECT symbol, feature, feature_group, coverage_label, concat_ws('|', {', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _flag.items())}) AS quality_flags FROM b""",
 )
 def _(t: Tables):
-    return ops.quality_flags(t.daily_shared)
+    return ops.quality_flags(t.daily_kept(*RESEARCH_FEATURES, *[f"{p}_{c}" for p in ops.GROUP_STREAM.values() for c in ops.STATE_KEY]))
 
 
 _groups = {"market": MARKET_FEATURES, "quarterly": STREAM_FEATURES["q"], "annual": STREAM_FEATURES["fy"], "balance_sheet": STREAM_FEATURES["bs"]}

@@ -192,32 +192,36 @@ def evaluation_windows(labels: DataFrame, cfg: SplitConfig = SplitConfig()) -> D
     return per.select("symbol", "_gap_after", "_test", F.inline("w"))
 
 
+def _by_target(prefix: str) -> Column:
+    """The column `prefix`_h of the horizon that a row's target_name names, null for other names."""
+    name = F.col("target_name")
+    return F.coalesce(*[F.when(name == f"forward_return_{h}d", F.col(f"{prefix}_{h}")) for h in HORIZONS])
+
+
 def manifest_audit(manifest: DataFrame, labels: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
-    """Violation counts per symbol; windows, gap and roles come from label dates and sizes, none from the manifest's own columns."""
-    lab = labels.select(
-        "symbol", "date", F.row_number().over(W.partitionBy("symbol").orderBy("date")).alias("_n"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(f"forward_return_{h}d").alias("target_name"),
-                        F.col(f"target_exit_date_{h}d").alias("_exit"),
-                        F.col(f"forward_return_{h}d").isNull().alias("_missing"),
-                        F.col(PRIMARY_TARGET).isNull().alias("_tail"),
-                    )
-                    for h in HORIZONS
-                ]
-            )
-        ).alias("l"),
-    ).select("symbol", "date", "_n", "l.*")
-    m = manifest.join(lab, ["symbol", "date", "target_name"], "left")
-    ev = F.col("nominal_role").isin("validation", "final_test")
-    b = m.groupBy("symbol", "fold", "target_name").agg(F.count_if(ev).alias("_n_ev"))
-    j = m.join(b, ["symbol", "fold", "target_name"]).join(evaluation_windows(labels, cfg), ["symbol", "fold"], "left")
+    """Violation counts per symbol; windows, gap and roles come from label dates and sizes, none from the manifest's own columns.
+
+    The manifest has a row for each session, target and fold, so it is streamed once past a hash table of its partition's sessions and
+    one of its windows: it is neither sorted nor, dealt by symbol as `build_manifest` leaves it, shuffled. Counts are of (symbol, fold, target) first,
+    where the size of the block is known, then of symbols. Rows without a symbol are left out; those without a known fold or target are counted.
+    """
+    sessions = labels.select(
+        "symbol", "date", F.col(PRIMARY_TARGET).isNull().alias("_no_primary"),
+        *[F.col(f"target_exit_date_{h}d").alias(f"_exit_{h}") for h in HORIZONS],
+        *[F.col(f"forward_return_{h}d").isNull().alias(f"_missing_{h}") for h in HORIZONS],
+    )
+    j = (
+        manifest.filter(F.col("symbol").isNotNull())
+        .select("symbol", "date", "target_name", "fold", "nominal_role", "role", "target_exit_date", "evaluation_start_date")
+        .join(sessions.hint("shuffle_hash"), ["symbol", "date"], "left")
+        .join(evaluation_windows(labels, cfg).hint("shuffle_hash"), ["symbol", "fold"], "left")
+        .withColumns({"_exit": _by_target("_exit"), "_missing": _by_target("_missing")})
+    )
+    tail = F.col("_missing").isNotNull() & F.col("_no_primary")
     usable = ~F.col("_missing") & (F.col("_exit") < F.col("_start"))
     final = F.col("fold") == "final"
     expected = (
-        F.when(F.col("_tail"), "unlabeled_tail")
+        F.when(tail, "unlabeled_tail")
         .when(~final & (F.col("date") > F.col("_gap_after")) & (F.col("date") < F.col("_test")), "pre_test_gap")
         .when(F.col("_missing"), "target_missing")
         .when((F.col("date") < F.col("_start")) & usable, "train")
@@ -225,18 +229,21 @@ def manifest_audit(manifest: DataFrame, labels: DataFrame, cfg: SplitConfig = Sp
         .when(F.col("date").between(F.col("_start"), F.col("_end")), F.when(final, "final_test").otherwise("validation"))
         .otherwise("not_candidate")
     )
-    size = F.when(F.col("fold") == "final", cfg.test_size).otherwise(cfg.validation_size)
     train = F.col("role") == "train"
-    return j.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("rows_checked"),
-        F.count_if(~expected.eqNullSafe(F.col("role"))).alias("role_violations"),
-        F.count_if(~F.col("target_exit_date").eqNullSafe(F.col("_exit"))).alias("exit_date_violations"),
-        F.count_if(train & (F.col("_exit") >= F.col("_start"))).alias("leakage_violations"),
-        F.count_if(train & (F.col("date") >= F.col("_start"))).alias("order_violations"),
-        F.count_if(~F.col("evaluation_start_date").eqNullSafe(F.col("_start"))).alias("boundary_violations"),
-        F.count_if(F.col("_n_ev") != size).alias("block_size_violations"),
-        F.count_if(F.col("_n").isNull()).alias("unknown_session_violations"),
-    )
+    counts = {
+        "rows_checked": F.count(F.lit(1)),
+        "role_violations": F.count_if(~expected.eqNullSafe(F.col("role"))),
+        "exit_date_violations": F.count_if(~F.col("target_exit_date").eqNullSafe(F.col("_exit"))),
+        "leakage_violations": F.count_if(train & (F.col("_exit") >= F.col("_start"))),
+        "order_violations": F.count_if(train & (F.col("date") >= F.col("_start"))),
+        "boundary_violations": F.count_if(~F.col("evaluation_start_date").eqNullSafe(F.col("_start"))),
+        "block_size_violations": F.count_if(F.col("nominal_role").isin("validation", "final_test")),  # rows of the block so far
+        "unknown_session_violations": F.count_if(F.col("_missing").isNull()),
+    }
+    per = j.groupBy("symbol", "fold", "target_name").agg(*[c.alias(n) for n, c in counts.items()])
+    size = F.when(final, cfg.test_size).otherwise(cfg.validation_size)
+    wrong = F.when(F.col("block_size_violations") != size, F.col("rows_checked")).otherwise(0)
+    return per.withColumn("block_size_violations", wrong).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in counts])
 
 
 def fold_overlap(manifest: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pitline.operators import metrics as met
 from pitline.operators import models as mod
 from pitline.operators import splits
 from pitline.operators import stability as stab
-from pitline.operators.labels import append_labels
+from pitline.operators.labels import append_labels, label_columns
 from pitline.operators.rolling import build_features, with_relative
 from test_market import make_bars
 
@@ -214,6 +214,33 @@ def test_interval_overlap_equals_all_pairs(spark):
     assert (got.n_windows, got.overlapping_pairs) == (80, want)
 
 
+def test_manifest_audit_neither_sorts_nor_shuffles_the_manifest(spark):
+    """Twelve rows a session pass the audit in one stream; odd rows are counted, and an unknown session keeps its symbol's windows."""
+    cfg = SplitConfig(test_size=20, validation_size=15, folds=3, min_train=60)
+    labels = append_labels(make_bars(spark, 220)[0]).select("symbol", "date", *label_columns())
+    m = splits.build_manifest(labels, cfg)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        audit = splits.manifest_audit(m, labels, cfg)
+        plan = audit._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Generate")]
+        assert "SortMergeJoin" not in plan and "Sort " not in above and "Exchange" not in above
+        assert plan.count("explode(") == 2, "the manifest is made once"
+        sound = {r.symbol: r for r in audit.collect()}
+        cell = F.struct("symbol", "target_name", "fold")
+        one = m.filter("fold = 'cv_2' AND target_name = 'forward_return_5d' AND role = 'train'").groupBy(cell.alias("c")).agg(F.min_by(F.struct(*m.columns), "date").alias("r")).select("r.*")
+        odd = one.withColumn("fold", F.lit(None).cast("string")).unionByName(one.withColumn("target_name", F.lit("other"))).unionByName(one.withColumn("date", F.lit("1900-01-01").cast("date")))
+        got = {r.symbol: r for r in splits.manifest_audit(m.unionByName(odd), labels, cfg).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(got) == len(sound) == one.count() > 0
+    for symbol, r in got.items():
+        assert r.rows_checked == sound[symbol].rows_checked + 3 and not any(sound[symbol][2:])
+        assert r.unknown_session_violations == 2  # another target, another date
+        assert r.boundary_violations == 1  # the row without a fold alone
+
+
 def test_manifest_roles(spark):
     bars, _ = make_bars(spark, 220, ("AAA",))
     labels = append_labels(build_features(bars))

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from pitline.llm.bpe import CACHE_ENTRIES, MAX_FILE_BYTES
+from pitline.llm.bpe import MAX_FILE_BYTES
 from pitline.llm.common import by_batch, carried
 
+#: Pre-tokens that a worker's cache holds before it starts anew; a memory bound without effect on results.
+CACHE_ENTRIES = 150_000
 #: Longer pre-tokens are not kept.
 CACHE_LENGTH = 256
 #: Documents that the frequent table is made from, about; and its largest number of entries.

@@ -108,6 +108,21 @@ def test_odd_ranks_and_blocks(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in bpe.Encoder(ranks, public_tokenizers.PATTERN).encode(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_recurring_pre_tokens_are_merged_once(monkeypatch):
+    """A full cache does not forget what every block has; few long pre-tokens fill it as many short ones do."""
+    encoder = bpe.Encoder({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN)
+    merged, merge = [], encoder.merge
+    monkeypatch.setattr(encoder, "merge", lambda pieces: merged.extend(pieces) or merge(pieces))
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 20)
+    texts = [f"often{chr(97 + i // 20) * 3} seldom{chr(97 + i % 20) * 2}" for i in range(60)]
+    assert [x[::4] for x in encoder.encode(texts)] == [t.encode() for t in texts]
+    assert sorted(p for p in merged if p.startswith(b"often")) == [b"oftenaaa", b"oftenbbb", b"oftenccc"]
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 500)
+    encoder.encode([chr(97 + i) * 400 for i in range(5)])
+    assert max(sum(map(len, c)) for c in (encoder.cache, encoder.old)) <= 500
+
+
 def test_lists(edge, vocabulary, reference):
     for r in bpe.encode(edge, vocabulary, packed=False).collect():
         assert r["ids"] == reference.encode_ordinary(r["row"]["text"] or "") and r["n_tokens"] == len(r["ids"])

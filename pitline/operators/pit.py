@@ -54,48 +54,81 @@ def daily_winners(observations: DataFrame, streams: tuple[str, ...]) -> DataFram
     return eligible(observations).groupBy("symbol", "filing_date").agg(*aggs)
 
 
-def attach_states(market: DataFrame, observations: DataFrame, streams: tuple[str, ...] = ("q", "fy", "bs")) -> DataFrame:
-    """Every market row with the latest observation of each stream filed strictly before it.
+def day_columns(streams: tuple[str, ...] = ("q", "fy", "bs")) -> tuple[str, ...]:
+    """The columns that `state_days` adds."""
+    return ("_first", "_filed", *[f"_eff_{s}" for s in streams])
+
 
-    Market and filing days meet in one window per symbol. A filing sorts behind the session of its own
-    day, so it acts from the next observed session on; that session is its effective date. A state
-    moves as a whole with its NULLs and no stream clears another.
+def state_days(market: DataFrame, observations: DataFrame, streams: tuple[str, ...] = ("q", "fy", "bs")) -> DataFrame:
+    """Every market row with the days that `join_states` needs: the symbol's first session, the last day strictly before the row's on which
+    a stream was filed, and each stream's effective date.
+
+    Market rows and filing days meet in one window per symbol; of filings only their days take part. A filing sorts behind the session of its
+    own day, so it acts from the next observed session on; that session is its effective date.
     """
-    out_names = [f"{_prefix(s)}_{c}" for s in streams for c in state_columns(s)]
-    clash = set(out_names) & set(market.columns)
+    clash = {"_t", "_k", *day_columns(streams)} & set(market.columns)
     if clash:
-        raise ValueError(f"market columns collide with state columns: {sorted(clash)}")
-    win = daily_winners(observations, streams)
-    left = market.select("symbol", F.col("date").alias("_t"), F.lit(0).alias("_k"), F.struct(*market.columns).alias("_m"))
-    right = win.select("symbol", F.col("filing_date").alias("_t"), F.lit(1).alias("_k"), *streams)
+        raise ValueError(f"reserved columns present: {sorted(clash)}")
+    days = eligible(observations).groupBy("symbol", F.col("filing_date").alias("_t")).agg(*[F.max(stream_member(s)).alias(f"_has_{s}") for s in streams])
+    days = days.filter(F.greatest(*[F.col(f"_has_{s}") for s in streams], F.lit(False))).withColumn("_k", F.lit(1))
     order = W.partitionBy("symbol").orderBy("_t", "_k")
     past = order.rowsBetween(W.unboundedPreceding, 0)
-    session = F.when(F.col("_k") == 0, F.col("_t"))
-    u = left.unionByName(right, allowMissingColumns=True)
-    u = u.withColumns({"_first": F.min(session).over(past), **{s: F.last(s, ignorenulls=True).over(past) for s in streams}}).filter(F.col("_k") == 0)
+    latest = lambda c: F.last(c, ignorenulls=True).over(past)
+    u = market.withColumns({"_t": F.col("date"), "_k": F.lit(0)}).unionByName(days, allowMissingColumns=True)
+    u = u.withColumns(
+        {
+            "_first": F.min(F.when(F.col("_k") == 0, F.col("_t"))).over(past),
+            "_filed": latest(F.when(F.col("_k") == 1, F.col("_t"))),
+            **{f"_day_{s}": latest(F.when(F.col(f"_has_{s}"), F.col("_t"))) for s in streams},
+        }
+    ).filter(F.col("_k") == 0)
     # one sort serves all windows: a filing that is superseded before the next session is no session's state, so a state's effective
     # date is the first session that has it
-    state = {s: F.struct(F.col(s).isNotNull(), F.col(f"{s}.filing_date")) for s in streams}
-    u = u.withColumns({f"_new_{s}": F.when(~state[s].eqNullSafe(F.lag(state[s]).over(order)), F.col("_t")) for s in streams})
-    u = u.withColumns({f"_eff_{s}": F.last(f"_new_{s}", ignorenulls=True).over(past) for s in streams})
+    day = {s: F.col(f"_day_{s}") for s in streams}
+    u = u.withColumns({f"_new_{s}": F.when(~day[s].eqNullSafe(F.lag(day[s]).over(order)), F.col("_t")) for s in streams})
+    u = u.withColumns({f"_eff_{s}": F.when(day[s].isNotNull(), latest(f"_new_{s}")) for s in streams})
+    # the keys of the window themselves, so that the frame stays dealt and sorted by symbol and date for what reads it
+    return u.select(*[F.col("_t").alias("date") if c == "date" else F.col(c) for c in market.columns], *day_columns(streams))
+
+
+def join_states(market: DataFrame, observations: DataFrame, streams: tuple[str, ...] = ("q", "fy", "bs")) -> DataFrame:
+    """Rows with the columns of `state_days`, which give way to the whole observation of each stream.
+
+    The states of a symbol's filing days are a hash table that the rows stream past: they are neither shuffled nor sorted again.
+    """
+    columns = [c for c in market.columns if c not in day_columns(streams)]
+    clash = {f"{_prefix(s)}_{c}" for s in streams for c in state_columns(s)} & set(columns)
+    if clash:
+        raise ValueError(f"market columns collide with state columns: {sorted(clash)}")
+    so_far = W.partitionBy("symbol").orderBy("filing_date").rowsBetween(W.unboundedPreceding, 0)
+    held = daily_winners(observations, streams).select(
+        "symbol", F.col("filing_date").alias("_filed"), *[F.last(s, ignorenulls=True).over(so_far).alias(s) for s in streams]
+    )
+    u = market.join(held.hint("shuffle_hash"), ["symbol", "_filed"], "left")
     cols: list[Column] = []
     for s in streams:
         p = _prefix(s)
-        filed, eff = F.col(f"{s}.filing_date"), F.when(F.col(s).isNotNull(), F.col(f"_eff_{s}"))
+        filed, eff = F.col(f"{s}.filing_date"), F.col(f"_eff_{s}")
         truncated, basis = effective_semantics(filed, eff, F.col("_first"))
         cols += [F.col(f"{s}.{c}").alias(f"{p}_{c}") for c in FILING_META]
         cols += [
             eff.alias(f"{p}_effective_date"),
             truncated.alias(f"{p}_effective_date_is_sample_truncated"),
             basis.alias(f"{p}_effective_date_basis"),
-            F.datediff(F.col("_t"), filed).alias(f"{p}_days_since_filing"),
-            F.datediff(F.col("_t"), eff).alias(f"{p}_days_since_effective_date"),
+            F.datediff(F.col("date"), filed).alias(f"{p}_days_since_filing"),
+            F.datediff(F.col("date"), eff).alias(f"{p}_days_since_effective_date"),
         ]
         for c in stream_payload(s):
             cols.append(F.col(f"{s}.{c}").alias(c if c in STREAM_FEATURES.get(s, ()) else f"{p}_{c}"))
-    # the keys of the window themselves, so that the frame stays dealt and sorted by symbol and date for what reads it
-    keys = {"symbol": F.col("symbol"), "date": F.col("_t").alias("date")}
-    return u.select(*[keys.get(c, F.col("_m")[c].alias(c)) for c in market.columns], *cols)
+    return u.select(*columns, *cols)
+
+
+def attach_states(market: DataFrame, observations: DataFrame, streams: tuple[str, ...] = ("q", "fy", "bs")) -> DataFrame:
+    """Every market row with the latest observation of each stream filed strictly before it.
+
+    A state moves as a whole with its NULLs and no stream clears another. Windows over the market rows are best computed between the two steps.
+    """
+    return join_states(state_days(market, observations, streams), observations, streams)
 
 
 def _prefix(stream: str) -> str:

@@ -9,11 +9,11 @@ from pitline.config import BAR_COLUMNS, MARKET_FEATURES, RELATIVE_NAMES, SMA_WIN
 from pitline.functions.windows import by_session, ordinal, trailing
 
 
-def build_features(bars: DataFrame) -> DataFrame:
-    """Nine trailing features per symbol and session; warm-up rows stay NULL."""
+def build_features(bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nine trailing features per symbol and session; warm-up rows stay NULL. Columns `keep` come along."""
     w = by_session()
     prev = F.lag("close").over(w)
-    out = bars.select("symbol", *BAR_COLUMNS).withColumns(
+    out = bars.select("symbol", *BAR_COLUMNS, *keep).withColumns(
         {
             "simple_return": F.col("close") / prev - 1,
             "log_return": F.log(F.col("close") / prev),
@@ -30,7 +30,7 @@ def build_features(bars: DataFrame) -> DataFrame:
             **{f"sma_{k}": full(F.avg, "close", k) for k in SMA_WINDOWS},
             **{f"rolling_volatility_{k}": full(F.stddev_samp, "simple_return", k) for k in VOL_WINDOWS},
         }
-    ).select("symbol", *BAR_COLUMNS, *MARKET_FEATURES)
+    ).select("symbol", *BAR_COLUMNS, *MARKET_FEATURES, *keep)
 
 
 def with_relative(df: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from pitline.functions.text import is_amended
 
 REFERENCE = tuple(f"yoy_reference_{c}" for c in FILING_META)
 PROVENANCE = ("yoy_comparison_status", *REFERENCE)
+#: What places an observation among those of its company; without one of them it is no snapshot.
+PERIOD = ("symbol", "data_period_type", "fiscal_period", "fiscal_year", "filing_date")
 
 
 def eligible(filings: DataFrame) -> DataFrame:
@@ -39,10 +41,10 @@ def ratio_columns() -> dict[str, Column]:
 def prior_year_reference(obs: DataFrame) -> DataFrame:
     """Adds the reference struct and comparison status each filing could know on its filing day.
 
-    Observations first shrink to one row per (basis, period, fiscal year, filing day). Current and
-    shifted prior-year rows then meet in one running window, so no pairs are formed.
+    Observations first shrink to one row per (basis, period, fiscal year, filing day). Each such row enters the window of its own
+    year and that of the next one, so no pairs are formed. Filings that are dealt by symbol stay where they are.
     """
-    keys = ["symbol", "data_period_type", "fiscal_period"]
+    keys = list(PERIOD[:-2])
     span = F.struct("period_start", "period_end")
     ranked = F.struct(
         "period_end", is_amended("form").alias("_amended"), "period_start", "accession",
@@ -51,15 +53,14 @@ def prior_year_reference(obs: DataFrame) -> DataFrame:
     day = obs.groupBy(*keys, "fiscal_year", "filing_date").agg(
         F.max(ranked).alias("top"), F.min(span).alias("lo"), F.max(span).alias("hi")
     )
-    current = day.withColumn("_k", F.lit(1))
-    prior = day.withColumns({"fiscal_year": F.col("fiscal_year") + 1, "_k": F.lit(0)})
+    years = F.array(*[F.struct((F.col("fiscal_year") + 1 - k).alias("fiscal_year"), F.lit(k).alias("_k")) for k in (1, 0)])  # its own, and as prior year
     w = W.partitionBy(*keys, "fiscal_year").orderBy("filing_date", "_k").rowsBetween(W.unboundedPreceding, 0)
 
     def seen(agg, c: str, kind: int) -> Column:
         return agg(F.when(F.col("_k") == kind, F.col(c))).over(w)
 
     known = (
-        current.unionByName(prior)
+        day.select(*keys, "filing_date", "top", "lo", "hi", F.inline(years))
         .withColumns(
             {
                 "_ref": F.last(F.when(F.col("_k") == 0, F.col("top")), ignorenulls=True).over(w),
@@ -70,7 +71,7 @@ def prior_year_reference(obs: DataFrame) -> DataFrame:
         .filter(F.col("_k") == 1)
         .select(*keys, "fiscal_year", "filing_date", "_ref", "_several_now", "_several_before")
     )
-    out = obs.join(known, [*keys, "fiscal_year", "filing_date"])
+    out = obs.join(known.hint("shuffle_hash"), list(PERIOD))
     gaps_ok = F.datediff("period_start", "_ref.period_start").between(330, 400) & F.datediff(
         "period_end", "_ref.period_end"
     ).between(330, 400)

@@ -214,7 +214,7 @@ def _(t: Tables):
 
 @query("walk_forward_wide_models", "M3 M7 M8")
 def _(t: Tables):
-    s = Study.walk(with_relative(append_labels(t.daily)), WIDE, ARMS_WIDE)
+    s = Study.walk(with_relative(t.labelled), WIDE, ARMS_WIDE)
     return met.fold_mae(s.oof)
 
 
@@ -787,7 +787,7 @@ SELECT symbol, fold, feature, n_train::BIGINT AS n_train, n, drop_reason, {R('co
  {R('mean', 5)} AS mean, {R('std', 5)} AS std, {R('lo')} AS train_min, {R('hi')} AS train_max FROM wf_fund LEFT JOIN filled USING (symbol, fold, feature)""",
 )
 def _(t: Tables):
-    u = mod.usage(mod.fit_expanding(splits.walk_forward_entries(append_labels(t.daily)), FUNDAMENTAL_FEATURES))
+    u = mod.usage(mod.fit_expanding(splits.walk_forward_entries(t.labelled), FUNDAMENTAL_FEATURES))
     out = rounded(u, ["symbol", "fold", "feature", "n_train", "n", "drop_reason", "mean", "std"], [c for c in _fs if c not in ("mean", "std")])
     return out.withColumns({"mean": rnd("mean", 5), "std": rnd("std", 5)})
 

@@ -12,6 +12,7 @@ from pitline.config import (
 from pitline.operators import pit
 from pitline.operators import snapshots as snap
 from pitline.operators.labels import append_labels
+from pitline.operators.rolling import build_features
 from pitline.plans.filings import META
 from pitline.plans.market import rounded
 from pitline.plans.registry import Tables, query
@@ -22,12 +23,19 @@ def _snapshots(self: Tables):
     return snap.build_snapshots(self.filings)
 
 
+def _marked(self: Tables):
+    """The features with the filing days of their states, which join the narrow bars in the shuffle that the features need."""
+    days = pit.state_days(self.bars, self.filings.dropna(subset=snap.PERIOD))
+    return build_features(days, pit.day_columns())
+
+
 def _daily(self: Tables):
-    return pit.attach_states(self.features, self.snapshots)
+    return pit.join_states(_marked(self), self.snapshots)
 
 
 def _labelled(self: Tables):
-    return append_labels(self.daily)
+    """Labels come before the states, from rows that are narrow still."""
+    return pit.join_states(append_labels(_marked(self)), self.snapshots)
 
 
 for _name, _fn in (("snapshots", _snapshots), ("daily", _daily), ("labelled", _labelled)):

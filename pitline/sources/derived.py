@@ -164,6 +164,8 @@ def derive_filings(lines: DataFrame) -> DataFrame:
             "q_end": F.last_day(F.make_date("fy", F.col("fq") * 3, F.lit(1))),
         }
     )
+    # at most one row a quarter: dealt by symbol once, for all that is derived from the filings of a symbol
+    q = q.repartition("symbol")
     # at most four rows per (symbol, fy)
     year = W.partitionBy("symbol", "fy").orderBy("fq").rowsBetween(W.unboundedPreceding, 0)
     q = q.withColumns({f"y_{c}": F.sum(c).over(year) for c in (*_FLOWS, "units")})

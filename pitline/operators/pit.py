@@ -194,30 +194,29 @@ def mark_selected(snapshots: DataFrame, daily: DataFrame, streams: tuple[str, ..
     return out.withColumn("selected_for_daily", any_stream)
 
 
-def running_max_states(market: DataFrame, observations: DataFrame, stream: str) -> DataFrame:
-    """Second formulation: the running maximum of (filing day, tie order) over all observations."""
+def running_max_states(market: DataFrame, observations: DataFrame, streams: tuple[str, ...] = ("q", "fy", "bs")) -> DataFrame:
+    """Second formulation: the running maximum of (filing day, tie order) over all observations, as the column `oracle_<stream>` beside the market's."""
     key = F.struct(F.col("filing_date").alias("filed"), tie_order().alias("tie"), F.struct(*FILING_META).alias("row"))
-    obs = eligible(observations).filter(stream_member(stream))
     # the same maximum per day first, so the window sees at most one row per filing day
-    days = obs.groupBy("symbol", F.col("filing_date").alias("_t")).agg(F.max(key).alias("best")).withColumn("_k", F.lit(1))
-    rows = market.select("symbol", F.col("date").alias("_t"), F.lit(0).alias("_k"))
+    best = [F.max(F.when(stream_member(s), key)).alias(f"oracle_{s}") for s in streams]
+    days = eligible(observations).groupBy("symbol", F.col("filing_date").alias("_t")).agg(*best).withColumn("_k", F.lit(1))
+    rows = market.withColumns({"_t": F.col("date"), "_k": F.lit(0)})
     w = W.partitionBy("symbol").orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, 0)
-    u = rows.unionByName(days, allowMissingColumns=True).withColumn("best", F.max("best").over(w))
-    return u.filter(F.col("_k") == 0).select("symbol", F.col("_t").alias("date"), F.col("best.row").alias("oracle"))
+    u = rows.unionByName(days, allowMissingColumns=True).withColumns({f"oracle_{s}": F.max(f"oracle_{s}").over(w) for s in streams})
+    return u.filter(F.col("_k") == 0).select(*market.columns, *[F.col(f"oracle_{s}.row").alias(f"oracle_{s}") for s in streams])
 
 
-def state_violations(daily: DataFrame, observations: DataFrame, stream: str) -> DataFrame:
-    """Sessions whose attached state differs from the running maximum."""
-    p = _prefix(stream)
-    j = daily.select("symbol", "date", *[f"{p}_{c}" for c in FILING_META]).join(
-        running_max_states(daily, observations, stream), ["symbol", "date"]
-    )
-    bad = F.lit(False)
-    for c in FILING_META:
-        bad = bad | ~F.col(f"{p}_{c}").eqNullSafe(F.col(f"oracle.{c}"))
-    return j.groupBy("symbol").agg(
-        F.lit(stream).alias("stream"), F.count(F.lit(1)).alias("sessions_checked"), F.count_if(bad).alias("violations")
-    )
+def state_violations(daily: DataFrame, observations: DataFrame, streams: tuple[str, ...] = ("q", "fy", "bs")) -> DataFrame:
+    """Sessions whose attached state differs from the running maximum; daily is read once for all streams and, dealt by symbol, not shuffled."""
+    keys = daily.select("symbol", "date", *[f"{_prefix(s)}_{c}" for s in streams for c in FILING_META])
+    both = running_max_states(keys, observations, streams)
+    rows = []
+    for s in streams:
+        bad = F.lit(False)
+        for c in FILING_META:
+            bad = bad | ~F.col(f"{_prefix(s)}_{c}").eqNullSafe(F.col(f"oracle_{s}.{c}"))
+        rows.append(F.struct(F.lit(s).alias("stream"), F.count(F.lit(1)).alias("sessions_checked"), F.count_if(bad).alias("violations")))
+    return both.groupBy("symbol").agg(F.array(*rows).alias("r")).select("symbol", F.inline("r"))
 
 
 def timing_violations(daily: DataFrame, streams: tuple[str, ...] = ("q", "fy", "bs")) -> DataFrame:

@@ -77,7 +77,7 @@ def bad_states(t: Tables):
         }
         if s != "bs":
             faults[f"{s}_reference"] = (f"{s}_yoy_reference_filing_date", held(F.date_add(f"{s}_filing_date", 1)))
-    return plant(t.daily_shared, KEY, faults)
+    return plant(t.daily, KEY, faults)  # its readers read it once, so it is not kept
 
 
 _tf = " UNION ALL ".join(
@@ -104,9 +104,7 @@ _sf = " UNION ALL ".join(
 
 @query("running_max_faults", "J3 V5", f"SELECT * FROM ({_sf})")
 def _(t: Tables):
-    bad = bad_states(t)
-    parts = [pit.state_violations(bad, t.filings, s) for s in ("q", "fy", "bs")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return pit.state_violations(bad_states(t), t.filings)
 
 
 _q = STREAM_FEATURES["q"]

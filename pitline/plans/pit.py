@@ -162,9 +162,7 @@ _sv = " UNION ALL ".join(
 
 @query("running_max_state_check", "J3 V5 V6", f"SELECT * FROM ({_sv})")
 def _(t: Tables):
-    daily = t.daily_kept(*[f"{p}_{c}" for p in ("q", "fy", "bs") for c in FILING_META])
-    parts = [pit.state_violations(daily, t.filings, s) for s in ("q", "fy", "bs")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return pit.state_violations(t.daily, t.filings)
 
 
 _tv = " UNION ALL ".join(

@@ -29,17 +29,22 @@ FIT_SCHEMA = (
 )
 
 
+def selection(coverage: Column, low: Column, high: Column) -> tuple[Column, Column, Column, Column]:
+    """Whether a feature is covered, constant and used, and why it is dropped, from its training values."""
+    covered, constant = coverage >= COVERAGE_MIN, low == high
+    used = F.coalesce(covered & ~constant, F.lit(False))
+    reason = F.when(~F.coalesce(covered, F.lit(False)), "low_training_coverage").when(constant, "zero_training_variance").otherwise("used")
+    return covered, constant, used, reason
+
+
 def finished(p: Column) -> Column:
     """A feature's entry from its training statistics: mean and deviation of the median-filled column, and why it is dropped."""
     n, cnt = F.col("n_train").cast("double"), p["n"].cast("double")
     missing = n - cnt
-    covered = p["coverage"] >= COVERAGE_MIN
-    constant = p["lo"] == p["hi"]
+    covered, constant, used, reason = selection(p["coverage"], p["lo"], p["hi"])
     mean = (p["avg"] * cnt + p["median"] * missing) / n
     var = (cnt * (p["var"] + (p["avg"] - mean) * (p["avg"] - mean)) + missing * (p["median"] - mean) * (p["median"] - mean)) / n
     std = F.when(constant, F.lit(0.0)).otherwise(F.sqrt(var))
-    used = F.coalesce(covered & ~constant, F.lit(False))
-    reason = F.when(~F.coalesce(covered, F.lit(False)), "low_training_coverage").when(constant, "zero_training_variance").otherwise("used")
     return F.struct(
         p["feature"].alias("feature"),
         p["n"].alias("n"),

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitline.functions.numeric import pearson, sdiv, signed
+from pitline.config import COVERAGE_MIN
+from pitline.functions.numeric import finite, pearson, sdiv, signed
 from pitline.functions.windows import average_rank
+from pitline.operators.models import selection
 from pitline.operators.moments import pair_moments
 
 KEY = ["symbol", "fold"]
@@ -282,23 +284,33 @@ def gramian(z: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return sums.unionByName(ones)
 
 
-def fold_coverage(members: DataFrame, params_long: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    """Per fold and feature: observed training and validation cells, eligibility and selection."""
-    structs = []
-    for f in features:
-        structs.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.count_if((F.col("role") == "train") & F.col(f).isNotNull()).alias("train_nonmissing"),
-                F.count_if((F.col("role") == "validation") & F.col(f).isNotNull()).alias("validation_nonmissing"),
-                F.min(F.when(F.col(f).isNotNull(), F.col("date"))).alias("first_available_date"),
-            )
+def fold_coverage(sessions: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """Per fold and feature: observed training and validation cells, eligibility and selection, of sessions with `entry`, `valid` and `folds`.
+
+    Sessions are counted once by the first fold that they train and the fold that they validate; these few counts make up those of each fold.
+    """
+
+    def cells(f: str) -> Column:
+        x, here = finite(F.col(f).cast("double")), F.col(f).isNotNull()
+        return F.struct(
+            F.count(F.when(here, 1)).alias("filled"), F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.min(F.when(here, F.col("date"))).alias("first")
         )
-    wide = members.groupBy(*KEY).agg(
-        F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "validation").alias("validation_rows"), F.array(*structs).alias("s")
+
+    counted = sessions.groupBy("symbol", "entry", "valid", "folds").agg(F.count(F.lit(1)).alias("rows"), *[cells(f).alias(f) for f in features])
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("c")) for f in features])
+    long = counted.select("symbol", "entry", "valid", "rows", F.explode("folds").alias("fold"), each.alias("each")).select(
+        *KEY, "rows", (F.coalesce(F.col("entry") <= F.col("fold"), F.lit(False))).alias("train"), F.coalesce(F.col("valid") == F.col("fold"), F.lit(False)).alias("valid"), F.inline("each")
+    )
+    train, valid = F.col("train"), F.col("valid") & ~F.col("train")
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    per = long.filter("train OR valid").groupBy(*KEY, "feature").agg(
+        total("rows", train).alias("train_rows"), total("rows", valid).alias("validation_rows"), total("c.filled", train).alias("train_nonmissing"),
+        total("c.filled", valid).alias("validation_nonmissing"), F.min("c.first").alias("first_available_date"),
+        F.try_divide(total("c.n", train), total("rows", train)).alias("_coverage"), F.min(F.when(train, F.col("c.low"))).alias("_low"), F.max(F.when(train, F.col("c.high"))).alias("_high"),
     )
-    long = wide.select(*KEY, "train_rows", "validation_rows", F.inline("s"))
-    sel = params_long.select(*KEY, "feature", F.col("used").alias("selected"), "drop_reason", (F.coalesce("coverage", F.lit(0.0)) >= 0.5).alias("eligible"))
-    return long.join(sel, [*KEY, "feature"]).withColumns(
-        {"train_coverage": F.try_divide("train_nonmissing", "train_rows"), "validation_coverage": F.try_divide("validation_nonmissing", "validation_rows")}
+    _, _, used, reason = selection(F.col("_coverage"), F.col("_low"), F.col("_high"))
+    return per.filter("train_rows > 0").select(
+        *KEY, "train_rows", "validation_rows", "feature", "train_nonmissing", "validation_nonmissing", "first_available_date", used.alias("selected"),
+        reason.alias("drop_reason"), (F.coalesce("_coverage", F.lit(0.0)) >= COVERAGE_MIN).alias("eligible"),
+        F.try_divide("train_nonmissing", "train_rows").alias("train_coverage"), F.try_divide("validation_nonmissing", "validation_rows").alias("validation_coverage"),
     )

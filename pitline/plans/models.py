@@ -17,7 +17,6 @@ from pitline.operators import models as mod
 from pitline.operators import splits
 from pitline.operators import stability as stab
 from pitline.operators import variants as var
-from pitline.operators.labels import append_labels
 from pitline.operators.rolling import with_relative
 from pitline.plans.market import rounded
 from pitline.plans.registry import Tables, query
@@ -755,8 +754,7 @@ def _(t: Tables):
  {R("count_if(role = 'validation' AND raw IS NOT NULL)::DOUBLE / count_if(role = 'validation')")} AS validation_coverage FROM cv_long GROUP BY ALL""",
 )
 def _(t: Tables):
-    s = cv1(t)
-    c = stab.fold_coverage(s.members, mod.usage(s.params), SINGLE)
+    c = stab.fold_coverage(cv1(t, once=True).sessions, SINGLE)
     return rounded(c, [x for x in c.columns if not x.endswith("_coverage")], ("train_coverage", "validation_coverage"))
 
 
@@ -799,8 +797,7 @@ def _(t: Tables):
  drop_reason = 'used' AS selected, drop_reason, drop_reason <> 'low_training_coverage' AS eligible, {R('coverage')} AS train_coverage, {R('v::DOUBLE / nullif(n_validation, 0)')} AS validation_coverage FROM cv_fund""",
 )
 def _(t: Tables):
-    s = Study.cv(append_labels(t.daily_shared), FUNDAMENTAL_FEATURES, {})
-    c = stab.fold_coverage(s.members, mod.usage(s.params), FUNDAMENTAL_FEATURES)
+    c = stab.fold_coverage(splits.cv_sessions(t.labelled), FUNDAMENTAL_FEATURES)
     return rounded(c, [x for x in c.columns if not x.endswith("_coverage")], ("train_coverage", "validation_coverage"))
 
 

@@ -178,8 +178,7 @@ _ds = " UNION ALL ".join(
     f"SELECT symbol, feature_a, u.b AS feature_b, u.n AS pairwise_count, u.sa::INTEGER AS distinct_states_a, u.sb::INTEGER AS distinct_states_b FROM ({_ds})",
 )
 def _(t: Tables):
-    p = ops.pairwise_correlation(ops.with_state_numbers(t.daily), ["symbol"], tuple(_fund), states=ops.STATE_NUMBER)
-    return p.select("symbol", "feature_a", "feature_b", "pairwise_count", "distinct_states_a", "distinct_states_b")
+    return ops.distinct_states(ops.with_state_numbers(t.daily), tuple(_fund), ops.STATE_NUMBER)
 
 
 _sk = ", ".join(STATE_KEY)

@@ -113,6 +113,7 @@ def _prefix_statistics(x: np.ndarray, y: np.ndarray, entry: np.ndarray, folds: l
     valued = ~np.isnan(ranked)
     k = x.shape[1]
     n, mean, square = np.zeros(k), np.zeros(k), np.zeros(k)
+    low, high = np.full(k, np.inf), np.full(k, -np.inf)
     rows, total, last = 0, 0.0, None
     for fold in sorted(folds):
         new = (entry <= fold) if last is None else (entry <= fold) & (entry > last)
@@ -125,6 +126,8 @@ def _prefix_statistics(x: np.ndarray, y: np.ndarray, entry: np.ndarray, folds: l
         square += np.where(here, (block - centre) ** 2, 0).sum(axis=0) + step * step * np.divide(n * m, both, out=np.zeros(k), where=both > 0)
         mean += step * np.divide(m, both, out=np.zeros(k), where=both > 0)
         n = both
+        low = np.minimum(low, np.where(here, block, np.inf).min(axis=0, initial=np.inf))
+        high = np.maximum(high, np.where(here, block, -np.inf).max(axis=0, initial=-np.inf))
         rows, total = rows + int(new.sum()), total + float(y[new].sum())
         if not rows:
             continue
@@ -134,7 +137,7 @@ def _prefix_statistics(x: np.ndarray, y: np.ndarray, entry: np.ndarray, folds: l
         median = (at(np.maximum(n - 1, 0) // 2) + at(n // 2 - (n == 0))) / 2
         yield fold, rows, total / rows, {
             "n": n.copy(), "median": median, "avg": mean.copy(), "var": np.divide(square, n, out=np.zeros(k), where=n > 0),
-            "lo": at(np.zeros(k)), "hi": at(np.maximum(n - 1, 0)),
+            "lo": low.copy(), "hi": high.copy(),
         }
 
 
@@ -204,8 +207,8 @@ def _block_factor(table: pa.Table) -> pa.Table:
     )
 
 
-def _solve(r: np.ndarray, n: int, cols: list[int], alpha: float, whiten: bool, diagnose: bool = True) -> Iterator[dict]:
-    """Both families from the triangular factor of [1, z, y]; min-norm least squares and ridge. Ranks and conditions only to diagnose."""
+def _solve(r: np.ndarray, n: int, cols: list[int], alpha: float, whiten: bool) -> Iterator[dict]:
+    """Both families from the triangular factor of [1, z, y]; min-norm least squares and ridge, with ranks and conditions."""
     sub = _triangle(r[:, [0, *[1 + c for c in cols], r.shape[1] - 1]])
     p = len(cols)
     x, y = sub[1 : p + 1, 1 : p + 1], sub[1 : p + 1, p + 1]
@@ -218,9 +221,6 @@ def _solve(r: np.ndarray, n: int, cols: list[int], alpha: float, whiten: bool, d
         "ridge": vt.T @ (s / (s * s + alpha) * uty),
     }
     lines = [(f, float((sub[0, p + 1] - sub[0, 1 : p + 1] @ beta) / sub[0, 0]), beta.tolist()) for f, beta in coefs.items()]
-    if not diagnose:
-        yield from ({"family": f, "intercept": intercept, "coef": beta} for f, intercept, beta in lines)
-        return
     live = np.flatnonzero(np.abs(sub[: p + 1, 1 : p + 1]).sum(axis=0) > 0)
     raw = np.linalg.svd(sub[: p + 1, 1 : p + 1][:, live], compute_uv=False) if len(live) else np.zeros(1)
     du, ds, dvt = np.linalg.svd(sub[: p + 1, [0, *(1 + live)]], full_matrices=False)
@@ -243,6 +243,36 @@ def _solve(r: np.ndarray, n: int, cols: list[int], alpha: float, whiten: bool, d
         }
 
 
+def _lines(r: np.ndarray, n: np.ndarray, subsets: list[list[int]], alpha: float) -> tuple[list[float], list[np.ndarray]]:
+    """Intercepts and coefficients of `_solve` for a stack of factors, by fold, subset and family; subsets of one width are solved together."""
+    found: dict[tuple[int, int], tuple] = {}
+    for p in {len(cols) for cols in subsets}:
+        alike = [i for i, cols in enumerate(subsets) if len(cols) == p]
+        chosen = np.array([[0, *[1 + c for c in subsets[i]], r.shape[2] - 1] for i in alike])
+        sub = _triangle(np.moveaxis(r[:, :, chosen], 1, 2))  # fold, subset, row, column
+        y, head = sub[..., 1 : p + 1, p + 1], sub[..., 0, :]
+        if p:
+            u, s, vt = np.linalg.svd(sub[..., 1 : p + 1, 1 : p + 1], full_matrices=False)
+            keep = s > np.finfo(float).eps * np.maximum(n, p)[:, None, None] * s[..., :1]
+            uty = np.einsum("fari,far->fai", u, y)
+            shares = (np.divide(uty, s, out=np.zeros_like(s), where=keep), s / (s * s + alpha) * uty)
+            betas = [np.einsum("faij,fai->faj", vt, share) for share in shares]
+        else:
+            betas = [y, y]
+        for k, beta in enumerate(betas):
+            lines = (head[..., p + 1] - np.einsum("fai,fai->fa", head[..., 1 : p + 1], beta)) / head[..., 0]
+            for j, i in enumerate(alike):
+                found[i, k] = lines[:, j], beta[:, j]
+    order = [(fold, i, k) for fold in range(len(r)) for i in range(len(subsets)) for k in range(len(FAMILIES))]
+    return [float(found[i, k][0][fold]) for fold, i, k in order], [found[i, k][1][fold] for fold, i, k in order]
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """Arrays as the entries of one list column."""
+    flat = np.concatenate(values) if values else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat, kind))
+
+
 def fit_linear(
     z: DataFrame, arms: dict[str, tuple[str, ...]], features: tuple[str, ...], alpha: float = RIDGE_ALPHA, whiten: bool = False
 ) -> DataFrame:
@@ -366,16 +396,41 @@ def fit_folds(
     ])
 
     def of_symbol(table: pa.Table) -> pa.Table:
-        symbol, f = table.column("symbol")[0].as_py(), _Folds(table, len(features))
-        rows = []
+        f = _Folds(table, len(features))
+        folds, sizes, means, factors, valid, z = [], [], [], [], [], []
         for fold, n, y_mean, train, frozen in f.each():
-            r = _factor(_standardised(f.x[train], frozen), f.y[train])
-            fits = [{"arm": arm, **x} for arm, cols in subsets.items() for x in _solve(r, n, cols, alpha, whiten, diagnose)]
-            valid = np.flatnonzero(f.valid == fold)
-            z = _standardised(f.x[valid], frozen)
-            scores = [np.zeros(len(valid)), np.full(len(valid), y_mean), *[z[:, subsets[x["arm"]]] @ np.asarray(x["coef"], float) + x["intercept"] for x in fits]]
-            rows.append({"symbol": symbol, "fold": fold, "y_mean": y_mean, "fits": fits, "date": f.date.take(valid).to_pylist(), "actual": f.y[valid].tolist(), "scores": [v.tolist() for v in scores]})
-        return pa.Table.from_pylist(rows, schema=schema)
+            folds.append(fold), sizes.append(n), means.append(y_mean)
+            factors.append(_factor(_standardised(f.x[train], frozen), f.y[train]))
+            valid.append(np.flatnonzero(f.valid == fold))
+            z.append(_standardised(f.x[valid[-1]], frozen))
+        if not folds:
+            return schema.empty_table()
+        if diagnose:
+            fits = [{"arm": arm, **x} for r, n in zip(factors, sizes, strict=True) for arm, cols in subsets.items() for x in _solve(r, n, cols, alpha, whiten)]
+            intercepts, coefs = [x["intercept"] for x in fits], [np.asarray(x["coef"], float) for x in fits]
+            cells = pa.array(fits, FOLD_FIT.value_type)
+        else:
+            intercepts, coefs = _lines(np.stack(factors), np.array(sizes), list(subsets.values()), alpha)
+            known = {
+                "arm": pa.array([arm for arm in subsets for _ in FAMILIES] * len(folds), pa.string()), "family": pa.array(FAMILIES * (len(subsets) * len(folds)), pa.string()),
+                "intercept": pa.array(intercepts, pa.float64()), "coef": _lists(coefs, pa.float64()),
+            }
+            cells = pa.StructArray.from_arrays([known[c.name] if c.name in known else pa.nulls(len(coefs), c.type) for c in FOLD_FIT.value_type], fields=list(FOLD_FIT.value_type))
+        models = [cols for cols in subsets.values() for _ in FAMILIES]
+        scores = []
+        for i, rows in enumerate(z):
+            beta, at = np.zeros((len(features), len(models))), i * len(models)
+            for j, cols in enumerate(models):
+                beta[cols, j] = coefs[at + j]
+            scores += [np.zeros(len(rows)), np.full(len(rows), means[i]), *(rows @ beta + np.asarray(intercepts[at : at + len(models)])).T]
+        every = np.concatenate(valid)
+        grouped = lambda values, n: pa.ListArray.from_arrays(pa.array(np.arange(len(folds) + 1) * n, pa.int32()), values)  # noqa: E731 - n a fold
+        ends = pa.array(np.cumsum([0, *map(len, valid)]), pa.int32())
+        return pa.table({
+            "symbol": pa.array([table.column("symbol")[0].as_py()] * len(folds), pa.string()), "fold": pa.array(folds, pa.int32()), "y_mean": pa.array(means, pa.float64()),
+            "fits": grouped(cells, len(models)), "date": pa.ListArray.from_arrays(ends, f.date.combine_chunks().take(pa.array(every))),
+            "actual": pa.ListArray.from_arrays(ends, pa.array(f.y[every], pa.float64())), "scores": grouped(_lists(scores, pa.float64()), len(models) + 2),
+        }, schema=schema)
 
     out = (
         "symbol string, fold int, y_mean double, fits array<struct<arm: string, family: string, intercept: double, coef: array<double>, n_rows: bigint, "

@@ -109,6 +109,7 @@ def fold_leakage(folds: DataFrame, starts: DataFrame, day: str, names: tuple[str
     """The counts of `model_leakage` from rows of `fit_folds` over a frame with variants.
 
     A fold's fits and predictions meet those of its copies as one row each, and are compared inside it; no prediction is a row of its own.
+    Where both sides have the same days their scores are compared side by side, and day by day only where they differ.
     """
     limit = F.lit(day).cast("date")
     near = lambda a, b: is_close(a, b, 1e-9)
@@ -134,12 +135,15 @@ def fold_leakage(folds: DataFrame, starts: DataFrame, day: str, names: tuple[str
         )
         return F.when((i >= 0) & (j >= 0), total(far)).otherwise(F.size(some["scores"]).cast("bigint"))
 
+    pairs = F.arrays_zip(b["scores"].alias("x"), c["scores"].alias("y"))
+    by_model = F.transform(pairs, lambda m: total(F.transform(F.arrays_zip(m["x"].alias("p"), m["y"].alias("q"), b["all_days"].alias("d")), lambda v: ((v["d"] < limit) & ~near(v["p"], v["q"])).cast("bigint"))))
+
     empty = F.array().cast("array<date>")
     days = F.array_union(F.coalesce(b["days"], empty), F.coalesce(c["days"], empty))
     n_scores = (F.size(days) * F.size(some["scores"])).cast("bigint")
     counted = each.select(
         "symbol", "variant", (F.col("fold_start") <= limit).alias("known"), n_fits.alias("fits"), F.when(both, total(fits)).otherwise(n_fits).alias("fits_moved"),
-        n_scores.alias("scores"), F.when(both, total(F.transform(days, moved_day))).otherwise(n_scores).alias("scores_moved"),
+        n_scores.alias("scores"), F.when(both & (b["all_days"] == c["all_days"]), total(by_model)).when(both, total(F.transform(days, moved_day))).otherwise(n_scores).alias("scores_moved"),
     )
     known = lambda c, flag: F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0)).alias
     out = counted.groupBy("symbol", "variant").agg(

@@ -586,17 +586,19 @@ def predict(
 
 
 def score_from_table(members: DataFrame, params: DataFrame, table: DataFrame, features: tuple[str, ...], target: str = PRIMARY_TARGET) -> DataFrame:
-    """Predictions rebuilt from the stored parameter table alone: unpivoted features joined to coefficients."""
-    v = members.filter(F.col("role") == "validation").select(
-        *KEY, "date", F.col(target).alias("actual"), *[F.col(f).cast("double").alias(f) for f in features]
-    )
-    long = v.unpivot([*KEY, "date", "actual"], list(features), "feature", "raw")
-    stats = usage(params).filter("used").select(*KEY, "feature", "median", "mean", "scale")
-    z = long.join(stats, [*KEY, "feature"]).withColumn("z", (F.coalesce("raw", "median") - F.col("mean")) / F.col("scale"))
-    j = z.join(table, [*KEY, "feature"])
-    return j.groupBy(*KEY, "date", "actual", F.concat_ws("_", "arm", "family").alias("model")).agg(
-        (F.sum(F.col("coefficient") * F.col("z")) + F.max("intercept")).alias("prediction")
-    )
+    """Predictions rebuilt from the stored parameter table alone: unpivoted features meet their coefficients.
+
+    Rows meet the statistics and coefficients of their fold as arrays and are unpivoted where they lie, so what is shuffled is a row for each
+    session that a fold validates, and a row for each fold.
+    """
+    v = members.filter(F.col("role") == "validation").select(*KEY, "date", F.col(target).alias("actual"), F.array(*[F.col(f).cast("double") for f in features]).alias("raw"))
+    stats = params.select(*KEY, F.transform("p", lambda p: F.struct(p["feature"].alias("feature"), p["used"].alias("used"), p["median"].alias("median"), p["mean"].alias("mean"), p["scale"].alias("scale"))).alias("p"))
+    lines = table.groupBy(*KEY).agg(F.collect_list(F.struct("feature", F.concat_ws("_", "arm", "family").alias("model"), "intercept", "coefficient")).alias("lines"))
+    j = v.join(stats, KEY).join(lines, KEY)
+    cells = F.filter(F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("raw").alias("raw"), F.col("p").alias("p")), lambda c: c["p"]["used"])
+    z = j.select(*KEY, "date", "actual", "lines", F.inline(cells)).withColumn("z", (F.coalesce("raw", "p.median") - F.col("p.mean")) / F.col("p.scale"))
+    each = z.select(*KEY, "date", "actual", F.col("feature").alias("of"), "z", F.inline("lines")).filter(F.col("feature") == F.col("of"))
+    return each.groupBy(*KEY, "date", "actual", "model").agg((F.sum(F.col("coefficient") * F.col("z")) + F.max("intercept")).alias("prediction"))
 
 
 def conditioning(fits: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pitline.operators import models as mod
 from pitline.operators import pit, rolling
 from pitline.operators import snapshots as snap
 from pitline.operators.faults import DIGITS, EVERY, plant, planted
-from pitline.plans.models import SINGLE, cv1
+from pitline.plans.models import SINGLE, replayed
 from pitline.plans.registry import Tables, query
 from pitline.sources import facts
 
@@ -138,8 +138,7 @@ def _(t: Tables):
 FROM cv_oof WHERE model NOT IN ('zero_return', 'historical_mean') GROUP BY ALL""",
 )
 def _(t: Tables):
-    s = cv1(t)
-    stored = s.oof.filter(~F.col("model").isin("zero_return", "historical_mean"))
+    s, stored = replayed(t)
     bad = plant(stored, RUN, {"actual": ("actual", F.col("actual") + 0.001), "prediction": ("prediction", F.col("prediction") + 0.001)}, "gone")
     return met.control_reproduction(mod.score_from_table(s.members, s.params, s.table, SINGLE), bad).drop("max_absolute_difference")
 

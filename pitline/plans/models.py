@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitline.config import FUNDAMENTAL_FEATURES, MARKET_FEATURES, PRIMARY_HORIZON, PRIMARY_TARGET, RELATIVE_FEATURES, TIE_TOL
@@ -45,6 +46,13 @@ class Study:
     def cv(cls, frame, features, arms):
         return cls(splits.cv_members(frame), splits.cv_entries(frame), splits.cv_sessions(frame), features, arms)
 
+    @classmethod
+    def cv_kept(cls, frame, features, arms):
+        """Sessions are kept once with the columns that fits and scores read; members and entries are their rows, none copied to folds."""
+        sessions = splits.cv_sessions(frame).select("symbol", "date", PRIMARY_TARGET, *features, "entry", "valid", "folds").persist(StorageLevel.MEMORY_AND_DISK)
+        scored = sessions.filter("valid IS NOT NULL").withColumns({"fold": F.col("valid"), "role": F.lit("validation")})
+        return cls(scored, sessions.filter("entry IS NOT NULL"), sessions, features, arms)
+
     @cached_property
     def folds(self):
         # a row per symbol and fold, read by fits and predictions
@@ -92,6 +100,13 @@ def walk1(t: Tables, once: bool = False) -> Study:
     return Study.walk(labelled_frame(t, once), SINGLE, ARMS1)
 
 
+def replayed(t: Tables) -> tuple[Study, DataFrame]:
+    """A study whose predictions are rebuilt from its parameter table, and its stored predictions, dealt by fold before a row becomes one for each model."""
+    s = Study.cv_kept(labelled_frame(t, once=True), SINGLE, ARMS1)
+    stored = mod.predictions_of(s.folds.repartition("symbol", "fold"), s.arms)
+    return s, stored.filter(~F.col("model").isin("zero_return", "historical_mean"))
+
+
 def cv1(t: Tables, once: bool = False) -> Study:
     return Study.cv(labelled_frame(t, once), SINGLE, ARMS1)
 
@@ -194,7 +209,7 @@ def _(t: Tables):
     f"SELECT symbol, fold, date, model, {rsql(('actual', 'prediction'))} FROM cv_oof WHERE model NOT IN ('zero_return', 'historical_mean')",
 )
 def _(t: Tables):
-    s = cv1(t)
+    s, _ = replayed(t)
     rebuilt = mod.score_from_table(s.members, s.params, s.table, SINGLE)
     return rounded(rebuilt, ["symbol", "fold", "date", "model"], ("actual", "prediction"))
 
@@ -206,8 +221,7 @@ def _(t: Tables):
 FROM cv_oof WHERE model NOT IN ('zero_return', 'historical_mean') GROUP BY ALL""",
 )
 def _(t: Tables):
-    s = cv1(t)
-    stored = s.oof.filter(~F.col("model").isin("zero_return", "historical_mean"))
+    s, stored = replayed(t)
     return met.control_reproduction(mod.score_from_table(s.members, s.params, s.table, SINGLE), stored).drop("max_absolute_difference")
 
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,9 +70,8 @@ def template_words(text: str) -> list[str]:
 
 def vocabulary_counts(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str, int]:
     """How often each word of the vocabulary stands in all texts. Only these words reach the shuffle, summed by each task."""
-    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))  # the templates' words alone
-    each = docs.select(F.explode(words_of(lowered(F.col(f"`{text}`").cast("string")))).alias("word"))
-    found = each.join(known, "word").groupBy("word").agg(F.count("*").alias("n")).collect()
+    each = docs.select(F.explode(words_of(lowered(F.col(f"`{text}`").cast("string")))).alias("word")).where(F.col("word").isin(vocabulary))
+    found = each.groupBy("word").agg(F.count("*").alias("n")).collect()
     return {r["word"]: r["n"] for r in found}
 
 
@@ -161,15 +162,20 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
     match = "array<struct<label:string,share:double>>"
     none = F.array().cast(match)
     rows = docs.select(carried(docs), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    rows = rows.select("row", "t", words_of(lowered(F.col("t"))).alias("words"))
     if ordered.rows:
-        rows = rows.select("row", "t", line_sets(lowered(F.col("t")), ordered).alias("lines"))
+        # lines are parted only where the text holds a prefix word at all
+        some = F.arrays_overlap("words", strings(ordered.prefix))
+        rows = rows.select("row", "t", "words", F.when(some, line_sets(lowered(F.col("t")), ordered)).alias("lines"))
     found = F.coalesce(template_matches(F.col("lines"), ordered).cast(match), none) if ordered.rows else none
 
     before = rf"(?<![{_IN}])"
     counts, first, last, labels = [], [], [], []
     for phrase, label in PHRASES.items():
         pattern = phrase_pattern(phrase)
-        n = F.regexp_count("t", F.lit(before + pattern))
+        # the places are looked for only where all words of the phrase stand
+        stands = reduce(and_, [F.array_contains("words", w) for w in phrase.split()])
+        n = F.when(stands, F.regexp_count("t", F.lit(before + pattern))).otherwise(0)
         counts.append(n)
         index = lambda some: F.regexp_count(F.regexp_extract("t", f"(?s)^({some}){before}{pattern}", 1), F.lit(WORD))
         first.append(F.when(n > 0, index(".*?")))
@@ -177,7 +183,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
         labels.append(F.when(n > 0, F.lit(label)))
     base = rows.select(
         "row",
-        F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"),
+        F.size("words").cast("long").alias("n_words"),  # lower case parts words where the text does
         sum(counts[1:], counts[0]).cast("long").alias("n_base"),
         F.least(*first).cast("long").alias("first_word"),
         F.greatest(*last).cast("long").alias("last_word"),
